@@ -197,16 +197,22 @@ class ByteBPE:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int): the token ids of every text. Null and empty texts have none.
+    """doc_id, n_tokens, ids (array of int), decoded_sha256: ids of every text, and the digest of what they decode to.
 
-    Extra columns of ``docs`` are ignored; every row gives one row, repeated rows too.
+    Null and empty texts have no tokens. Extra columns are ignored; every row gives one row, repeated rows too.
     """
 
     def make():
         bpe = ByteBPE.load(path, pattern)
-        return lambda ids, texts: {"doc_id": ids, "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_packed(texts)]}
 
-    return map_texts(docs, make, "doc_id bigint, ids array<int>")
+        def run(ids: list, texts: list[str]) -> dict:
+            packed = bpe.encode_packed(texts)
+            tokens = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
+            return {"doc_id": ids, "n_tokens": list(map(len, tokens)), "ids": tokens, "decoded_sha256": [hashlib.sha256(bpe.decode_packed(x)).hexdigest() for x in packed]}
+
+        return run
+
+    return map_texts(docs, make, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string")
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -31,24 +31,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ``ids`` (doc_id). Few ids are broadcast, after a check of their number."""
+    ids = cut(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def held_out(remainder: int, divisor: int):
     """Column: crc32 of doc_id as text, modulo ``divisor``, equals ``remainder`` (null doc_id: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Slices of ``texts`` with about ``most`` characters each (one text at least)."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, id_col="doc_id", chunk: int = CHUNK_CHARS) -> DataFrame:
     """Apply a function of (ids, texts) to every row of ``df`` in bounded chunks, in Arrow batches.
 
     ``make`` is called once in each Python worker's task and returns the function; this returns columns named in
@@ -67,7 +65,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
             while at < len(ids):
                 end, size = at, 0
-                while end < len(ids) and (end == at or size + sizes[end] <= CHUNK_CHARS):
+                while end < len(ids) and (end == at or size + sizes[end] <= chunk):
                     size += sizes[end]
                     end += 1
                 texts = [x or "" for x in batch.column(1).slice(at, end - at).to_pylist()]
@@ -76,6 +74,6 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict
                     yield pa.RecordBatch.from_arrays([pa.array(got[k.name], type=k.type) for k in out], schema=out)
                 at = end
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(id_col, F.col("text").cast("string")).mapInArrow(run, schema)
 
 

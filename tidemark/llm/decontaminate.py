@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import without
+
 WINDOW = 13
 BLOCK_WORDS = 500_000
 #: Upper-case letters become lower-case; of the other ASCII characters, those that aren't letters or digits become spaces.
@@ -222,8 +224,7 @@ def without_spans(text: str, spans: list[int]) -> str:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns. Needs distinct doc_id."""
-    bad = report(docs, items).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    return without(docs, report(docs, items).filter("contaminated"))
 
 
 SQL = r"""

@@ -12,10 +12,10 @@ that agree in doc_id and text too, one is kept. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, without
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Positions in the filter for each row, and bits of the filter for each row as long as MOST_BITS allows.
@@ -75,9 +75,18 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Needs distinct doc_id, as ``documents`` has."""
-    dropped = find(docs).filter("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """The rows of docs that stay, with all their columns; rows with a null doc_id all stay.
+
+    Rows that repeat a doc_id and a text can't be told apart by doc_id; where there are any, they are numbered.
+    """
+    found = cut(find(docs))
+    out = without(docs, found.filter("doc_id <> keep_id"))
+    again = found.filter("NOT kept AND doc_id = keep_id").select("doc_id").distinct()
+    if again.isEmpty():
+        return out
+    order = Window.partitionBy("doc_id", F.sha2(normalised(F.col("text")), 256)).orderBy(F.char_length("text").desc())
+    numbered = out.join(again, "doc_id", "left_semi").withColumn("_number", F.row_number().over(order))
+    return out.join(again, "doc_id", "left_anti").unionByName(numbered.filter("_number = 1").drop("_number"))
 
 
 SQL = r"""

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_texts
+from tidemark.llm.common import held_out, map_texts, without
 
 #: Labelled rows to learn from, about.
 MOST_ROWS = 40_000
@@ -167,5 +167,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns. Needs distinct doc_id."""
-    rejected = report(docs, labels).filter("predicted = 0").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+    return without(docs, report(docs, labels).filter("predicted = 0"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_texts
+from tidemark.llm.common import cut, map_texts, without
 from tidemark.llm.components import roots
 
 RADIUS, BLOCKS, SEED = 3, 6, 42
@@ -196,5 +196,4 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all columns. Needs distinct doc_id."""
-    dropped = classes(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, classes(docs).filter("doc_id <> component_id"))
