@@ -51,3 +51,10 @@ def covered(scores: DataFrame, condition: list[str], pair: list[str]) -> bool:
     """Whether every pair has every condition."""
     full = scores.select(*condition).distinct().crossJoin(F.broadcast(scores.select(*pair).distinct()))
     return full.join(scores.select(*condition, *pair).distinct(), [*condition, *pair], "left_anti").isEmpty()
+
+
+def estimable(scores: DataFrame, unit: list[str], level: str, value: str, replicates: int, levels: int) -> DataFrame:
+    """Median over replicates, then mean over levels; only units with all replicates of all levels."""
+    inner = scores.groupBy(*unit, level).agg(F.median(value).alias("_m"), F.count(value).alias("_c")).filter(F.col("_c") == replicates)
+    out = inner.groupBy(*unit).agg(F.avg("_m").alias("value"), F.count(F.lit(1)).alias("_levels"))
+    return out.filter(F.col("_levels") == levels).drop("_levels")
