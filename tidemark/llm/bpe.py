@@ -23,7 +23,7 @@ NONE = np.int32(2**31 - 1)
 #: Longer pre-tokens (in bytes) are merged with a heap one by one: a matrix row would take quadratic time.
 LONGEST_ROW = 256
 #: Rows of a matrix at a time, and pre-tokens remembered by a worker.
-ROWS, REMEMBERED = 65_536, 400_000
+ROWS, REMEMBERED = 16_384, 150_000
 
 
 class PairTable:
@@ -177,10 +177,11 @@ class ByteBPE:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         split = [self.pattern.findall(x) for x in texts]
+        distinct = set().union(*split)
+        if len(self.known) > REMEMBERED:  # what comes up here again is likely common
+            self.known = {x: ids for x in distinct if (ids := self.known.get(x)) is not None}
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := list(set().union(*split) - known.keys()):
+        if new := list(distinct - known.keys()):
             known.update(zip(new, self.merge([x.encode() for x in new]), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
