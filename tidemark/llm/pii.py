@@ -9,7 +9,7 @@ information of term and entity over the documents of the corpus, as a share of t
 with n the number of documents (for the pair: those with the term near the entity). A pair needs ``SUPPORT`` documents.
 From GENERALISE on the term is generalised, from REMOVE on it is removed, wherever it stands near that entity.
 
-All counts cover the whole corpus. Pairs are counted with partial sums; then only terms of pairs with support are
+All counts cover the whole corpus. Pairs are counted with partial sums; then only terms of pairs that may still count are
 counted over all documents: a bitmap of fixed size (2 MiB) of their hashes goes to the workers, and what it lets through
 by chance is dropped by the join. Occurrences of pairs are joined, never collected.
 
@@ -109,6 +109,7 @@ def _scan(ids: list, texts: list[str]) -> dict:
     found, entities = [], []
     for text, mine in zip(texts, spans, strict=True):
         seen: set[tuple[int, int]] = set()
+        terms: set[int] = set()
         places: set[tuple[int, int, int]] = set()
         rows, own = [], set()
         for span in mine:
@@ -118,8 +119,9 @@ def _scan(ids: list, texts: list[str]) -> dict:
                 term = _hashed(text[a:b].lower())
                 if (who, a, b) not in places:
                     places.add((who, a, b))
-                    rows.append({"entity": who, "term": term, "start": a, "stop": b, "first": (who, term) not in seen})
+                    rows.append({"entity": who, "term": term, "start": a, "stop": b, "first": (who, term) not in seen, "new": term not in terms})
                     seen.add((who, term))
+                    terms.add(term)
         found.append(rows)
         entities.append(sorted(own))
     out = {"id": ids} | {f"n_{k}": [sum(s[0] == k for s in x) for x in spans] for k in KINDS[:4]}
@@ -128,7 +130,7 @@ def _scan(ids: list, texts: list[str]) -> dict:
 
 _ROWS = (
     "id struct<doc_id:bigint,uid:bigint>, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
-    "found array<struct<entity:bigint,term:bigint,start:bigint,stop:bigint,first:boolean>>, entities array<bigint>"
+    "found array<struct<entity:bigint,term:bigint,start:bigint,stop:bigint,first:boolean,new:boolean>>, entities array<bigint>"
 )
 
 
@@ -158,17 +160,26 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """entity, term, disclosure of the pairs to act on; None if no pair has support."""
-    pairs = rows.select(F.explode("found").alias("f")).filter("f.first").groupBy("f.entity", "f.term").agg(F.count(F.lit(1)).alias("n_both"))
-    pairs = cut(pairs.filter(F.col("n_both") >= SUPPORT))
-    if pairs.isEmpty():
-        return None
+    """entity, term, disclosure of the pairs to act on; None if there is none to count.
+
+    A term is in at least as many documents as it is near any entity in. Pairs that disclose too little even if that is
+    all are dropped before terms are counted over the corpus.
+    """
     n = rows.count()
+    found = rows.select(F.explode("found").alias("f")).select("f.*")
+    pairs = found.filter("first").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
+    near_any = found.filter("new").groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     of_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    of_term = _document_counts(docs, pairs.select("term").distinct())
-    counted = pairs.join(of_term, "term").join(of_entity, "entity").filter(F.col("n_entity") < n)
-    ratio = 1 + F.log2(F.col("n_both") / F.col("n_term")) / F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return counted.select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+
+    def ratio(of_term: str):
+        return 1 + F.log2(F.col("n_both") / F.col(of_term)) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+
+    pairs = pairs.join(of_entity, "entity").filter(F.col("n_entity") < n).join(near_any, "term")
+    pairs = cut(pairs.filter(ratio("n_near") >= GENERALISE))
+    if pairs.isEmpty():
+        return None
+    counted = pairs.join(_document_counts(docs, pairs.select("term").distinct()), "term")
+    return counted.select("entity", "term", ratio("n_term").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
 
 
 def find(docs: DataFrame) -> DataFrame:
