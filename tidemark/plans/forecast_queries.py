@@ -21,14 +21,17 @@ long AS (SELECT series_id, t, split, y AS actual, method, predicted FROM f UNPIV
 steps AS (SELECT series_id, t, floor(0.8 * n) AS split, y - lag(y, 12) OVER w AS d FROM series {W}),
 scales AS (SELECT series_id, avg(abs(d)) AS scale, avg(d * d) AS scale_sq FROM steps WHERE t < split AND d IS NOT NULL GROUP BY 1),
 p AS (SELECT long.*, scale, scale_sq FROM long JOIN scales USING (series_id))"""
-SPLIT = rules.floor_split(F.col("n"))
+
+
+def split():
+    return rules.floor_split(F.col("n"))
 
 
 def predictions(spark, d):
     """series_id, t, method, actual, predicted, scale, scale_sq of the test part, for the frozen simple methods."""
     series = priority_monthly(spark, d)
-    test = naive.forecasts(series, SPLIT, 12).filter("is_test").select("series_id", "t", "method", F.col("y").alias("actual"), "predicted")
-    return test.join(F.broadcast(metrics.scales(series, 12, F.col("t") < SPLIT)), "series_id")
+    test = naive.forecasts(series, split(), 12).filter("is_test").select("series_id", "t", "method", F.col("y").alias("actual"), "predicted")
+    return test.join(F.broadcast(metrics.scales(series, 12, F.col("t") < split())), "series_id")
 
 
 def _rounded(df, *keys):
@@ -58,12 +61,12 @@ def rolling_origin(spark, d):
 
 @query("F08_season_scale", f"{FROZEN} SELECT series_id, round(scale, 8) AS scale, round(scale_sq, 8) AS scale_sq FROM scales")
 def season_scale(spark, d):
-    return _rounded(metrics.scales(priority_monthly(spark, d), 12, F.col("t") < SPLIT), "series_id")
+    return _rounded(metrics.scales(priority_monthly(spark, d), 12, F.col("t") < split()), "series_id")
 
 
 @query("M01_rolling_simple", f"{ROLLING} SELECT series_id, t, method, round(predicted, 8) AS predicted FROM f UNPIVOT (predicted FOR method IN (naive_1, seasonal_naive, drift)) WHERE t >= floor(0.8 * n)")
 def rolling_simple(spark, d):
-    return naive.forecasts(priority_monthly(spark, d), SPLIT, 12, frozen=False).filter("is_test").select("series_id", "t", "method", r8("predicted").alias("predicted"))
+    return naive.forecasts(priority_monthly(spark, d), split(), 12, frozen=False).filter("is_test").select("series_id", "t", "method", r8("predicted").alias("predicted"))
 
 
 for _id, _method in (("M11_frozen_naive", "naive_1"), ("M12_frozen_seasonal", "seasonal_naive"), ("M13_frozen_drift", "drift")):
