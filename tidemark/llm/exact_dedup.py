@@ -85,8 +85,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return out
     order = Window.partitionBy("doc_id", F.sha2(normalised(F.col("text")), 256)).orderBy(F.char_length("text").desc())
-    numbered = out.join(again, "doc_id", "left_semi").withColumn("_number", F.row_number().over(order))
-    return out.join(again, "doc_id", "left_anti").unionByName(numbered.filter("_number = 1").drop("_number"))
+    number = "_" + "_".join(docs.columns)  # no column of docs
+    numbered = out.join(again, "doc_id", "left_semi").withColumn(number, F.row_number().over(order))
+    return out.join(again, "doc_id", "left_anti").unionByName(numbered.filter(F.col(number) == 1).select(*docs.columns))
 
 
 SQL = r"""
