@@ -31,6 +31,8 @@ ALL = 2**64 - 1
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 16, dtype=np.uint64)
 #: Fingerprints of a bucket that one task compares; larger buckets are split again.
 MOST = 16_384
+#: Free bits of a bucket at each level: 32, 16, 8. At the last one a bucket has 256 fingerprints at most.
+LEVELS = 3
 #: Buckets of so many fingerprints at most are compared many at a time.
 FEW = 8
 #: Shingles whose bits are counted at a time.
@@ -162,17 +164,19 @@ def link(nodes: DataFrame) -> DataFrame:
     masks = F.array(*(F.lit(_signed(m)).cast("bigint") for m in _masks(ALL)))
     keyed = nodes.select("fp", "node", F.explode(masks).alias("fixed"))
     found = None
-    while True:
+    for level in range(LEVELS):
         keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
         sizes = keyed.groupBy("fixed", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = cut(keyed.join(sizes, ["fixed", "value"]).select(F.xxhash64("fixed", "value").alias("bucket"), "fp", "node", "fixed", "n"))
-        small = shared.filter(F.col("n") <= MOST).select("bucket", "fp", "node")
+        last = level == LEVELS - 1
+        small = (shared if last else shared.filter(F.col("n") <= MOST)).select("bucket", "fp", "node")
         links = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_buckets, "u bigint, v bigint")
         found = links if found is None else found.unionByName(links)
         large = shared.filter(F.col("n") > MOST).select("fp", "node", "fixed")
-        if large.isEmpty():
-            return found
+        if last or large.isEmpty():
+            break
         keyed = large.mapInArrow(_split_again, "fp bigint, node bigint, fixed bigint")
+    return found
 
 
 def classes(docs: DataFrame) -> DataFrame:
