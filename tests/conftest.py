@@ -5,9 +5,9 @@ from pathlib import Path
 import pytest
 
 REPO = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, REPO)
+sys.path[:0] = [REPO, f"{REPO}/tests"]
 os.environ["PYTHONPATH"] = f"{REPO}:{os.environ.get('PYTHONPATH', '')}"
-TINY = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")

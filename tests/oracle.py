@@ -10,6 +10,9 @@ import os
 import duckdb
 import numpy as np
 
+TINY = "/root/testdata/sf0.001"
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     c = duckdb.connect()

@@ -1,8 +1,8 @@
 """Every query of the reference's operators runs on the smallest tables and, where there is SQL, equals it."""
 
 import pytest
-from conftest import TINY
-from oracle import connect, same
+
+from oracle import TINY, connect, same
 
 from tidemark.plans.registry import FLAGSHIP, QUERIES, SQL
 
@@ -36,7 +36,7 @@ def test_imports_without_the_text_subpackage(tmp_path):
     import subprocess
     import sys
 
-    from conftest import REPO
+    from oracle import REPO
 
     shutil.copytree(f"{REPO}/tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{REPO}/__spark_entry__.py", tmp_path)
