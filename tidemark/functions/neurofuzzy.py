@@ -15,7 +15,7 @@ VARIANTS = {
     "PC": ("constricted", "feasible_rejection", None),
     "P": ("nonconstricted", "feasible_rejection", None),
     "C": ("constricted", "project", None),
-    "NFPSO": ("nonconstricted", "project", None),
+    "NEITHER": ("nonconstricted", "project", None),
     "VALIDATION_ONLY": ("constricted", "feasible_rejection", (0.0, 1.0, 0.0, 0.0)),
     "NO_SENSITIVITY": ("constricted", "feasible_rejection", (0.5, 1.0, 0.0, 0.01)),
     "NO_COVERAGE": ("constricted", "feasible_rejection", (0.5, 1.0, 0.001, 0.0)),

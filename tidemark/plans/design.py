@@ -61,7 +61,7 @@ def final_tasks(spark: SparkSession, real: DataFrame | None = None) -> DataFrame
     synthetic = product(values(spark, "generator", GENERATORS, "string"), values(spark, "dgp_seed", FINAL_SEEDS, "int"), values(spark, "noise_level", NOISE_LEVELS, "double"))
     synthetic = synthetic.withColumn("seasonal_period", period).withColumn("domain", F.lit("synthetic"))
     units = synthetic if real is None else synthetic.unionByName(real.withColumn("domain", F.lit("real")), allowMissingColumns=True)
-    pc = units.crossJoin(F.broadcast(values(spark, "optimizer_seed", FINAL_OPTIMIZER_SEEDS, "int"))).withColumn("method", F.lit("pc_nfpso"))
+    pc = units.crossJoin(F.broadcast(values(spark, "optimizer_seed", FINAL_OPTIMIZER_SEEDS, "int"))).withColumn("method", F.lit("neuro_fuzzy"))
     base = units.crossJoin(F.broadcast(values(spark, "method", BASELINES, "string"))).filter("method <> 'seasonal_naive' OR seasonal_period > 1")
     tasks = pc.unionByName(base, allowMissingColumns=True).withColumn("n_lags", F.least(F.lit(12), F.greatest(F.lit(5), "seasonal_period")))
     return tasks.select(run_id(*tasks.columns).alias("run_id"), *tasks.columns)

@@ -373,9 +373,9 @@ def final_tasks(spark, d):
     return design.final_tasks(spark).groupBy("generator").agg(F.countDistinct("run_id").alias("n"))
 
 
-@query("Q03_task_summary", f"SELECT method = 'pc_nfpso' AS is_pc, sum(n)::BIGINT AS n FROM (SELECT 'pc_nfpso' AS method, 2700 AS n UNION ALL SELECT 'baseline', 4440) GROUP BY 1")
+@query("Q03_task_summary", f"SELECT method = 'neuro_fuzzy' AS is_pc, sum(n)::BIGINT AS n FROM (SELECT 'neuro_fuzzy' AS method, 2700 AS n UNION ALL SELECT 'baseline', 4440) GROUP BY 1")
 def task_summary(spark, d):
-    return design.final_tasks(spark).groupBy((F.col("method") == "pc_nfpso").alias("is_pc")).agg(F.count(F.lit(1)).alias("n"))
+    return design.final_tasks(spark).groupBy((F.col("method") == "neuro_fuzzy").alias("is_pc")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("I11_run_id")
@@ -445,7 +445,7 @@ def complete_gate(spark, d):
     return found.select(F.lit(28350).cast("bigint").alias("expected"), "found", (F.col("found") == 28350).alias("open"))
 
 
-@query("M26_variants", "SELECT * FROM (VALUES ('C', true), ('NFPSO', true), ('NF_BASE', false), ('NO_COVERAGE', true), ('NO_SENSITIVITY', true), ('P', true), ('PC', true), ('VALIDATION_ONLY', true)) v(variant, swarm)")
+@query("M26_variants", "SELECT * FROM (VALUES ('C', true), ('NEITHER', true), ('NF_BASE', false), ('NO_COVERAGE', true), ('NO_SENSITIVITY', true), ('P', true), ('PC', true), ('VALIDATION_ONLY', true)) v(variant, swarm)")
 def variants(spark, d):
     return spark.createDataFrame([(k, v[0] is not None) for k, v in neurofuzzy.VARIANTS.items()], "variant string, swarm boolean")
 
@@ -460,7 +460,7 @@ def final_execution(spark, d):
 
 @query("Q17_experiment_grid")
 def experiment_grid(spark, d):
-    return fitting.predictions(tasks(spark, d, ["C", "NFPSO"], [1, 2]), M, rounds=5).groupBy("series_id", "method", "seed", "status").agg(F.first("objective").alias("objective"), F.count(F.lit(1)).alias("n"))
+    return fitting.predictions(tasks(spark, d, ["C", "NEITHER"], [1, 2]), M, rounds=5).groupBy("series_id", "method", "seed", "status").agg(F.first("objective").alias("objective"), F.count(F.lit(1)).alias("n"))
 
 
 @query("Q23_series_manifest")

@@ -157,7 +157,7 @@ def dynamic_fitness(spark, d):
 @query("M30_legacy_experiment")
 def legacy_experiment(spark, d):
     """Both legacy protocols: nonconstricted swarm, projected, and the research variant with a validation objective."""
-    return fitting.predictions(tasks(spark, d, ["NFPSO", "VALIDATION_ONLY"], [123]), M, rounds=10).groupBy("series_id", "method").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
+    return fitting.predictions(tasks(spark, d, ["NEITHER", "VALIDATION_ONLY"], [123]), M, rounds=10).groupBy("series_id", "method").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
 
 
 for _k, _name, _n in (("O13", "ar", 120), ("O14", "sine", 240), ("O15", "regime", 120), ("O16", "spiky", 60), ("O17", "seasonal", 120), ("O18", "short", 50)):
@@ -184,7 +184,7 @@ def ablation_ranks(spark, d):
     return inference.signed_ranks(pairs(spark, d)).select("statistic", "n")
 
 
-@query("Q11_ablation_grid", f"{P} SELECT DISTINCT series_id, variant FROM series, (SELECT unnest(['PC', 'P', 'C', 'NFPSO', 'VALIDATION_ONLY', 'NO_SENSITIVITY', 'NO_COVERAGE', 'NF_BASE']) AS variant)")
+@query("Q11_ablation_grid", f"{P} SELECT DISTINCT series_id, variant FROM series, (SELECT unnest(['PC', 'P', 'C', 'NEITHER', 'VALIDATION_ONLY', 'NO_SENSITIVITY', 'NO_COVERAGE', 'NF_BASE']) AS variant)")
 def ablation_grid(spark, d):
     return tasks(spark, d, list(neurofuzzy.VARIANTS)).select("series_id", F.col("method").alias("variant")).distinct()
 
