@@ -54,6 +54,14 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def dealt_round(df: DataFrame) -> DataFrame:
+    """The rows of an aggregation dealt out in turn, so that a join on its key shuffles both sides anew.
+
+    Without this the join would reuse the aggregation's partitioning, and adaptive execution couldn't split a hot key.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def held_out(remainder: int, divisor: int):
     """Column: crc32 of doc_id as text, modulo ``divisor``, equals ``remainder`` (null doc_id: false)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, without
+from tidemark.llm.common import cut, dealt_round, without
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Positions in the filter for each row, and bits of the filter for each row as long as MOST_BITS allows.
@@ -70,7 +70,7 @@ def find(docs: DataFrame) -> DataFrame:
     again = tested.filter("again")
     first = F.min(F.struct((-F.col("n")).alias("n"), F.isnull("doc_id").alias("no_id"), "doc_id", "uid"))
     groups = again.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = again.join(groups, "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha", "uid")
+    grouped = again.join(dealt_round(groups), "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha", "uid")
     return once.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "uid")
 
 
