@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_texts
+from tidemark.llm.common import cut, dealt_round, map_texts
 
 LENGTH, GRAM = 50, 8
 BITS = 1 << 26
@@ -185,7 +185,7 @@ def _by_window(suffixes: DataFrame) -> DataFrame:
     """The same ranges for keys with very many suffixes, a window at a time."""
     windows = suffixes.select("doc_id", "start", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("start") + F.col("i")).alias("start"), "w")
     shared = windows.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return windows.join(shared, "w").select("doc_id", "start", (F.col("start") + 1).alias("stop"), "first_doc")
+    return windows.join(dealt_round(shared), "w").select("doc_id", "start", (F.col("start") + 1).alias("stop"), "first_doc")
 
 
 def passages(docs: DataFrame) -> DataFrame:
