@@ -9,20 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, dealt_round
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(dealt_round(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them. Here u > v in every link."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    others = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = links.join(dealt_round(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_texts, without
+from tidemark.llm.common import cut, dealt_round, map_texts, without
 from tidemark.llm.components import roots
 
 RADIUS, BLOCKS, SEED = 3, 6, 42
@@ -167,7 +167,7 @@ def link(nodes: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         keyed = keyed.withColumn("value", F.col("fp").bitwiseAND(F.col("fixed")))
         sizes = keyed.groupBy("fixed", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = cut(keyed.join(sizes, ["fixed", "value"]).select(F.xxhash64("fixed", "value").alias("bucket"), "fp", "node", "fixed", "n"))
+        shared = cut(keyed.join(dealt_round(sizes), ["fixed", "value"]).select(F.xxhash64("fixed", "value").alias("bucket"), "fp", "node", "fixed", "n"))
         last = level == LEVELS - 1
         small = (shared if last else shared.filter(F.col("n") <= MOST)).select("bucket", "fp", "node")
         links = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_buckets, "u bigint, v bigint")
