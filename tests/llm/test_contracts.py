@@ -183,6 +183,23 @@ def test_pii_terms_by_brute_force(spark):
     assert any("remove" in s for _, s in want)
 
 
+def test_pii_far_rare_and_short_terms(spark):
+    """A name in the heading and an address at the end, in one document; a short name; a name in a script without spaces."""
+    fill = "the report went out on time and all was well " * 20
+    docs = [(i, fill + f"Quimby wrote {fill}" if i == 90 else fill) for i in range(100)]
+    docs += [(200, f"Zebulon Li report {fill} zl@mail.com and Zebulon went"), (201, f"report by 王小明的 {fill} wang@mail.com")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).select("doc_id", "spans").collect()}
+    texts = dict(docs)
+
+    def marked(i):
+        spans = [x.split(":") for x in got[i].split(",") if x]
+        return [texts[i][int(a) : int(b)] for k, a, b in spans if k in ("generalise", "remove")]
+
+    assert sorted(marked(200)) == ["Li", "Zebulon", "Zebulon"]
+    assert {"王小", "小明"} <= set(marked(201)) and "report" not in marked(201)
+    assert marked(90) == [] and marked(1) == []
+
+
 def test_pii_sanitised():
     t = "mail joe@mail.com to Quimby now"
     assert pii.sanitised(t, "email:5:17,remove:21:27") == "mail [email] to  now"

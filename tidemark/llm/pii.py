@@ -1,17 +1,21 @@
 """Personal data, and terms that give it away: information-theoretic sanitisation.
 
 Fixed patterns find e-mail addresses, IP addresses, card and telephone numbers; these are the protected entities. A term
-near an entity (within ``CONTEXT`` characters) discloses it as far as seeing the term tells of the entity: pointwise mutual
-information of term and entity over the documents of the corpus, as a share of the entity's own information,
+discloses an entity of its document as far as seeing the term tells of the entity: pointwise mutual information of term
+and entity over the documents of the corpus, as a share of the entity's own information,
 
-    disclosure = log2(N n(term, entity) / (n(term) n(entity))) / log2(N / n(entity)),
+    disclosure = log2(N n(term, entity) / ((n(term) + SMOOTHING) n(entity))) / log2(N / n(entity)),
 
-with n the number of documents (for the pair: those with the term near the entity). A pair needs ``SUPPORT`` documents.
-From GENERALISE on the term is generalised, from REMOVE on it is removed, wherever it stands near that entity.
+with n the number of documents that hold it, wherever in them. The smoothing takes the place of a least number of
+documents: with little to go by a term is generalised rather than removed, and in small corpora left. From GENERALISE on
+the term is generalised, from REMOVE on it is removed, wherever it stands in a document that holds the entity.
 
-All counts cover the whole corpus. Pairs are counted with partial sums; then only terms of pairs that may still count are
-counted over all documents: a bitmap of fixed size (2 MiB) of their hashes goes to the workers, and what it lets through
-by chance is dropped by the join. Occurrences of pairs are joined, never collected.
+A term is a run of letters of any length; of scripts written without spaces, every two neighbouring characters.
+
+All counts cover the whole corpus, with partial sums. Entities with the same documents disclose alike and are counted as
+one class. As n(term, entity) is n(entity) at most, a term in too many documents can't disclose; the most frequent terms
+(a table of at most MOST_TERMS, broadcast) are passed over by that bound before pairs are made, without any loss.
+Occurrences of pairs are joined, never collected.
 
 Defined results: null and empty texts have no spans; an entity in every document has no information and discloses
 nothing. Repeated rows count as documents and give repeated rows. Extra columns are ignored.
@@ -20,6 +24,7 @@ nothing. Repeated rows count as documents and give repeated rows. Extra columns
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -27,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_texts
+from tidemark.llm.common import cut, dealt_round, map_texts
 from tidemark.llm.spans import Span, by_kind, digest, joined
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 120, 3, 0.9, 0.97
-BITS = 1 << 24
+SUPPORT, SMOOTHING, GENERALISE, REMOVE = 1, 0.5, 0.9, 0.97
+MOST_TERMS = 500_000
 
 # The contract's patterns (fixed values), put so that long runs take linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +45,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W\d_]+")
+_PACKED = "\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+PACKED = re.compile(f"[{_PACKED}]")
+RUNS = re.compile(f"[{_PACKED}]+|[^{_PACKED}]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -92,110 +100,150 @@ def entity(text: str, span: Span) -> int:
     return _hashed(f"{kind}:{_digits(value) if kind in ('card', 'phone') else value}")
 
 
-def near(text: str, span: Span, spans: list[Span]) -> list[tuple[int, int]]:
-    """Words that are wholly within CONTEXT characters of a span and outside all spans."""
+def words(text: str) -> list[tuple[int, int]]:
+    """All terms of a text: runs of letters, and pairs of neighbouring characters of scripts without spaces."""
+    if text.isascii() or not PACKED.search(text):
+        return [m.span() for m in TERM.finditer(text)]
+    out = []
+    for m in TERM.finditer(text):
+        for run in RUNS.finditer(text, *m.span()):
+            a, b = run.span()
+            out += [(k, k + 2) for k in range(a, b - 1)] if b - a > 2 and PACKED.match(text, a) else [(a, b)]
+    return out
+
+
+def outside(places: list[tuple[int, int]], spans: list[Span]) -> list[bool]:
+    """For each place whether it's outside all spans."""
+    merged: list[list[int]] = []
+    for _, x, y in sorted(spans, key=lambda s: s[1:]):
+        if merged and x <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+        else:
+            merged.append([x, y])
+    starts = [x for x, _ in merged]
     out = []
-    for a, b in ((max(0, span[1] - CONTEXT), span[1]), (span[2], min(len(text), span[2] + CONTEXT))):
-        for m in TERM.finditer(text, a, b):
-            s, e = m.span()
-            whole = (s > 0 and s == a and text[s - 1].isalpha()) or (e < len(text) and e == b and text[e].isalpha())
-            if not whole and not any(x < e and s < y for _, x, y in spans):
-                out.append((s, e))
+    for a, b in places:
+        k = bisect_right(starts, b - 1)
+        out.append(not k or merged[k - 1][1] <= a)
     return out
 
 
+def near(text: str, span: Span, spans: list[Span]) -> list[tuple[int, int]]:
+    """The terms that go with a span: all of the document outside its spans."""
+    found = words(text)
+    return [w for w, free in zip(found, outside(found, spans), strict=True) if free]
+
+
 def _scan(ids: list, texts: list[str]) -> dict:
     spans = [base_spans(x) for x in texts]
-    found, entities = [], []
-    for text, mine in zip(texts, spans, strict=True):
-        seen: set[tuple[int, int]] = set()
-        terms: set[int] = set()
-        places: set[tuple[int, int, int]] = set()
-        rows, own = [], set()
-        for span in mine:
-            who = entity(text, span)
-            own.add(who)
-            for a, b in near(text, span, mine):
-                term = _hashed(text[a:b].lower())
-                if (who, a, b) not in places:
-                    places.add((who, a, b))
-                    rows.append({"entity": who, "term": term, "start": a, "stop": b, "first": (who, term) not in seen, "new": term not in terms})
-                    seen.add((who, term))
-                    terms.add(term)
-        found.append(rows)
-        entities.append(sorted(own))
+    entities = [sorted({entity(t, s) for s in mine}) for t, mine in zip(texts, spans, strict=True)]
     out = {"id": ids} | {f"n_{k}": [sum(s[0] == k for s in x) for x in spans] for k in KINDS[:4]}
-    return out | {"base_sha256": list(map(digest, spans)), "base": list(map(joined, spans)), "found": found, "entities": entities}
+    out |= {"base_sha256": list(map(digest, spans)), "base": list(map(joined, spans)), "entities": entities}
+    return out | {"text": [t if e else None for t, e in zip(texts, entities, strict=True)]}
 
 
 _ROWS = (
     "id struct<doc_id:bigint,uid:bigint>, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
-    "found array<struct<entity:bigint,term:bigint,start:bigint,stop:bigint,first:boolean,new:boolean>>, entities array<bigint>"
+    "entities array<bigint>, text string"
 )
+_FOUND = "uid bigint, pairs array<struct<class:bigint,n_entity:bigint,term:bigint>>, places array<struct<term:bigint,start:bigint,stop:bigint>>"
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_term: documents with the term, for the given terms and some others."""
-    bits = np.zeros(BITS // 8, np.uint8)
-    place = terms.select(F.expr(f"pmod(term, {BITS}L) + 1 AS p")).select(F.expr("bitmap_bucket_number(p) AS bucket"), F.expr("bitmap_bit_position(p) AS at"))
-    for bucket, part in place.groupBy("bucket").agg(F.expr("bitmap_construct_agg(at)")).toLocalIterator():
-        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _document_counts(docs: DataFrame) -> DataFrame:
+    """term, n_term: documents with the term, for all terms."""
 
-    def make():
-        wanted = shared.value
+    def run(ids: list, texts: list[str]) -> dict | None:
+        counts: Counter = Counter()
+        for text in texts:
+            found = TERM.findall(text) if text.isascii() or not PACKED.search(text) else [text[a:b] for a, b in words(text)]
+            counts.update({w.lower() for w in set(found)})
+        return {"term": list(map(_hashed, counts)), "n": list(counts.values())} if counts else None
 
-        def run(ids: list, texts: list[str]) -> dict | None:
-            counts: Counter = Counter()
-            for text in texts:
-                words = {w.lower().encode() for w in set(TERM.findall(text))}
-                hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-                at = hashes & np.uint64(BITS - 1)
-                counts.update(hashes[(wanted[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)].view(np.int64).tolist())
-            return {"term": list(counts), "n": list(counts.values())} if counts else None
+    return map_texts(docs, lambda: run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
 
-        return run
 
-    return map_texts(docs, make, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent terms, by term, and the documents of each."""
+    least, total = None, 0
+    for power, n in sorted(counts.groupBy(F.floor(F.log2("n_term")).alias("power")).count().collect(), reverse=True):
+        total += n
+        if total > MOST_TERMS:
+            break
+        least = power
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    got = counts.filter(F.col("n_term") >= 1 << least).toArrow()
+    term, n = (got[c].to_numpy() for c in ("term", "n_term"))
+    order = np.argsort(term)
+    return term[order], n[order]
+
 
+def _bound(n_docs: int, n_entity: np.ndarray) -> np.ndarray:
+    """The most that n(term) + SMOOTHING can be where a term discloses an entity."""
+    return n_entity * (n_docs / n_entity) ** (1 - GENERALISE) * (1 + 1e-9)
 
-def disclosing(rows: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """entity, term, disclosure of the pairs to act on; None if there is none to count.
 
-    A term is in at least as many documents as it is near any entity in. Pairs that disclose too little even if that is
-    all are dropped before terms are counted over the corpus.
-    """
-    n = rows.count()
-    found = rows.select(F.explode("found").alias("f")).select("f.*")
-    pairs = found.filter("first").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    near_any = found.filter("new").groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    of_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def _pairs(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """uid, the pairs of a document that may disclose, and the places of their terms outside of entities."""
+    each = rows.select("id.uid", F.explode("entities").alias("entity"))
+    docs_of = F.bit_xor(F.xxhash64("uid"))
+    of_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), docs_of.alias("docs")).filter(F.col("n_entity") < n)
+    of_entity = of_entity.select("entity", "n_entity", F.xxhash64("n_entity", "docs").alias("class"))
+    classes = each.join(dealt_round(of_entity), "entity").groupBy("uid").agg(F.collect_set(F.struct("class", "n_entity")).alias("classes"))
+    shared = rows.sparkSession.sparkContext.broadcast(_frequent(counts))
 
-    def ratio(of_term: str):
-        return 1 + F.log2(F.col("n_both") / F.col(of_term)) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+    def make():
+        terms, n_terms = shared.value
+
+        def run(ids: list, texts: list[str]) -> dict:
+            all_pairs, all_places = [], []
+            for who, text in zip(ids, texts, strict=True):
+                spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in who["base"].split(","))]
+                found = words(text)
+                names = [text[a:b].lower() for a, b in found]
+                hashes = {w: _hashed(w) for w in set(names)}
+                own = np.fromiter(hashes.values(), np.int64, len(hashes))
+                least = np.ones(len(own))
+                if len(terms):
+                    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+                    least = np.where(terms[at] == own, n_terms[at], 1)
+                n_entity = np.array([c["n_entity"] for c in who["classes"]])
+                bounds = _bound(n, n_entity)
+                pairs = []
+                for c, most in zip(who["classes"], bounds, strict=True):
+                    pairs += [{"class": c["class"], "n_entity": c["n_entity"], "term": t} for t in own[least + SMOOTHING <= most].tolist()]
+                wanted = set(own[least + SMOOTHING <= bounds.max()].tolist())
+                free = outside(found, spans)
+                all_pairs.append(pairs)
+                all_places.append([{"term": hashes[w], "start": a, "stop": b} for w, (a, b), f in zip(names, found, free, strict=True) if f and hashes[w] in wanted])
+            return {"uid": [x["uid"] for x in ids], "pairs": all_pairs, "places": all_places}
+
+        return run
 
-    pairs = pairs.join(of_entity, "entity").filter(F.col("n_entity") < n).join(near_any, "term")
-    pairs = cut(pairs.filter(ratio("n_near") >= GENERALISE))
-    if pairs.isEmpty():
-        return None
-    counted = pairs.join(_document_counts(docs, pairs.select("term").distinct()), "term")
-    return counted.select("entity", "term", ratio("n_term").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    holding = rows.select("id.uid", "base", "text").join(classes, "uid")
+    return map_texts(holding, make, _FOUND, id_col=F.struct("uid", "base", "classes").alias("id"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base spans, then terms, by kind and start)."""
     rows = cut(map_texts(docs, lambda: _scan, _ROWS, id_col=F.struct("doc_id", F.monotonically_increasing_id().alias("uid")).alias("id")))
-    pairs = disclosing(rows, docs)
-    counts = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
-    if pairs is None:
-        return rows.select("id.doc_id", *counts, F.col("base").alias("spans"))
-    places = rows.select("id.uid", F.explode("found").alias("f")).select("uid", "f.entity", "f.term", "f.start", "f.stop")
-    hit = places.join(pairs, ["entity", "term"]).groupBy("uid", "start", "stop").agg(F.max("disclosure").alias("d"))
+    columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    n, holding = rows.count(), rows.filter(F.size("entities") > 0)
+    if holding.isEmpty():
+        return rows.select("id.doc_id", *columns, F.col("base").alias("spans"))
+    counts = cut(_document_counts(docs))
+    found = cut(_pairs(holding, counts, n))
+    pairs = found.select("uid", F.explode("pairs").alias("p")).select("uid", "p.*")
+    told = 1 + F.log2(F.col("n_both") / (F.col("n_term") + SMOOTHING)) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+    both = pairs.groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    disclosing = dealt_round(both).join(counts, "term").select("class", "term", told.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    hit = pairs.join(dealt_round(disclosing), ["class", "term"]).groupBy("uid", "term").agg(F.max("disclosure").alias("d"))
+    places = found.select("uid", F.explode("places").alias("p")).select("uid", "p.*")
     part = F.struct((F.col("d") >= REMOVE).alias("remove"), "start", "stop")
-    terms = hit.groupBy("uid").agg(F.sort_array(F.collect_list(part)).alias("terms"))
+    terms = places.join(hit, ["uid", "term"]).groupBy("uid").agg(F.sort_array(F.collect_list(part)).alias("terms"))
     text = F.expr("transform(terms, t -> concat(if(t.remove, 'remove', 'generalise'), ':', t.start, ':', t.stop))")
     all_spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.concat_ws(",", text))
-    return rows.join(terms, F.col("id.uid") == F.col("uid"), "left").select("id.doc_id", *counts, F.when(F.col("terms").isNull(), F.col("base")).otherwise(all_spans).alias("spans"))
+    return rows.join(terms, F.col("id.uid") == F.col("uid"), "left").select("id.doc_id", *columns, F.when(F.col("terms").isNull(), F.col("base")).otherwise(all_spans).alias("spans"))
 
 
 def sanitised(text: str, spans: str) -> str:
