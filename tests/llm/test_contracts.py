@@ -122,6 +122,28 @@ def test_secrets_follow_assignments():
     assert secrets.redact('pass_word: x\nsecret_key = "a1B2c3D4e5F6"').count("a1B2") == 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ('os.environ["DB_PASSWORD"] = "a1B2c3D4e5F6"', ["a1B2c3D4e5F6"]),
+    ('API_KEY = b"a1B2c3D4e5F6"\npassword = f"x1Y2z3W4v5U6"', ["a1B2c3D4e5F6", "x1Y2z3W4v5U6"]),
+    ('password = ("a1B2c3D4e5F6")', ["a1B2c3D4e5F6"]),
+    ('password = (\n    "a1B2c3"  # first\n    "D4e5F6"\n)\ncolour = "x1Y2z3W4v5U6"', ["a1B2c3", "D4e5F6"]),
+    ('tokens_and_secret = ["a1B2c3D4e5F6", "x1Y2z3W4v5U6"]', ["a1B2c3D4e5F6", "x1Y2z3W4v5U6"]),
+    ('password =\n"a1B2c3D4e5F6"', ["a1B2c3D4e5F6"]),
+    ('{"private_key":\n  "a1B2c3D4e5F6",\n"name": "x1Y2z3W4v5U6"}', ["a1B2c3D4e5F6"]),
+    ('secret:\n  "colour": "x1Y2z3W4v5U6"', []),
+    ("secret:\n  - colour\nother: x1Y2z3W4v5U6", []),
+    ("a:\n  secret_key: |\n    a1B2c3D4e5F6\n\n    g7H8i9J0k1L2\n  colour: x1Y2z3W4v5U6", ["a1B2c3D4e5F6", "g7H8i9J0k1L2"]),
+    ("data: |\n  db_pass = 'a1B2c3D4e5F6'", ["a1B2c3D4e5F6"]),
+    ('password = """a1B2c3D4e5F6"""', ["a1B2c3D4e5F6"]),
+    ('password = """\na1B2c3D4e5F6\n"""', ["a1B2c3D4e5F6"]),
+    ('config = """\npassword = \'a1B2c3D4e5F6\'\n"""', ["a1B2c3D4e5F6"]),
+    ('password = \\\n    "a1B2c3D4e5F6"', ["a1B2c3D4e5F6"]),
+    ('password: str = "a1B2c3D4e5F6"', ["a1B2c3D4e5F6"]),
+])
+def test_secrets_over_lines_brackets_and_prefixes(text, want):
+    assert [text[a:b] for _, a, b in sorted(secrets.literal_spans(text))] == want
+
+
 def plain_pii(t: str) -> list:
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

@@ -1,11 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
-The lines of a text that assign something are lexed into names and values, over the syntaxes of source code and
-configuration (``name = "value"``, ``name: value``, ``"name": "value"``, ``name := value``, ``name => value``,
-``export NAME=value``). A value is a row of literals and names joined by ``+``. Names that hold literals are constants:
-where such a name is used in a later value, its literals go along. Every literal that reaches a name is scored by how
-sensitive the name is and by how much the literal looks like a secret; the best score of a literal counts, and those of
-``LEAST_SCORE`` or more give a span of kind ``literal``.
+What assigns in a text is lexed into names and values, over the syntaxes of source code and configuration
+(``name = "value"``, ``name: value``, ``"name": "value"``, ``name["part"] = "value"``, ``name := value``,
+``name => value``, ``export NAME=value``). A value is a row of literals and names joined by ``+`` or put side by side, perhaps
+in round or square brackets. It may start on the line after and go over line ends: in brackets, after ``+`` or a backslash, in
+triple or backward quotes (each line is a literal; assignments in such a text are lexed as well) and in YAML blocks. Literals
+may have a prefix (``b"value"``). Names that hold literals are constants: where such a name is used in a later value, its
+literals go along. Every literal that reaches a name is scored by how sensitive the name is and by how much the literal,
+or the row it's in, looks like a secret; the best score of a literal counts, and those of ``LEAST_SCORE`` or more give a span
+of kind ``literal``.
 
 Fixed patterns come first and always stay: assignments to tell-tale names, access keys, long hexadecimal runs.
 
@@ -32,10 +35,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _TOLD = ("passw", "secret", "token", "api")
 
-LINE = re.compile(r"[^\n]*+")
-#: A name, perhaps in quotes, and what assigns to it.
-TARGET = re.compile(r"""(?<![A-Za-z0-9_.$-])(["']?)([A-Za-z_$][A-Za-z0-9_.$-]*+)\1[ \t]*+(?::=|=>|=(?![=~])|:(?![:=]))[ \t]*+""")
-VALUE = re.compile(r"""[ \t]*+(?:(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)|(?P<bare>[^\s"'`,;(){}\[\]<>|&+]++))[ \t]*+(?P<more>\+?)""")
+#: A name, perhaps in quotes or with subscripts, and what assigns to it.
+TARGET = re.compile(r"""(?<![A-Za-z0-9_.$-])(["']?)([A-Za-z_$][A-Za-z0-9_.$-]*+)\1((?:\[[^\[\]\n]{0,200}\])*+)[ \t]*+(?P<by>:=|=>|=(?![=~])|:(?![:=]))[ \t]*+""")
+NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*+")
+STRING = re.compile(r"""(?:[bBrRuUfFtT]{1,2}|L|u8|[@$]{1,2})?(?:(?P<triple>\"{3}|'{3})(?P<lines>(?:\\.|(?!(?P=triple))[^\\])*+)(?P=triple)|`(?P<ticked>(?:\\.|[^`\\])*+)`|(?P<quote>["'])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote))""", re.DOTALL)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>|&+]++""")
+#: Gaps within a line or over a backslash at its end; and where line ends and comments don't matter.
+GAP = re.compile(r"(?:[ \t]|\\\r?\n)*+")
+WIDE = re.compile(r"(?:\s|\\\r?\n|#[^\n]*|//[^\n]*)*+")
+ASSIGNS = re.compile(r"[ \t]*+(?::=|=>|=(?![=~])|:(?![:=]))")
+#: A comment with something in it that may assign.
+COMMENT = re.compile(r"(?<=[\s(\[,])(?:#|//)(?=[^\n]*[=:])")
+SPACE = re.compile(r"\s*+")
+BLOCK = re.compile(r"[|>][0-9+-]{0,2}[ \t]*+(?:#[^\n]*)?\r?\n")
+LINES = re.compile(r"\S(?:[^\n]*[^\s])?")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a name's parts make it, and what parts say that it isn't the secret itself.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "auth": 0.6, "key": 0.55, "private": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.5}
@@ -75,44 +88,115 @@ def literal_score(value: str) -> float:
     return min(1.0, spread / 3.5) * (0.55 + 0.15 * min(kinds, 3))
 
 
+def _block(text: str, target: int, at: int) -> list[list[tuple[int, int]]]:
+    """The lines of a YAML block from ``at`` on: those deeper than the line of its target."""
+    line = text.rfind("\n", 0, target) + 1
+    depth = len(text[line:target]) - len(text[line:target].lstrip(" "))
+    out = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if held := LINES.search(text, at, end):
+            if held.start() - at <= depth:
+                break
+            out.append([held.span()])
+        at = end + 1
+    return out
+
+
+def _value(text: str, at: int, constants: dict) -> tuple[list[list[tuple[int, int]]], int]:
+    """Rows of literals of the value at ``at``, and where to look for the next target."""
+    rows: list[list[tuple[int, int]]] = []
+    row: list[tuple[int, int]] = []
+    at = GAP.match(text, at).end()
+    depth, start, inner = 0, at + len(SPACE.match(text, at)[0]), None
+    below = "\n" in text[at:start]
+    first = at
+    if below:
+        if not (STRING.match(text, start) or text.startswith("(", start)):
+            return [], at
+        at = start
+    while at < len(text):
+        if text[at] in "([":
+            depth, at = depth + 1, WIDE.match(text, at + 1).end()
+            continue
+        if literal := STRING.match(text, at):
+            if (depth or below) and ASSIGNS.match(text, literal.end()):
+                break
+            kind = next(k for k in ("lines", "ticked", "text") if literal[k] is not None)
+            if kind != "text" and "\n" in literal[kind]:
+                rows += [[m.span()] for m in LINES.finditer(text, *literal.span(kind))]
+                inner = literal.start(kind) if inner is None else inner
+            else:
+                row.append(literal.span(kind))
+            at = literal.end()
+        elif bare := BARE.match(text, at):
+            then = (WIDE if depth else GAP).match(text, bare.end()).end()
+            if depth and text[then : then + 1] not in (",", ")", "]", "+"):
+                break
+            if bare[0] in constants:
+                row += constants[bare[0]]
+            elif not text.startswith("+", then):
+                row.append(bare.span())
+            at = bare.end()
+        else:
+            break
+        go_on = False
+        while not go_on:
+            then = (WIDE if depth else GAP).match(text, at).end()
+            mark = text[then : then + 1]
+            if mark == "+":
+                at, go_on = WIDE.match(text, then + 1).end(), True
+            elif depth and mark in (")", "]"):
+                depth, at = depth - 1, then + 1
+            elif depth and mark == ",":
+                rows.append(row)
+                row, at, go_on = [], WIDE.match(text, then + 1).end(), True
+            elif literal and STRING.match(text, then):
+                at, go_on = then, True
+            else:
+                break
+        if not go_on:
+            break
+    if inner is None and ("#" in (seen := text[first:at]) or "//" in seen) and (comment := COMMENT.search(text, first, at)):
+        inner = comment.start()
+    return [r for r in (*rows, row) if r], at if inner is None else inner
+
+
 def lex(text: str):
-    """(name, [(start, end)]) for each assignment: spans of the literals that reach the name, constants followed."""
+    """(name, [[(start, end)]]) for each assignment: rows of spans of the literals that reach the name, constants followed."""
     constants: dict[str, list[tuple[int, int]]] = {}
     if "=" not in text and ":" not in text:
         return
-    for line in LINE.finditer(text):
-        if line.start() == line.end() or not ("=" in line[0] or ":" in line[0]):
-            continue
-        at = line.start()
-        while target := TARGET.search(text, at, line.end()):
-            names = [target[2]]
-            while target := TARGET.match(text, at := target.end(), line.end()):  # a = b = "c"
-                names.append(target[2])
-            literals: list[tuple[int, int]] = []
-            while value := VALUE.match(text, at, line.end()):
-                bare = value["bare"]
-                if bare is None:
-                    literals.append(value.span("text"))
-                elif bare in constants:
-                    literals += constants[bare]
-                elif not value["more"]:
-                    literals.append(value.span("bare"))
-                at = value.end()
-                if not value["more"]:
-                    break
-            if literals:
-                for name in names:
-                    constants[name] = literals
-                    yield name, literals
+    at = 0
+    while target := TARGET.search(text, at):
+        found = [target]
+        while target := TARGET.match(text, at := target.end()):  # a = b = "c"
+            found.append(target)
+        names = [".".join((t[2], *NAME.findall(t[3]))) for t in found]
+        block = BLOCK.match(text, at) if found[-1]["by"] == ":" else None
+        if block:  # looked through for targets as well
+            at = block.end()
+            rows = _block(text, found[0].start(), at) if max(map(name_score, names)) >= LEAST_SCORE else []
+        else:
+            rows, at = _value(text, at, constants)
+        if rows:
+            for name in names:
+                constants[name] = [x for row in rows for x in row]
+                yield name, rows
 
 
 def literal_spans(text: str) -> list[Span]:
     best: dict[tuple[int, int], float] = {}
-    for name, literals in lex(text):
+    for name, rows in lex(text):
         weight = name_score(name)
         if weight >= LEAST_SCORE:
-            for a, b in literals:
-                best[a, b] = max(best.get((a, b), 0.0), weight * literal_score(text[a:b]))
+            for row in rows:
+                values = [text[a:b].replace("\\\r\n", "").replace("\\\n", "") for a, b in row]
+                whole = literal_score("".join(values)) if len(row) > 1 else 0.0
+                for (a, b), value in zip(row, values, strict=True):
+                    if a < b:
+                        best[a, b] = max(best.get((a, b), 0.0), weight * max(whole, literal_score(value)))
     return [("literal", a, b) for (a, b), score in best.items() if score >= LEAST_SCORE]
 
 
