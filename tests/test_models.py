@@ -126,6 +126,15 @@ def test_metrics_by_hand(spark):
     assert got["c"]["status"] == "failed" and got["c"]["mase"] is None
 
 
+def test_run_ids_of_all_tasks(spark):
+    from oracle import TINY
+
+    from tidemark.plans.registry import QUERIES
+
+    got = QUERIES["I11_run_id"](spark, TINY)
+    assert got.count() == got.select("run_id").distinct().count() == 28350
+
+
 def test_design_sizes(spark):
     from tidemark.plans import design
 
