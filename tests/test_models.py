@@ -101,6 +101,24 @@ def test_forecasters_see_only_the_past(method):
     assert status == "success" and failure is None and (a[:11] == b[:11]).all()
 
 
+def test_sarima_searches_all_candidates():
+    y = generators.observed("noisy_seasonal", 1002, 0.05)[:63]
+    got = forecasters.METHODS["sarima"](y, 12)
+    assert got.order == forecasters.Sarima(y, 12, forecasters.sarima_candidates(12)).order and sum(got.order[3:]) > 0
+    assert forecasters.METHODS["arima_110"](y, 12).order == (1, 1, 0, 0, 0, 0)
+
+
+def test_sarima_queries_and_baselines_are_whole(spark):
+    from oracle import TINY
+
+    from tidemark.plans import design
+    from tidemark.plans.registry import QUERIES
+
+    assert {r["method"] for r in QUERIES["M22_all_baselines"](spark, TINY).select("method").distinct().collect()} == set(design.BASELINES)
+    assert {r["method"] for r in QUERIES["M02_rolling_arima"](spark, TINY).select("method").distinct().collect()} == {"arima_110"}
+    assert len(QUERIES["N10_sarima_choice"](spark, TINY).collect()) == len(QUERIES["M15_sarima"](spark, TINY).collect()) == 5
+
+
 def test_failures_are_named_not_filled():
     p, status, failure = forecasters.run("seasonal_naive", np.arange(20.0), np.arange(3.0), 1)
     assert status == "failed" and failure.startswith("fit") and np.isnan(p).all()

@@ -190,12 +190,12 @@ def sarima_candidates(m: int) -> list[tuple[int, int, int, int, int, int]]:
 
 
 class Sarima:
-    """Seasonal ARIMA by conditional least squares; order by AICc among ``orders`` (ties: fewer coefficients)."""
+    """Seasonal ARIMA by conditional least squares; order by AICc among ``orders``, all candidates by default (ties: fewer coefficients)."""
 
     def __init__(self, y: np.ndarray, m: int = 1, orders: list[tuple[int, int, int, int, int, int]] | None = None):
         self.m = m
         best = None
-        for order in orders or [(1, 1, 0, 0, 0, 0), (0, 1, 1, 0, 0, 0), (2, 1, 0, 0, 0, 0), (1, 0, 0, 0, 0, 0)]:
+        for order in orders or sarima_candidates(m):
             p, d, q, sp, sd, sq = order
             z, start = self._difference(y, d, sd), np.zeros(p + q + sp + sq + (d + sd == 0))
             if len(z) < 10 + p + q + m * (sp + sq):
@@ -417,6 +417,7 @@ METHODS: dict[str, Callable] = {
     "theta": Theta,
     "ets": Ets,
     "sarima": Sarima,
+    "arima_110": lambda y, m: Sarima(y, m, [(1, 1, 0, 0, 0, 0)]),
     "ridge": lambda y, m: LagRegression(y, m, "ridge"),
     "svr_rbf": lambda y, m: LagRegression(y, m, "svr_rbf"),
     "xgboost": lambda y, m: LagRegression(y, m, "xgboost"),

@@ -38,12 +38,12 @@ def _scored(spark, d, methods, seeds=SEED):
 
 for _id, _methods in {
     "M14_theta": ["theta"], "M15_sarima": ["sarima"], "M16_ets": ["ets"], "M17_ridge": ["ridge"], "M18_svr": ["svr_rbf"], "M19_boosted_trees": ["xgboost"],
-    "M22_all_baselines": ["naive_1", "seasonal_naive", "drift", "theta", "ets", "ridge"], "M23_neuro_fuzzy": ["PC"], "M25_base": ["NF_BASE"], "M28_dynamic": ["DYNAMIC"],
+    "M22_all_baselines": design.BASELINES, "M23_neuro_fuzzy": ["PC"], "M25_base": ["NF_BASE"], "M28_dynamic": ["DYNAMIC"],
     "M29_hybrid": ["HYBRID"], "K14_fcm_model": ["FCM"], "M27_ablation": list(neurofuzzy.VARIANTS),
 }.items():
     query(_id)(lambda spark, d, methods=_methods: _scored(spark, d, methods))
 
-for _id, _method in {"M02_rolling_arima": "sarima", "M03_rolling_ets": "ets", "M04_rolling_theta": "theta"}.items():
+for _id, _method in {"M02_rolling_arima": "arima_110", "M03_rolling_ets": "ets", "M04_rolling_theta": "theta"}.items():
     query(_id)(lambda spark, d, method=_method: fitting.refit(priority_monthly(spark, d), [method], M, 70))
 
 
@@ -270,7 +270,7 @@ def _grid_choice(kind):
 
 
 def _sarima_choice(y):
-    got = forecasters.Sarima(y[:63], M, [o for o in forecasters.sarima_candidates(M) if sum(o[3:]) <= 1 and o[0] + o[2] <= 2])
+    got = forecasters.Sarima(y[:63], M)
     return {"order": [str(got.order)], "n_coefficients": [len(got.v)]}
 
 
