@@ -342,6 +342,7 @@ def test_spans_are_cut_out():
 
 
 def plain_passages(docs, length=50) -> list:
+    """Stretches of words in windows with the same first document, of the windows that two documents or more have."""
     words = defaultdict(list)
     for (i, t), _ in docs.items():
         if i is not None and t is not None:
@@ -351,32 +352,60 @@ def plain_passages(docs, length=50) -> list:
         for w in all_words:
             for s in range(len(w) - length + 1):
                 seen[tuple(w[s : s + length])].add(i)
-    out = []
+    covered = defaultdict(set)
     for i, all_words in words.items():
         for w in all_words:
-            at = None
             for s in range(len(w) - length + 1):
                 who = seen[tuple(w[s : s + length])]
-                if len(who) < 2:
-                    continue
-                if at and at[1] >= s:
-                    at = [at[0], s + length, min(at[2], min(who))]
-                else:
-                    if at:
-                        out.append((i, *at))
-                    at = [s, s + length, min(who)]
-            if at:
-                out.append((i, *at))
+                if len(who) > 1:
+                    covered[i, min(who)].add(s)
+    out = []
+    for (i, f), starts in covered.items():
+        at = None
+        for s in sorted(starts):
+            if at and at[1] >= s:
+                at[1] = s + length
+            else:
+                out += [(i, *at, f)] if at else []
+                at = [s, s + length]
+        out.append((i, *at, f))
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [100_000, 2])
 @pytest.mark.parametrize("which", ["tiny", "odd"])
-def test_passages_by_brute_force(tables, which, most, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
+def test_passages_by_brute_force(tables, which):
     assert sorted(map(tuple, suffix_dedup.passages(tables[which]).collect())) == plain_passages(texts_of(tables[which]))
 
 
+def test_passages_of_a_hot_key_over_many_partitions(spark, tmp_path):
+    """A passage in a third of all documents, passages side by side, eight files and 32 shuffle partitions."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{k}" for k in range(400)]
+    hot, a, b = (" ".join(rng.choice(vocab, n)) for n in (60, 55, 70))
+    docs = []
+    for i in range(3000):
+        parts = [" ".join(rng.choice(vocab, rng.integers(5, 90)))]
+        parts += [hot] if i % 3 == 0 else [a] if i % 7 == 1 else [a, b] if i % 50 == 2 else [b] if i % 50 == 5 else []
+        docs.append((i, " ".join([*parts, *rng.choice(vocab, rng.integers(0, 40))])))
+    docs += [(9, docs[9][1]), (4000, docs[2999][1]), (None, docs[0][1]), (4001, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = sorted(map(tuple, suffix_dedup.passages(spark.read.parquet(str(tmp_path / "docs"))).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = plain_passages(Counter(docs))
+    assert got == want and len(want) > 1000
+
+
+def test_one_copy_of_every_passage_is_to_keep(spark):
+    """Documents 2 and 5 have A; 5 and 9 have B, which follows A in 5: A is kept in 2, B in 5."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(2, a), (5, f"{a} {b}"), (9, b)], "doc_id bigint, text string")
+    assert sorted(map(tuple, suffix_dedup.passages(docs).collect())) == [(2, 0, 60, 2), (5, 0, 60, 2), (5, 60, 120, 5), (9, 0, 60, 5)]
+
+
 def test_minimisers_are_chosen_by_content():
     words = suffix_dedup.word_hashes(" ".join(f"w{i}" for i in range(200)))
     keys, least, windows = suffix_dedup.minimisers(words)

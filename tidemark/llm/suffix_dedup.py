@@ -4,16 +4,19 @@ Of all suffixes only those at minimisers are kept: in every window of ``LENGTH``
 least hash. The choice depends on the window's words alone, so that copies of a window keep the same suffix. A kept
 suffix stands for the windows whose minimiser it is; those reach from it to the left and to the right.
 
-First pass: the keys of the kept suffixes (hash of their first GRAM words) are counted; keys that occur once can't be
-part of a repeat. The others are packed into a bitmap of fixed size (8 MiB), which goes to the workers. Second pass:
-suffixes whose key may be repeated are dealt out by key and sorted; suffixes of a key are neighbours, and their
-extensions are compared: every window that two documents have is marked. Comparing each suffix with the next one in full
-order only would lose windows, as the longest match to the right may be shorter to the left; here all extensions of
-neighbours with the same key meet. A key with more than ``MOST`` suffixes is compared window by window in Spark instead,
-with partial sums, so that no task gets an unbounded group.
+First pass: the keys of the kept suffixes (hash of their first GRAM words), with the least and largest doc_id that have
+each (partial results before the shuffle). A key of one document can't be part of a repeat; the others are packed into a
+bitmap of fixed size (8 MiB), which goes to the workers. Second pass: each suffix whose key may be shared is extended to
+the left and to the right, a word at a time: its extensions are the windows that it stands for, each told by the hash of
+its words. Equal extensions meet in the order of their hashes: the least and largest doc_id of each are found with partial
+results before the shuffle, and those of two documents or more are joined back to where they stand. Both steps treat all
+keys alike, whatever the number of their suffixes; a hot one is summed up before the shuffle and split in the join.
 
-A passage is a maximal stretch of words in which every word is in a window of LENGTH words that also occurs in another
-document. Words are runs of characters other than ASCII white space, upper-case A-Z taken as lower-case.
+Comparing each suffix only with the next one in full order would lose windows, as the longest match to the right may be
+shorter to the left than another's; here all extensions of suffixes with the same key meet, so that the result is exact.
+
+A word is repeated from document f if it's in a window of LENGTH words whose first document (smallest doc_id) is f and that
+occurs in another document too. Words are runs of characters other than ASCII white space, upper-case A-Z taken as lower-case.
 
 Defined results: null and empty texts and texts of fewer than LENGTH words have no passage; rows with a null doc_id are
 left out; rows that repeat a doc_id are one document. Extra columns are ignored.
@@ -21,19 +24,15 @@ left out; rows that repeat a doc_id are one document. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, dealt_round, map_texts
+from tidemark.llm.common import cut, dealt_round, map_texts, stored
 
 LENGTH, GRAM = 50, 8
 BITS = 1 << 26
-MOST = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -88,17 +87,24 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(ids: list, texts: list[str]) -> dict | None:
-    found = [np.zeros(0, np.uint64)]
-    for text in texts:
+    found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, text in zip(ids, texts, strict=True):
         if len(words := word_hashes(text)) >= LENGTH:
-            found.append(minimisers(words)[0])
-    keys, n = np.unique(np.concatenate(found), return_counts=True)
-    return {"key": keys.view(np.int64), "n": n} if len(keys) else None
+            found.append(np.unique(minimisers(words)[0]))
+            docs.append(np.full(len(found[-1]), i, np.int64))
+    keys, docs = np.concatenate(found), np.concatenate(docs)
+    if not len(keys):
+        return None
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return {"key": keys[new].view(np.int64), "least": docs[new], "most": docs[np.concatenate((new[1:], [True]))]}
 
 
-def repeated_keys(docs: DataFrame) -> DataFrame:
-    """key, n of the suffix keys that occur more than once."""
-    return map_texts(docs, lambda: _keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """key: suffix keys that more than one document has."""
+    found = map_texts(docs, lambda: _keys, "key bigint, least bigint, most bigint")
+    return found.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("key")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -110,104 +116,46 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _suffixes(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """key, doc_id, start, windows: hashes of the windows from word ``start`` on that have this suffix as minimiser."""
+def _extensions(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """w, doc_id, start: hash and first word of each window that has a suffix of a key in the bitmap as minimiser."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
         bits = shared.value
 
         def run(ids: list, texts: list[str]) -> dict | None:
-            out: dict[str, list] = {"key": [], "doc_id": [], "start": [], "windows": []}
+            w, doc_id, start = [], [], []
             for i, text in zip(ids, texts, strict=True):
                 words = word_hashes(text)
-                if i is None or len(words) < LENGTH:
+                if len(words) < LENGTH:
                     continue
                 _, least, windows = minimisers(words)
                 at = least & np.uint64(BITS - 1)
-                maybe = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                edges = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1], [True])))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if maybe[a]:
-                        out["key"].append(least[a].view(np.int64))
-                        out["doc_id"].append(i)
-                        out["start"].append(a)
-                        out["windows"].append(windows[a:b].view(np.int64))
-            return out if out["key"] else None
+                maybe = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                if len(maybe):
+                    w.append(windows[maybe].view(np.int64))
+                    start.append(maybe)
+                    doc_id.append(np.full(len(maybe), i, np.int64))
+            return {"w": np.concatenate(w), "doc_id": np.concatenate(doc_id), "start": np.concatenate(start)} if w else None
 
         return run
 
-    return map_texts(docs, make, "key bigint, doc_id bigint, start bigint, windows array<bigint>")
-
-
-_RANGES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("first_doc", pa.int64())])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by key -> ranges of windows (doc_id, start, stop, first_doc) that another document has too."""
-
-    def marked(part: pa.Table) -> pa.RecordBatch:
-        lists = part.column("windows").combine_chunks()
-        windows = lists.flatten().to_numpy(zero_copy_only=False)
-        sizes = np.diff(lists.offsets.to_numpy())
-        doc = np.repeat(part.column("doc_id").to_numpy(), sizes)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(part.column("start").to_numpy(), sizes)
-        order = np.lexsort((doc, windows))
-        new = np.concatenate(([True], windows[order][1:] != windows[order][:-1]))
-        group = np.cumsum(new) - 1
-        first = doc[order][new]
-        last = doc[order][np.concatenate((new[1:], [True]))]
-        hit, least = np.empty(len(doc), bool), np.empty(len(doc), np.int64)
-        hit[order], least[order] = (first != last)[group], first[group]
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, schema=_RANGES)
-        cutoff = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(row[at]) > 0) | (np.diff(least[at]) != 0)))
-        begin, end = at[cutoff], at[np.concatenate((cutoff[1:], [True]))]
-        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(start[begin]), pa.array(start[end] + 1), pa.array(least[begin])], schema=_RANGES)
-
-    kept: list[pa.RecordBatch] = []  # the last key so far; it may go on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-        if whole or kept and kept[-1].column(0)[-1].as_py() != keys[-1]:
-            yield marked(pa.Table.from_batches([*kept, batch.slice(0, whole)]))
-            kept = []
-        kept.append(batch.slice(whole))
-    if kept:
-        yield marked(pa.Table.from_batches(kept))
-
-
-def _by_window(suffixes: DataFrame) -> DataFrame:
-    """The same ranges for keys with very many suffixes, a window at a time."""
-    windows = suffixes.select("doc_id", "start", F.posexplode("windows").alias("i", "w")).select("doc_id", (F.col("start") + F.col("i")).alias("start"), "w")
-    shared = windows.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    return windows.join(dealt_round(shared), "w").select("doc_id", "start", (F.col("start") + 1).alias("stop"), "first_doc")
+    return map_texts(docs, make, "w bigint, doc_id bigint, start bigint")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), first_doc: a row for each passage; documents without any have none.
+    """doc_id, start_word, end_word (exclusive), first_doc: a row for each maximal stretch of words that are repeated from
+    the same first document; documents without any have none.
 
-    first_doc is the smallest doc_id that has a window of the passage; where it is doc_id itself, this is the copy to keep.
+    Where first_doc is doc_id itself, this is the copy to keep: of all equal windows exactly the first document's are in
+    such rows, also where passages of several documents stand side by side.
     """
-    docs = docs.filter("text IS NOT NULL")
-    keys = cut(repeated_keys(docs))
-    suffixes = _suffixes(docs, _bitmap(keys))
-    large = keys.filter(F.col("n") > MOST).select("key")
-    ranges = None
-    if not large.isEmpty():
-        suffixes = cut(suffixes)
-        ranges = _by_window(suffixes.join(large, "key", "left_semi"))
-        suffixes = suffixes.join(large, "key", "left_anti")
-    dealt = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "doc_id bigint, start bigint, stop bigint, first_doc bigint")
-    ranges = dealt if ranges is None else dealt.unionByName(ranges)
-    # Windows [start, stop) cover the words [start, stop + LENGTH - 1); overlapping ranges of a document are one passage.
-    ranges = ranges.select("doc_id", "start", (F.col("stop") + (LENGTH - 1)).alias("stop"), "first_doc")
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = ranges.withColumn("opens", F.when(before >= F.col("start"), 0).otherwise(1))
+    docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    windows = stored(_extensions(docs, _bitmap(cut(shared_keys(docs)))))
+    shared = windows.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+    found = windows.join(dealt_round(shared.select("w", "first_doc")), "w").select("doc_id", "first_doc", "start")
+    order = Window.partitionBy("doc_id", "first_doc").orderBy("start")
+    opened = found.withColumn("opens", F.when(F.lag("start").over(order) + LENGTH >= F.col("start"), 0).otherwise(1))
     numbered = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("doc_id", "passage").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("first_doc").alias("first_doc")).drop("passage")
+    ends = (F.max("start") + LENGTH).alias("end_word")
+    return numbered.groupBy("doc_id", "first_doc", "passage").agg(F.min("start").alias("start_word"), ends).select("doc_id", "start_word", "end_word", "first_doc")
