@@ -10,6 +10,10 @@ literals go along. Every literal that reaches a name is scored by how sensitive
 or the row it's in, looks like a secret; the best score of a literal counts, and those of ``LEAST_SCORE`` or more give a span
 of kind ``literal``.
 
+A value that uses a name refers to the assignment before instead of copying its literals. What a row of literals looks like is
+summed up from its parts (``Look``), and the names' scores go from the last assignment back to the first; so time and memory
+are linear in the text, however often names go into names.
+
 Fixed patterns come first and always stay: assignments to tell-tale names, access keys, long hexadecimal runs.
 
 Defined results: null and empty texts have no spans. Repeated rows give repeated rows. Extra columns are ignored.
@@ -54,6 +58,7 @@ PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "auth": 0.6, "key": 0.55, "private": 0.6, "bearer": 0.8, "signature": 0.5, "salt": 0.5}
 HARMLESS = {"public", "path", "file", "url", "uri", "name", "id", "count", "length", "size", "limit", "max", "min", "ttl", "expiry", "expires", "type", "field", "label", "hint", "policy"}
 PLACEHOLDERS = ("changeme", "example", "placeholder", "your", "xxxx", "todo", "dummy", "none", "null", "true", "false", "undefined", "redacted", "****", "${", "{{", "<")
+LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -77,15 +82,36 @@ def name_score(name: str) -> float:
     return best * (0.4 if parts and HARMLESS & set(parts) else 1.0)
 
 
+class Look:
+    """What counts of a row of literals: how many there are, how often each character occurs, and how the row begins."""
+
+    __slots__ = ("parts", "n", "of", "start")
+
+    def __init__(self, value: str | None = None):
+        self.parts, self.n = (0, 0) if value is None else (1, len(value))
+        self.of: Counter = Counter(value or "")
+        self.start = (value or "")[:LONGEST_PLACEHOLDER]
+
+    def add(self, other: Look) -> None:
+        if len(self.start) < LONGEST_PLACEHOLDER:
+            self.start = (self.start + other.start)[:LONGEST_PLACEHOLDER]
+        self.parts += other.parts
+        self.n += other.n
+        for c, k in list(other.of.items()):
+            self.of[c] += k
+
+    def score(self) -> float:
+        """0 to 1: length, spread of characters and kinds of characters; 0 for short values, placeholders and prose."""
+        n, low = self.n, self.start.lower()
+        if n < 8 or any(low.startswith(p) for p in PLACEHOLDERS) or any(c.isspace() for c in self.of):
+            return 0.0
+        spread = -sum(c / n * math.log2(c / n) for c in self.of.values())
+        kinds = sum((any(map(str.islower, self.of)), any(map(str.isupper, self.of)), any(map(str.isdigit, self.of)), not all(map(str.isalnum, self.of))))
+        return min(1.0, spread / 3.5) * (0.55 + 0.15 * min(kinds, 3))
+
+
 def literal_score(value: str) -> float:
-    """0 to 1: length, spread of characters and kinds of characters; 0 for short values, placeholders and prose."""
-    n = len(value)
-    low = value.lower()
-    if n < 8 or any(low.startswith(p) for p in PLACEHOLDERS) or any(c.isspace() for c in value):
-        return 0.0
-    spread = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(map(str.islower, value)), any(map(str.isupper, value)), any(map(str.isdigit, value)), not value.isalnum()))
-    return min(1.0, spread / 3.5) * (0.55 + 0.15 * min(kinds, 3))
+    return Look(value).score()
 
 
 def _block(text: str, target: int, at: int) -> list[list[tuple[int, int]]]:
@@ -104,10 +130,14 @@ def _block(text: str, target: int, at: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _value(text: str, at: int, constants: dict) -> tuple[list[list[tuple[int, int]]], int]:
+#: A literal's span, or the number of the assignment whose literals are meant.
+Part = tuple[int, int] | int
+
+
+def _value(text: str, at: int, constants: dict[str, int]) -> tuple[list[list[Part]], int]:
     """Rows of literals of the value at ``at``, and where to look for the next target."""
-    rows: list[list[tuple[int, int]]] = []
-    row: list[tuple[int, int]] = []
+    rows: list[list[Part]] = []
+    row: list[Part] = []
     at = GAP.match(text, at).end()
     depth, start, inner = 0, at + len(SPACE.match(text, at)[0]), None
     below = "\n" in text[at:start]
@@ -135,7 +165,7 @@ def _value(text: str, at: int, constants: dict) -> tuple[list[list[tuple[int, in
             if depth and text[then : then + 1] not in (",", ")", "]", "+"):
                 break
             if bare[0] in constants:
-                row += constants[bare[0]]
+                row.append(constants[bare[0]])
             elif not text.startswith("+", then):
                 row.append(bare.span())
             at = bare.end()
@@ -164,8 +194,9 @@ def _value(text: str, at: int, constants: dict) -> tuple[list[list[tuple[int, in
 
 
 def lex(text: str):
-    """(name, [[(start, end)]]) for each assignment: rows of spans of the literals that reach the name, constants followed."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+    """(names, rows) for each assignment: rows of spans of literals and of numbers of assignments before (from 0)."""
+    constants: dict[str, int] = {}
+    count = 0
     if "=" not in text and ":" not in text:
         return
     at = 0
@@ -181,22 +212,47 @@ def lex(text: str):
         else:
             rows, at = _value(text, at, constants)
         if rows:
-            for name in names:
-                constants[name] = [x for row in rows for x in row]
-                yield name, rows
+            constants.update(dict.fromkeys(names, count))
+            count += 1
+            yield names, rows
 
 
 def literal_spans(text: str) -> list[Span]:
+    assigned = list(lex(text))
+    if max((name_score(x) for names, _ in assigned for x in names), default=0.0) < LEAST_SCORE:
+        return []
+    own: dict[tuple[int, int], float] = {}
+    looks: list[Look] = []  # of each assignment
+    rows_scores: list[list[float]] = []  # of each of its rows of two literals or more
+    for _, rows in assigned:
+        whole, scores = Look(), []
+        for row in rows:
+            look = Look()
+            for part in row:
+                if isinstance(part, int):
+                    look.add(looks[part])
+                else:
+                    mine = Look(text[slice(*part)].replace("\\\r\n", "").replace("\\\n", ""))
+                    own[part] = mine.score()
+                    look.add(mine)
+            scores.append(look.score() if look.parts > 1 else 0.0)
+            whole.add(look)
+        looks.append(whole)
+        rows_scores.append(scores)
+    # The best name's score, and the best product of a name's and a row's, that reach an assignment from later ones.
+    reach = [(0.0, 0.0)] * len(assigned)
     best: dict[tuple[int, int], float] = {}
-    for name, rows in lex(text):
-        weight = name_score(name)
-        if weight >= LEAST_SCORE:
-            for row in rows:
-                values = [text[a:b].replace("\\\r\n", "").replace("\\\n", "") for a, b in row]
-                whole = literal_score("".join(values)) if len(row) > 1 else 0.0
-                for (a, b), value in zip(row, values, strict=True):
-                    if a < b:
-                        best[a, b] = max(best.get((a, b), 0.0), weight * max(whole, literal_score(value)))
+    for k in range(len(assigned) - 1, -1, -1):
+        names, rows = assigned[k]
+        weight = max(map(name_score, names))
+        weight = weight if weight >= LEAST_SCORE else 0.0
+        for row, score in zip(rows, rows_scores[k], strict=True):
+            to = max(weight, reach[k][0]), max(weight * score, reach[k][1])
+            for part in row:
+                if isinstance(part, int):
+                    reach[part] = max(reach[part][0], to[0]), max(reach[part][1], to[1])
+                elif part[0] < part[1]:
+                    best[part] = max(best.get(part, 0.0), to[0] * own[part], to[1])
     return [("literal", a, b) for (a, b), score in best.items() if score >= LEAST_SCORE]
 
 
