@@ -144,6 +144,63 @@ def test_secrets_over_lines_brackets_and_prefixes(text, want):
     assert [text[a:b] for _, a, b in sorted(secrets.literal_spans(text))] == want
 
 
+def plain_literals(t: str) -> list:
+    """The same rule with every literal copied into every row that it reaches."""
+    flat, best = [], {}
+    for names, rows in secrets.lex(t):
+        copied = [[x for part in row for x in (flat[part] if isinstance(part, int) else [part])] for row in rows]
+        flat.append([x for row in copied for x in row])
+        weight = max(map(secrets.name_score, names))
+        for row in copied if weight >= secrets.LEAST_SCORE else []:
+            values = [t[a:b].replace("\\\r\n", "").replace("\\\n", "") for a, b in row]
+            whole = secrets.literal_score("".join(values)) if len(row) > 1 else 0.0
+            for (a, b), value in zip(row, values, strict=True):
+                if a < b:
+                    best[a, b] = max(best.get((a, b), 0), weight * max(whole, secrets.literal_score(value)))
+    return sorted(k for k, v in best.items() if v >= secrets.LEAST_SCORE)
+
+
+def test_literals_by_brute_force():
+    rng = np.random.default_rng(12)
+    names = ["a", "b", "colour", "db_pass", "auth_token", "key_file", "x.secret", "private_key"]
+    seen = 0
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.integers(1, 12)):
+            value = [str(rng.choice(['"a1B2"', "'D4e5F6g7H8'", '"changeme"', '"two words here"', '"zzzzzzzzzzzz"', "b'Q9w8'", *names])) for _ in range(rng.integers(1, 5))]
+            joined_by = str(rng.choice([" + ", ", ", "\n  + "]))
+            right = joined_by.join(value) if joined_by != ", " else f"[{', '.join(value)}]"
+            lines.append(f"{rng.choice(names)} {rng.choice(['=', ':', '=>', ':='])} {right}")
+        t = "\n".join(lines)
+        got = sorted((a, b) for _, a, b in secrets.literal_spans(t))
+        assert got == plain_literals(t)
+        seen += len(got)
+    assert seen > 300
+
+
+def test_names_that_go_into_names_take_linear_time():
+    import time
+
+    start = time.time()
+    doubled = 'a0 = "S3cr"\n' + "".join(f"a{k + 1} = a{k} + a{k}\n" for k in range(400)) + "password = a400"
+    assert [doubled[a:b] for _, a, b in secrets.literal_spans(doubled)] == ["S3cr"]
+    grown = "".join(f'secret = secret + "aB{k}"\n' for k in range(10_000))
+    assert len(secrets.literal_spans(grown)) == 10_000
+    assert time.time() - start < 10
+
+
+def test_many_entities_in_one_text_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"user{k}@mail{k % 7}.com wrote word{k % 900}" for k in range(50_000))
+    start = time.time()
+    spans = pii.base_spans(text)
+    free = pii.near(text, spans[0], spans)
+    assert len(spans) == 50_000 and len(free) == 100_000 and time.time() - start < 10
+    docs = spark.createDataFrame([(1, text), (2, "mail user5@mail5.com"), (3, "none")], "doc_id bigint, text string")
+    assert [tuple(r) for r in pii.find(docs).select("doc_id", "n_email").orderBy("doc_id").collect()] == [(1, 50_000), (2, 1), (3, 0)]
+
+
 def plain_pii(t: str) -> list:
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -308,14 +365,15 @@ def test_exact_dedup_by_brute_force(tables, which):
         rows.sort()
         for k, row in enumerate(rows):
             want[row[3], rows[0][3], len(rows), k == 0, sha(text)] += 1
-    assert Counter(map(tuple, exact_dedup.find(tables[which]).drop("uid").collect())) == want
+    assert Counter(map(tuple, exact_dedup.find(tables[which]).collect())) == want
 
 
 def test_exact_dedup_keeps_one_row_of_each_text(odd):
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns
-    texts = [re.sub(r"\s", "", r["text"] or "") for r in kept.filter("doc_id IS NOT NULL").collect()]
+    texts = [re.sub(r"\s", "", r["text"] or "") for r in kept.collect()]
     assert len(texts) == len(set(texts)) and kept.filter("doc_id IS NULL").count() == 1
+    assert sum(plain_exact(texts_of(odd).elements()).values()) == len(texts)
 
 
 def test_decontamination_of_awkward_rows(odd, items):
@@ -510,6 +568,97 @@ def test_pipeline(spark):
     assert all(r["decoded_sha256"] == sha(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in out)
 
 
+def plain_exact(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, i, t))
+    return Counter((min(g)[3], min(g)[4]) for g in groups.values())
+
+
+def plain_near(rows):
+    """Rows with an id and a text each, all different; the row of the smallest id of each component."""
+    known = [(i, t, plain_fingerprint(t)) for i, t in rows if i is not None]
+    of = components(list(range(len(known))), [f for _, _, f in known])
+    first = {}
+    for k, (i, t, _) in enumerate(known):
+        first[of[k]] = min(first.get(of[k], (i, t)), (i, t))
+    return Counter(first.values()) + Counter((i, t) for i, t in rows if i is None)
+
+
+def plain_clean(rows, items, window=13):
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+    runs = set()
+    for _, t in items:
+        w = split(t)
+        n = min(window, len(w))
+        runs |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+    sizes = {len(r) for r in runs}
+    out = Counter()
+    for i, t in rows:
+        w = split(t)
+        hit = {p for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in runs for p in range(k, k + n)}
+        out[i, t] += not (hit and 20 * len(hit) >= len(w))
+    return +out
+
+
+REPEATED = [(3, "x y"), (7, "xy"), (7, "a text of its own"), (7, "a text of its own"), (8, "a text of  its own!"), (None, "x y"), (None, "only here"), (2, None), (2, ""), (2, "other words altogether")]
+
+
+def test_a_repeated_id_loses_no_text(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id bigint, text string").selectExpr("*", "1 AS mark", "2 AS kept", "3 AS _id", "4 AS row").repartition(3)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    of = texts_of(kept)
+    assert of.pop((2, None), 0) + of.pop((2, ""), 0) == 1
+    assert of == Counter([(3, "x y"), (7, "a text of its own"), (8, "a text of  its own!"), (None, "only here"), (2, "other words altogether")])
+    near = texts_of(simhash.keep_first(docs))
+    # Texts of fewer than three words are their own shingle; the null ids stay, one of the equal rows of 7 stays.
+    assert near[(7, "a text of its own")] == 1 and near[(None, "x y")] == 1 and near[(None, "only here")] == 1 and near[(7, "xy")] == 1
+    assert near[(2, None)] + near[(2, "")] == 1 and near[(2, "other words altogether")] == 1 and near[(3, "x y")] == 1
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    base = [f"word{k}" for k in range(400)]
+    one, other = " ".join(base), " ".join([*base[:200], "changed", *base[201:]])
+    assert (plain_fingerprint(one) ^ plain_fingerprint(other)).bit_count() <= 3
+    docs = [(5, one), (5, other), (5, other), (9, one), (9, "quite another text that nobody else has"), (4, "and one more of them here")]
+    want = plain_near(list(dict.fromkeys(docs)))
+    got = texts_of(simhash.keep_first(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)))
+    assert sum(got.values()) == 3 == sum(want.values())
+    assert got[(9, docs[4][1])] == got[(4, docs[5][1])] == 1 and got[(5, one)] + got[(5, other)] == 1
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage's rows, counted by hand, over the smallest table with rows of repeated ids, null ids and null texts added."""
+    import shutil
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    first = [tuple(r) for r in docs.limit(3).collect()]
+    more = [(first[0][0], first[1][1], *first[0][2:]), first[2], (None, first[2][1], *first[0][2:]), (None, None, *first[0][2:]), (first[1][0], "w " + first[0][1], *first[0][2:])]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{TINY}/{name}.parquet", tmp_path)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{TINY}/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = list(texts_of(docs).elements())
+    rows = [r for r, s in zip(rows, model.score(quality._table([t or "" for _, t in rows])), strict=True) if s >= quality.LEAST_SCORE]
+    rows = list(plain_exact(rows).elements())
+    rows = list(plain_near(rows).elements())
+    items = [tuple(r) for r in spark.read.parquet(f"{TINY}/benchmark.parquet").select("item_id", "text").collect()]
+    rows = plain_clean(rows, items)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ByteBPE.load(str(RANKS), public_tokenizers.PATTERN).ranks, special_tokens={})
+    want = Counter()
+    for (i, t), n in rows.items():
+        want[i, tuple(lib.encode_ordinary(t or "")), sha(t or "")] += n
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_pipeline_of_awkward_rows(spark, odd, tmp_path):
     import shutil
 

@@ -84,10 +84,51 @@ def bounded_batches(spark: SparkSession) -> None:
 MOST_BROADCAST = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ``ids`` (doc_id). Few ids are broadcast, after a check of their number."""
-    ids = cut(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_anti").select(*docs.columns)
+def text_mark():
+    """Column: hash of the text as it is. A row is known by doc_id and this mark, so that a repeated doc_id does no harm."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, but for those that ``verdict`` (doc_id, mark, kept) drops.
+
+    ``verdict`` has a row for each row of docs that is in a group of two or more. Rows that agree in doc_id and text can't
+    be told apart; where one of them is kept, one of them stays. Few keys are broadcast, after a check of their number.
+    """
+    keys = verdict.groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("NOT kept OR n > 1")
+    keys = cut(keys.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "kept"))
+    n = {r["kept"]: r["count"] for r in keys.groupBy("kept").count().collect()}
+    own = "_" + "_".join(docs.columns)  # no column of docs
+    keyed = docs.withColumn(own, text_mark())
+
+    def joined(rows: DataFrame, kept: bool, how: str) -> DataFrame:
+        some = keys.filter("kept" if kept else "NOT kept").select("_id", "_mark")
+        some = F.broadcast(some) if n[kept] <= MOST_BROADCAST else some
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["_id"]) & (rows[own] == some["_mark"]), how)
+
+    out = joined(keyed, False, "left_anti") if n.get(False) else keyed
+    if not n.get(True):
+        return out.select(*docs.columns)
+    one = joined(out, True, "left_semi").groupBy("doc_id", own).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return joined(out, True, "left_anti").select(*docs.columns).unionByName(one)
+
+
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``df``, with all columns, whose text passes a test: in one pass, without a join.
+
+    ``make`` is called once in each Python worker's task and returns the test of many texts. Null texts arrive as "".
+    """
+    bounded_batches(df.sparkSession)
+    at_text = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at, end in _chunks(batch.column(at_text), CHUNK_CHARS):
+                part = batch.slice(at, end - at)
+                yield part.filter(pa.array(f([x or "" for x in part.column(at_text).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def dealt_round(df: DataFrame) -> DataFrame:
@@ -103,6 +144,19 @@ def held_out(remainder: int, divisor: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))
 
 
+def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most so many bytes of text each; a longer text is by itself."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= most):
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, id_col="doc_id", chunk: int = CHUNK_CHARS) -> DataFrame:
     """Apply a function of (ids, texts) to every row of ``df`` in bounded chunks, in Arrow batches.
 
@@ -119,18 +173,11 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict
         f = make()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            at = 0
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
-            while at < len(ids):
-                end, size = at, 0
-                while end < len(ids) and (end == at or size + sizes[end] <= chunk):
-                    size += sizes[end]
-                    end += 1
+            for at, end in _chunks(batch.column(1), chunk):
                 texts = [x or "" for x in batch.column(1).slice(at, end - at).to_pylist()]
                 got = f(ids[at:end], texts)
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[k.name], type=k.type) for k in out], schema=out)
-                at = end
 
     return df.select(id_col, F.col("text").cast("string")).mapInArrow(run, schema)
 

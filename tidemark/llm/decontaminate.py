@@ -5,16 +5,17 @@ longest run that ends at each word and occurs in an item. Where that run is at l
 that ends there occurs; its state tells the items. Words that no item has send the automaton back to its start, so
 only stretches of known words, at least as long as the shortest window, are streamed.
 
-The items are a stated query set. Their size is checked: they are dealt to blocks of at most about BLOCK_WORDS words,
-and the documents pass through one automaton after the other, without a shuffle.
+The items are a stated query set. Their size is checked: they are dealt to blocks of at most about BLOCK_WORDS words, by
+the same words as in the texts. The automaton of a block is built once, on the driver, and broadcast; each worker reads it
+once. Documents pass through BLOCKS automata at a time, without a shuffle.
 
 Defined results: null texts have no words; items without words are ignored; a null item_id is left out; repeated items
-count once for each item_id. Extra columns are ignored.
+count once for each item_id, and items that share an item_id are one item with the windows of all. Each row is judged by its
+own text, repeated rows and a repeated doc_id too. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import without
+from tidemark.llm.common import bounded_batches
 
 WINDOW = 13
-BLOCK_WORDS = 500_000
+#: Words of items in a block (an automaton takes some 300 bytes for each), and blocks that a worker holds at a time.
+BLOCK_WORDS, BLOCKS = 200_000, 4
 #: Upper-case letters become lower-case; of the other ASCII characters, those that aren't letters or digits become spaces.
 TABLE = bytes(ord(chr(b).lower()) if b >= 0x80 or chr(b).isalnum() and b < 0x80 else 0x20 for b in range(128)) + bytes(range(128, 256))
 
@@ -43,12 +45,12 @@ class Automaton:
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        split = {i: [self.vocab.setdefault(w, len(self.vocab)) for w in words(t)] for i, t in items if i is not None}
-        for ids in split.values():
+        split = [(i, [self.vocab.setdefault(w, len(self.vocab)) for w in words(t)]) for i, t in items if i is not None]
+        for _, ids in split:
             self._add(ids)
         #: (state, length) -> items that have this window.
         self.windows: dict[tuple[int, int], set[int]] = {}
-        for item, ids in split.items():
+        for item, ids in split:
             if not ids:
                 continue
             n = min(window, len(ids))
@@ -138,16 +140,12 @@ class Automaton:
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     rows = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    n_words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_words = rows.agg(F.sum(F.size(F.expr(r"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")))).first()[0] or 0
     blocks = -(-n_words // BLOCK_WORDS) or 1
     for k in range(blocks):
         yield [tuple(x) for x in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("longest", pa.int32()), ("n_words", pa.int64())])
-_TYPES = "doc_id bigint, text string, spans array<int>, items array<bigint>, longest int, n_words bigint"
-
-
 def _merged(a: list[int], b: list[tuple[int, int]]) -> list[int]:
     out: list[int] = []
     for s, e in sorted([*zip(a[::2], a[1::2], strict=True), *b]):
@@ -158,53 +156,56 @@ def _merged(a: list[int], b: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _marker(block: list[tuple[int, str]], window: int):
+def _marker(automata: list, schema: pa.Schema):
+    """``automata``: broadcast variables, which a worker reads once for all its tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(block, window)
         for batch in batches:
-            texts, spans, items, longest = (batch.column(k).to_pylist() for k in range(1, 5))
+            texts = batch.column(0).field("text").cast(pa.string()).to_pylist()
+            spans, items, longest = (batch.column(k).to_pylist() for k in range(1, 4))
             n_words = [0] * len(texts)
             for i, text in enumerate(texts):
                 tokens = words(text)
                 n_words[i] = len(tokens)
-                ranges, found, most = automaton.match(tokens)
-                spans[i] = _merged(spans[i], ranges)
-                items[i] = sorted({*items[i], *found})
-                longest[i] = max(longest[i], most)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, type=_SCHEMA.field(k).type) for k, x in ((2, spans), (3, items), (4, longest), (5, n_words)))], schema=_SCHEMA)
+                for automaton in automata:
+                    ranges, found, most = automaton.value.match(tokens)
+                    if found:
+                        spans[i] = _merged(spans[i], ranges)
+                        items[i] = sorted({*items[i], *found})
+                    longest[i] = max(longest[i], most)
+            n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            columns = (spans, items, longest, n_words, n_hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, type=schema.field(k).type) for k, x in enumerate(columns, 1))], schema=schema)
 
     return run
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, spans (word ranges, flat: start, end, ...), items (sorted ids), longest (match in words), n_words."""
-    empty = [F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), F.lit(0).alias("longest"), F.lit(0).cast("bigint").alias("n_words")]
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *empty)
-    for block in _blocks(items):
-        out = out.mapInArrow(_marker(block, window), _TYPES)
+    """row (all columns of docs), spans (word ranges, flat: start, end, ...), items (sorted ids), longest (match in words), n_words, n_hit."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    bounded_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    empty = [F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), F.lit(0).alias("longest"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit")]
+    out = docs.select(F.struct(*docs.columns).alias("row"), *empty)
+    schema = out.schema
+    arrow = to_arrow_schema(schema)
+    automata = [sc.broadcast(Automaton(block, window)) for block in _blocks(items)]
+    for k in range(0, len(automata), BLOCKS):
+        out = out.mapInArrow(_marker(automata[k : k + BLOCKS], arrow), schema)
     return out
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest; contaminated: a twentieth of the words is hit."""
+def _contaminated():
+    """A twentieth of the words is hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, found, n_words = (batch.column(k).to_pylist() for k in (1, 2, 4))
-            n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_words": batch.column(4),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array(map(len, found), pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in found], pa.string()),
-                    "contaminated": pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-                    "longest": batch.column(3),
-                }
-            )
 
-    return mark(docs, items, window).drop("text").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest int")
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest; contaminated: a twentieth of the words is hit."""
+    marked = mark(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), items, window)
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return marked.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), _contaminated().alias("contaminated"), "longest")
 
 
 def without_spans(text: str, spans: list[int]) -> str:
@@ -223,8 +224,8 @@ def without_spans(text: str, spans: list[int]) -> str:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns. Needs distinct doc_id."""
-    return without(docs, report(docs, items).filter("contaminated"))
+    """The rows of docs that aren't contaminated, with all their columns: in the pass that marks them, without a join."""
+    return mark(docs, items).filter(~_contaminated()).select("row.*")
 
 
 SQL = r"""

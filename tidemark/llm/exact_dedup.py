@@ -7,15 +7,15 @@ pass straight through. The bitmap is broadcast: at most ``MOST_BITS / 8`` bytes
 about MOST_BITS / 8 rows it lets more rows through to the exact grouping, which moves about 50 bytes a row, never texts.
 
 Defined results: null text counts as empty; empty texts are equal to each other; a null doc_id loses ties; of rows
-that agree in doc_id and text too, one is kept. Extra columns are ignored.
+that agree in doc_id and length too, that with the least hash of its text, or one of them, is kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, dealt_round, without
+from tidemark.llm.common import cut, dealt_round, keep_rows, text_mark
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Positions in the filter for each row, and bits of the filter for each row as long as MOST_BITS allows.
@@ -27,11 +27,12 @@ def normalised(text):
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, n (code points of the original text), sha (32 bytes), uid (tells repeated rows apart)."""
+    """doc_id, n (code points of the original text), sha (32 bytes), mark (of the original text), uid (tells repeated rows apart)."""
     return docs.select(
         "doc_id",
         F.char_length(F.coalesce("text", F.lit(""))).alias("n"),
         F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"),
+        text_mark().alias("mark"),
         F.monotonically_increasing_id().alias("uid"),
     )
 
@@ -53,8 +54,8 @@ def repeat_filter(rows: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, uid."""
+def _find(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, sha, mark."""
     rows = cut(hashed(docs))
     n = rows.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_A_ROW).bit_length()))
@@ -65,29 +66,27 @@ def find(docs: DataFrame) -> DataFrame:
         tested = tested.withColumn(f"p{k}", p).join(mine, F.expr(f"bitmap_bucket_number(p{k}) = b{k}"), "left")
         byte = f"conv(hex(substring(m{k}, CAST(bitmap_bit_position(p{k}) DIV 8 AS INT) + 1, 1)), 16, 10)"
         tested = tested.withColumn(f"hit{k}", F.expr(f"coalesce(getbit(CAST({byte} AS BIGINT), CAST(bitmap_bit_position(p{k}) % 8 AS INT)) = 1, false)"))
-    tested = tested.withColumn("again", F.expr(" AND ".join(f"hit{k}" for k in range(POSITIONS)))).select("doc_id", "n", "sha", "uid", "again")
-    once = tested.filter("NOT again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "uid")
+    tested = tested.withColumn("again", F.expr(" AND ".join(f"hit{k}" for k in range(POSITIONS)))).select("doc_id", "n", "sha", "mark", "uid", "again")
+    once = tested.filter("NOT again").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "mark")
     again = tested.filter("again")
-    first = F.min(F.struct((-F.col("n")).alias("n"), F.isnull("doc_id").alias("no_id"), "doc_id", "uid"))
+    first = F.min(F.struct((-F.col("n")).alias("n"), F.isnull("doc_id").alias("no_id"), "doc_id", "mark", "uid"))
     groups = again.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = again.join(dealt_round(groups), "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha", "uid")
-    return once.unionByName(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "uid")
+    grouped = again.join(dealt_round(groups), "sha").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "sha", "mark")
+    return once.unionByName(grouped)
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _find(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows with a null doc_id all stay.
+    """The rows of docs that stay, one of each group, with all their columns.
 
-    Rows that repeat a doc_id and a text can't be told apart by doc_id; where there are any, they are numbered.
+    Rows are known by doc_id and text: a doc_id that repeats with another text is another row. Of rows that agree in both
+    and stay, one stays. A null doc_id is an id like others, but loses ties.
     """
-    found = cut(find(docs))
-    out = without(docs, found.filter("doc_id <> keep_id"))
-    again = found.filter("NOT kept AND doc_id = keep_id").select("doc_id").distinct()
-    if again.isEmpty():
-        return out
-    order = Window.partitionBy("doc_id", F.sha2(normalised(F.col("text")), 256)).orderBy(F.char_length("text").desc())
-    number = "_" + "_".join(docs.columns)  # no column of docs
-    numbered = out.join(again, "doc_id", "left_semi").withColumn(number, F.row_number().over(order))
-    return out.join(again, "doc_id", "left_anti").unionByName(numbered.filter(F.col(number) == 1).select(*docs.columns))
+    return keep_rows(docs, _find(docs).filter("group_size > 1"))
 
 
 SQL = r"""

@@ -10,7 +10,8 @@ and lines, compressibility.
 
 Defined results: null and empty texts have statistics 0 and are scored like others; without labels (or with one class
 only) the score is the share of label 1 (0.5 without labels). Labels with null doc_id or quality are ignored; repeated
-rows give repeated rows. Extra columns are ignored.
+rows give repeated rows (a doc_id that repeats: each of its rows is scored by its own text; all of them are learnt from
+where the id is labelled). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_texts, without
+from tidemark.llm.common import filter_texts, held_out, map_texts
 
 #: Labelled rows to learn from, about.
 MOST_ROWS = 40_000
@@ -166,5 +167,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns. Needs distinct doc_id."""
-    return without(docs, report(docs, labels).filter("predicted = 0"))
+    """The rows of docs that aren't rejected, with all their columns; each row is judged by its own text."""
+    model = train(docs, labels)
+    return filter_texts(docs, lambda: lambda texts: model.score(_table(texts)) >= LEAST_SCORE)

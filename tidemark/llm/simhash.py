@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, dealt_round, map_texts, without
+from tidemark.llm.common import cut, dealt_round, keep_rows, map_texts, text_mark
 from tidemark.llm.components import roots
 
 RADIUS, BLOCKS, SEED = 3, 6, 42
@@ -58,13 +58,14 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed number). Null and empty texts have fingerprint 0."""
+    """doc_id, mark (of the text), fp (the 64 bits as a signed number). Null and empty texts have fingerprint 0."""
 
     def run(ids: list, texts: list[str]) -> dict:
         found = np.fromiter((fingerprint(x, width) for x in texts), np.uint64, len(texts))
-        return {"doc_id": ids, "fp": found.view(np.int64)}
+        return {"id": ids, "fp": found.view(np.int64)}
 
-    return map_texts(docs, lambda: run, "doc_id bigint, fp bigint")
+    found = map_texts(docs, lambda: run, "id struct<doc_id:bigint,mark:bigint>, fp bigint", id_col=F.struct("doc_id", text_mark().alias("mark")).alias("id"))
+    return found.select("id.doc_id", "id.mark", "fp")
 
 
 def _masks(free: int) -> list[int]:
@@ -180,17 +181,21 @@ def link(nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs: the smallest doc_id reachable through links, its own included.
+    """doc_id, mark, fp, root, component_id, size of every row of docs.
 
-    Null and empty texts have fingerprint 0 and link like others. Rows with a null doc_id have a null component_id and
-    link nothing. Repeated rows give repeated rows. Extra columns are ignored.
+    component_id is the smallest doc_id reachable through links, its own included; root (a fingerprint) tells components
+    apart and size is the number of their rows with a doc_id. Null and empty texts have fingerprint 0 and link like others.
+    Rows with a null doc_id have a null component_id and link nothing. Repeated rows give repeated rows; rows that share a
+    doc_id only aren't linked by that. Extra columns are ignored.
     """
     rows = cut(fingerprints(docs))
-    nodes = cut(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = roots(link(nodes))
-    component = nodes.join(found, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("root", "node").alias("component_id"))
-    joined = rows.join(component, F.col("fp") == F.col("of_fp"), "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    nodes = cut(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = roots(link(nodes.select("fp", F.col("fp").alias("node"))))
+    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size"))
+    of_fp = rooted.select(F.col("fp").alias("of_fp"), "root").join(dealt_round(groups), "root")
+    joined = rows.join(of_fp, F.col("fp") == F.col("of_fp"), "left")
+    return joined.select("doc_id", "mark", "fp", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("root", "component_id", "size")))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -199,5 +204,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all columns. Needs distinct doc_id."""
-    return without(docs, classes(docs).filter("doc_id <> component_id"))
+    """One row of each group, that with the smallest doc_id, with all columns; rows with a null doc_id all stay.
+
+    Of rows of a group that share this doc_id, that with the least hash of its text stays. A doc_id that repeats in another
+    group is another row and stays there if it's the first.
+    """
+    found = cut(classes(docs).filter("size > 1").select("doc_id", "mark", "root", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    ties = cut(found.filter("kept").groupBy("root").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).filter("first < last"))
+    if not ties.isEmpty():
+        found = found.join(ties, "root", "left").withColumn("kept", F.col("kept") & (F.col("mark") == F.coalesce("first", "mark")))
+    return keep_rows(docs, found.select("doc_id", "mark", "kept"))
