@@ -442,6 +442,12 @@ def run(method: str, train: np.ndarray, test: np.ndarray, m: int) -> tuple[np.nd
     return out, "success", None
 
 
+def initial_train(n: int, fraction: float = 0.85) -> int | None:
+    """Values to start from among n, halves rounded to even; None unless it is 10 at least and less than n."""
+    size = round(n * fraction)
+    return size if 10 <= size < n else None
+
+
 def rolling_refit(method: str, y: np.ndarray, start: int, m: int) -> tuple[np.ndarray, int]:
     """Refits before every step; where that fails the last value is taken and counted."""
     out, failed = np.empty(len(y) - start), 0

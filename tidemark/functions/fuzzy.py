@@ -45,20 +45,59 @@ def subtractive(data: np.ndarray, radius: float, accept: float = ACCEPT, reject:
 
 
 def subtractive_raw(x: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The variant without scaling: centers, and one width for each from its median distance to the others."""
+    """The variant without scaling: centers, and one width for each from its median distance to the points."""
     d2 = _squared(x, x)
     density = np.exp(-d2 / (radius / 2) ** 2).sum(axis=1)
     first, chosen = density.max(), []
+    if first <= 1e-12:
+        return x.mean(axis=0, keepdims=True), np.full((1, x.shape[1]), radius / 2)
     while len(chosen) < most:
         i = int(density.argmax())
         if density[i] < REJECT * first:
             break
         chosen.append(i)
-        density = density - density[i] * np.exp(-d2[i] / (1.5 * radius / 2) ** 2)
+        density = np.maximum(0.0, density - density[i] * np.exp(-d2[i] / (1.5 * radius / 2) ** 2))
     width = [max(float(np.median(np.sqrt(d2[i]))) / np.sqrt(2), 0.01) for i in chosen]
     return x[chosen], np.repeat(np.array(width)[:, None], x.shape[1], axis=1)
 
 
+def subtractive_adaptive(x: np.ndarray, radius: float, most: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """The variant on standardised columns with half the radius: ``most`` centers (raw), one width each from raw distances.
+
+    A center is taken as long as any density is left; a density may fall under 0, and the same point may come again.
+    """
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
+    reach = _squared(z, z) / (2 * (0.5 * radius) ** 2)
+    density, chosen = np.exp(-reach).sum(axis=1), []
+    for _ in range(most):
+        i = int(density.argmax())
+        if density[i] < 0:
+            break
+        chosen.append(i)
+        density = density - density[i] * np.exp(-reach[i] / 1.5**2)
+    center = x[chosen]
+    width = np.maximum(0.5 * np.median(np.sqrt(_squared(center, x)), axis=1), 0.01)
+    return center, width[:, None]
+
+
+def cluster_quality(x: np.ndarray, center: np.ndarray, width: np.ndarray) -> float:
+    """Minus the weighted distances of the points to the centers, over the distances between centers; 0 for one center."""
+    far = np.sqrt(_squared(center, x))
+    between = float(np.sqrt(_squared(center, center))[np.triu_indices(len(center), 1)].sum())
+    within = float((far * np.exp(-far / (2 * width))).sum())
+    return -within / (between + 1e-6) if between >= 1e-6 else 0.0
+
+
+def dynamic_design(x: np.ndarray, center: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Rows of the linear system of a model: for each rule its share of the firing times (1, x); intercepts come first."""
+    far = ((x[:, None, :] - center[None]) / np.maximum(sigma, 1e-3)[None]) ** 2
+    fired = np.exp(-0.5 * far.sum(axis=2))
+    share = fired / np.maximum(fired.sum(axis=1, keepdims=True), 1e-12)
+    ones = np.concatenate((np.ones((len(x), 1)), x), axis=1)
+    return (share[:, :, None] * ones[:, None, :]).reshape(len(x), -1)
+
+
 def fuzzy_c_means(x: np.ndarray, k: int, m: float = 2.0, rounds: int = 100, tolerance: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Centers and memberships (n, k)."""
     u = np.random.default_rng(seed).random((len(x), k))

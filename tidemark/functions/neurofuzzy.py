@@ -56,18 +56,19 @@ def prepare(train: np.ndarray, lags: int):
     return (x[:-tail], y[:-tail]), (x[-tail:], y[-tail:]), low, high
 
 
+def evaluate(start: fuzzy.Tsk, antecedents: np.ndarray, near, far, alpha: float = 0.05, weights: tuple[float, ...] | None = None) -> tuple[fuzzy.Tsk, float]:
+    """Variable projection: the consequents that fit ``near`` best with these antecedents, and the objective of that model."""
+    candidate = start.with_vector(antecedents).fit(*near, alpha)
+    return candidate, fuzzy.objective(candidate, near, far, weights or (fuzzy.W_FIT, fuzzy.W_VALIDATION, fuzzy.W_SENSITIVITY, fuzzy.W_COVERAGE))
+
+
 def fit(train: np.ndarray, lags: int, radius: float = 1.0, alpha: float = 0.05, seed: int = 41001, variant: str = "PC", particles: int = 12, rounds: int = 40) -> Fitted:
     dynamics, boundary, weights = VARIANTS[variant]
     near, far, low, high = prepare(train, lags)
     start = fuzzy.initial(*near, radius)
     best, value, history = start.vector(), float("nan"), []
     if dynamics:
-
-        def cost(v: np.ndarray) -> float:
-            candidate = start.with_vector(v).fit(*near, alpha)
-            return fuzzy.objective(candidate, near, far, weights or (fuzzy.W_FIT, fuzzy.W_VALIDATION, fuzzy.W_SENSITIVITY, fuzzy.W_COVERAGE))
-
-        best, value, history = swarm.minimise(cost, start.vector(), *fuzzy.bounds(near[0], len(start.center)), particles, rounds, seed, dynamics, boundary)
+        best, value, history = swarm.minimise(lambda v: evaluate(start, v, near, far, alpha, weights)[1], start.vector(), *fuzzy.bounds(near[0], len(start.center)), particles, rounds, seed, dynamics, boundary)
     x, y = np.concatenate((near[0], far[0])), np.concatenate((near[1], far[1]))
     return Fitted(start.with_vector(best).fit(x, y, alpha), low, high, lags, train[-lags:], value, history)
 

@@ -69,58 +69,71 @@ def minimise(cost: Callable[[np.ndarray], float], start: np.ndarray, low: np.nda
     return top_x, top_c, history
 
 
+def dynamic_start(x: np.ndarray, rules: int, particles: int, low: float, high: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
+    """Positions (radius, centers, widths) near the clusters of radius 0.5, and the number of rules in use; the rest is 0."""
+    center, width = fuzzy.subtractive_raw(x, 0.5, rules)
+    k, d = center.shape
+    draws = rng.standard_normal((particles, 1 + 2 * k * d))
+    shift = draws[:, 1:].reshape(particles, k, 2, d)
+    position = np.zeros((particles, 1 + 2 * rules * d))
+    position[:, 0] = np.clip(0.5 + 0.05 * draws[:, 0], low, high)
+    position[:, 1 : 1 + k * d] = (center + 0.02 * shift[:, :, 0]).reshape(particles, -1)
+    position[:, 1 + rules * d : 1 + rules * d + k * d] = (width + 0.01 * np.abs(shift[:, :, 1])).reshape(particles, -1)
+    return position, k
+
+
+def decode(position: np.ndarray, rules: int, d: int, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Radius, centers and widths of the ``k`` rules in use."""
+    parts = position[1:].reshape(2, rules, d)
+    return float(position[0]), parts[0, :k], parts[1, :k]
+
+
 def dynamic_radius(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, rules: int = 15, particles: int = 12, rounds: int = 40, every: int = 5, low: float = 0.15, high: float = 1.2, alpha: float = 0.05, penalty: float = 0.01, seed: int = 0) -> tuple[fuzzy.Tsk, float, float]:
     """Radius and antecedents searched together: model, radius, cost.
 
-    Each particle clusters the data with its own radius at the start and every few rounds; all are scored, then all move.
-    Unused rules don't move. Cost: validation error plus a penalty on the share of rules used; 1e6 on a failure.
+    All particles are scored, then all move; every few rounds each one's rules are clustered anew with its own radius. Only the
+    radius has bounds; rules that aren't in use don't move. Cost: validation error plus a penalty on the share of rules in use;
+    1e6 on a failure. The model has the clusters of the best radius.
     """
     rng = np.random.default_rng(seed)
     d = x.shape[1]
-    omega, c = 0.729, 1.494
-    radius = rng.uniform(low, high, particles)
-    position = np.zeros((particles, 2 * rules * d))
-    used = np.zeros(particles, int)
-
-    def place(i: int) -> None:
-        center, width = fuzzy.subtractive_raw(x, radius[i], rules)
-        used[i] = len(center)
-        position[i] = 0
-        position[i, : used[i] * d] = center.ravel()
-        position[i, rules * d : rules * d + used[i] * d] = width.ravel()
-
-    def model(v: np.ndarray, k: int) -> fuzzy.Tsk:
-        sigma = np.maximum(np.abs(v[rules * d : rules * d + k * d]).reshape(k, d), 0.01)
-        return fuzzy.Tsk(v[: k * d].reshape(k, d), sigma, np.zeros((k, d + 1))).fit(x, y, alpha)
+    inertia, pull, chi = 0.729, 1.494, 0.729  # fixed values
+    at, k = dynamic_start(x, rules, particles, low, high, rng)
+    used = np.full(particles, k)
+    speed = np.zeros_like(at)
 
     def score(i: int) -> float:
+        _, center, sigma = decode(at[i], rules, d, used[i])
+        near = fuzzy.dynamic_design(x, center, sigma)
         try:
-            out = fuzzy.rmse(yv, model(position[i], used[i]).predict(xv)) + penalty * used[i] / rules
+            beta = np.linalg.solve(near.T @ near + alpha * np.eye(near.shape[1]), near.T @ y)
         except np.linalg.LinAlgError:
             return 1e6
-        return out if np.isfinite(out) else 1e6
+        error = fuzzy.rmse(yv, fuzzy.dynamic_design(xv, center, sigma) @ beta)
+        return error + penalty * used[i] / rules if np.isfinite(error) else 1e6
+
+    def live() -> np.ndarray:
+        rule = (np.arange(rules) < used[:, None]).repeat(d, axis=1)
+        return np.concatenate((np.ones((particles, 1), bool), rule, rule), axis=1)
 
-    for i in range(particles):
-        place(i)
-    speed, radius_speed = np.zeros_like(position), np.zeros(particles)
-    best = [(np.inf, None, None, 0)] * particles
-    top = (np.inf, None, None, 0)
+    best, best_cost, top, top_cost = at.copy(), np.full(particles, np.inf), at[0].copy(), np.inf
     for r in range(rounds):
         if r and r % every == 0:
             for i in range(particles):
-                place(i)
-        for i in range(particles):
-            s = score(i)
-            if s < best[i][0]:
-                best[i] = (s, position[i].copy(), float(radius[i]), int(used[i]))
-            if s < top[0]:
-                top = (s, position[i].copy(), float(radius[i]), int(used[i]))
+                center, width = fuzzy.subtractive_raw(x, at[i, 0], rules)
+                used[i], at[i, 1:] = len(center), 0.0
+                at[i, 1 : 1 + center.size] = center.ravel()
+                at[i, 1 + rules * d : 1 + rules * d + width.size] = width.ravel()
+            speed = np.where(live(), speed, 0.0)
         for i in range(particles):
-            r1, r2 = rng.random(position.shape[1] + 1), rng.random(position.shape[1] + 1)
-            speed[i] = omega * speed[i] + c * r1[1:] * (best[i][1] - position[i]) + c * r2[1:] * (top[1] - position[i])
-            radius_speed[i] = omega * radius_speed[i] + c * r1[0] * (best[i][2] - radius[i]) + c * r2[0] * (top[2] - radius[i])
-            live = np.zeros(position.shape[1], bool)
-            live[: used[i] * d] = live[rules * d : rules * d + used[i] * d] = True
-            position[i] = np.where(live, position[i] + speed[i], 0.0)
-            radius[i] = np.clip(radius[i] + radius_speed[i], low, high)
-    return model(top[1], top[3]), top[2], float(top[0])
+            cost = score(i)
+            if cost < best_cost[i]:
+                best_cost[i], best[i] = cost, at[i]
+            if cost < top_cost:
+                top_cost, top = cost, at[i].copy()
+        draws = rng.random((particles, 2, at.shape[1]))
+        speed = np.where(live(), chi * (inertia * speed + pull * draws[:, 0] * (best - at) + pull * draws[:, 1] * (top - at)), 0.0)
+        at = np.where(live(), at + speed, 0.0)
+        at[:, 0] = np.clip(at[:, 0], low, high)
+    center, sigma = fuzzy.subtractive_raw(x, top[0], rules)
+    return fuzzy.Tsk(center, np.maximum(sigma, 1e-3), np.zeros((len(center), d + 1))).fit(x, y, alpha), float(top[0]), float(top_cost)

@@ -28,7 +28,17 @@ def tasks(series: DataFrame, methods: list[str], seeds: list[int] | None = None,
     return packed.crossJoin(F.broadcast(spark.createDataFrame(rows, "method string, seed int")))
 
 
-def predict_one(y: np.ndarray, n_train: int, method: str, seed: int, m: int, rounds: int) -> tuple[np.ndarray, str, str | None, float, int]:
+def spread(work: DataFrame) -> DataFrame:
+    """Rows dealt out in turn over the cluster. Each is long work on little data: with a number of partitions given, adaptive
+    execution doesn't put them together by their size."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _spread(work: DataFrame) -> DataFrame:
+    return spread(work.select("series_id", "y", "n_train", "method", "seed"))
+
+
+def predict_one(y: np.ndarray, n_train: int, method: str, seed: int, m: int, budget: dict) -> tuple[np.ndarray, str, str | None, float, int]:
     train, test = y[:n_train], y[n_train:]
     if method not in NEURO:
         return *forecasters.run(method, train, test, m), float("nan"), 0
@@ -39,22 +49,25 @@ def predict_one(y: np.ndarray, n_train: int, method: str, seed: int, m: int, rou
         if method == "FCM":
             got = neurofuzzy.fit_fcm(train)
         elif method == "DYNAMIC":
-            got = neurofuzzy.fit_dynamic(train, lags, seed, rounds=rounds)
+            got = neurofuzzy.fit_dynamic(train, lags, seed, **budget)
         else:
-            got = neurofuzzy.fit(train, lags, seed=seed, variant=method, rounds=rounds)
+            got = neurofuzzy.fit(train, lags, seed=seed, variant=method, **budget)
         return got.forecast(test), "success", None, got.objective, len(got.model.center)
     except (ValueError, np.linalg.LinAlgError) as e:
         return np.full(len(test), np.nan), "failed", f"fit: {e}", float("nan"), 0
 
 
-def predictions(work: DataFrame, m: int, rounds: int = 40) -> DataFrame:
-    """Predictions of all tasks, long; NaN never stands for a value (it becomes null)."""
+def predictions(work: DataFrame, m: int, **budget: int) -> DataFrame:
+    """Predictions of all tasks, long; NaN never stands for a value (it becomes null).
+
+    ``budget``: particles and rounds, where they aren't the method's own.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for task in batch.itertuples():
                 y = np.asarray(task.y, float)
-                p, status, failure, objective, rules = predict_one(y, task.n_train, task.method, task.seed, m, rounds)
+                p, status, failure, objective, rules = predict_one(y, task.n_train, task.method, task.seed, m, budget)
                 yield pd.DataFrame(
                     {
                         "series_id": task.series_id, "method": task.method, "seed": task.seed, "t": np.arange(task.n_train, len(y), dtype=np.int32),
@@ -62,22 +75,25 @@ def predictions(work: DataFrame, m: int, rounds: int = 40) -> DataFrame:
                     }
                 )
 
-    spread = work.repartition(F.col("series_id"), F.col("method"), F.col("seed"))
-    out = spread.select("series_id", "y", "n_train", "method", "seed").mapInPandas(run, PREDICTIONS)
+    out = _spread(work).mapInPandas(run, PREDICTIONS)
     return out.withColumn("predicted", F.nanvl("predicted", F.lit(None))).withColumn("objective", F.nanvl("objective", F.lit(None)))
 
 
-def refit(series: DataFrame, methods: list[str], m: int, start: int) -> DataFrame:
-    """Predictions with a new fit before each step, and the number of steps where the last value was taken instead."""
+def refit(series: DataFrame, methods: list[str], m: int) -> DataFrame:
+    """Predictions with a new fit before each step from the initial training part on, and the number of steps where the last
+    value was taken instead. Series that are too short for such a part have no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for task in batch.itertuples():
                 y = np.asarray(task.y, float)
+                if (start := forecasters.initial_train(len(y))) is None:
+                    continue
                 p, failed = forecasters.rolling_refit(task.method, y, start, m)
                 yield pd.DataFrame({"series_id": task.series_id, "method": task.method, "t": np.arange(start, len(y), dtype=np.int32), "actual": y[start:], "predicted": p, "failed_steps": failed})
 
-    work = tasks(series, methods).select("series_id", "y", "method").repartition("series_id", "method")
+    work = spread(tasks(series, methods).select("series_id", "y", "method"))
     return work.mapInPandas(run, "series_id string, method string, t int, actual double, predicted double, failed_steps int")
 
 
@@ -92,7 +108,7 @@ def rules(work: DataFrame, m: int, rounds: int = 40) -> DataFrame:
                 yield pd.DataFrame({"series_id": task.series_id, "method": task.method, "seed": task.seed, "rule": range(len(model.center)), "center": list(model.center), "sigma": list(model.sigma), "coef": list(model.coef), "low": got.low, "high": got.high})
 
     schema = "series_id string, method string, seed int, rule int, center array<double>, sigma array<double>, coef array<double>, low double, high double"
-    return work.select("series_id", "y", "n_train", "method", "seed").mapInPandas(run, schema)
+    return _spread(work).mapInPandas(run, schema)
 
 
 def history(work: DataFrame, m: int, rounds: int = 40) -> DataFrame:
@@ -106,7 +122,7 @@ def history(work: DataFrame, m: int, rounds: int = 40) -> DataFrame:
                 yield pd.DataFrame(got.history).assign(series_id=task.series_id, method=task.method, seed=task.seed)[["series_id", "method", "seed", "iteration", *HISTORY]]
 
     schema = "series_id string, method string, seed int, iteration int, " + ", ".join(f"{c} double" for c in HISTORY)
-    return work.select("series_id", "y", "n_train", "method", "seed").mapInPandas(run, schema)
+    return _spread(work).mapInPandas(run, schema)
 
 
 def clusters(rows: DataFrame, radius: float) -> DataFrame:
@@ -126,7 +142,7 @@ def fire(rows: DataFrame, rule_rows: DataFrame, key: str = "series_id") -> DataF
     z = F.zip_with(F.zip_with("x", "center", lambda a, c: a - c), "sigma", lambda d, s: (d / s) * (d / s))
     strength = -0.5 * F.aggregate(z, F.lit(0.0), lambda a, b: a + b)
     linear = F.aggregate(F.zip_with("x", F.slice("coef", 1, F.size("x")), lambda a, c: a * c), F.lit(0.0), lambda a, b: a + b) + F.element_at("coef", -1)
-    fired = rows.join(F.broadcast(rule_rows), key).withColumn("log_strength", strength).withColumn("output", linear)
+    fired = rows.join(rule_rows, key).withColumn("log_strength", strength).withColumn("output", linear)
     from pyspark.sql import Window
 
     w = Window.partitionBy(key, "t")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import average_rank
+from tidemark.operators.ranking import average_rank, cumulative
+from tidemark.sources.shared import cut
 
 
 # -- distributions ---------------------------------------------------------------------------------------------------
@@ -102,9 +103,9 @@ def scalar(f, *cols: Column) -> Column:
 def friedman(df: DataFrame, condition: list[str], model: str, metric: str, models: list[str]) -> DataFrame:
     """One row: n (conditions that have all models), k, statistic (corrected for ties), p_value, kendall_w."""
     k = len(models)
-    full = df.filter(F.col(model).isin(models) & F.col(metric).isNotNull())
+    full = df.filter(F.col(model).isin(models) & F.col(metric).isNotNull()).select(*condition, model, metric)
     have = F.count(F.lit(1)).over(Window.partitionBy(*condition))
-    full = full.withColumn("_have", have).filter(F.col("_have") == k)
+    full = cut(full.withColumn("_have", have).filter(F.col("_have") == k))
     ranked = full.withColumn("_rank", average_rank(metric, condition))
     ties = full.groupBy(*condition, metric).count().agg(F.coalesce(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")), F.lit(0)).alias("ties"))
     sums = ranked.groupBy(model).agg(F.sum("_rank").alias("_sum"), F.count(F.lit(1)).alias("_n"))
@@ -117,20 +118,23 @@ def friedman(df: DataFrame, condition: list[str], model: str, metric: str, model
 
 
 def signed_ranks(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Wilcoxon's sums for differences d = a - b by key: n, w_plus, w_minus, statistic (the smaller), tie_term, n_pos, n_neg."""
-    d = pairs.withColumn("_d", F.col("a") - F.col("b")).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
-    within = list(keys) or [F.lit(1)]
-    w = Window.partitionBy(*within)
-    rank = F.rank().over(w.orderBy("_abs"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*within, F.col("_abs")))
-    d = d.withColumn("_t", ties).withColumn("_rank", rank + (ties - 1) / 2.0)
-    out = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"),
-        F.sum(F.col("_t") * F.col("_t") - 1.0).alias("tie_term"),
-        F.count_if(F.col("_d") > 0).alias("n_pos"),
-        F.count_if(F.col("_d") < 0).alias("n_neg"),
+    """Wilcoxon's sums for differences d = a - b by key: n, w_plus, w_minus, statistic (the smaller), tie_term, n_pos, n_neg.
+
+    Distinct |d| are counted first (partial sums) and ranked in ranges over all keys; the place of a key's first one comes
+    off within the sums. So no task gets all differences, with or without keys.
+    """
+    d = pairs.withColumn("_d", F.col("a") - F.col("b")).filter("_d <> 0")
+    counts = d.groupBy(*keys, F.abs("_d").alias("_abs")).agg(F.count(F.lit(1)).alias("_c"), F.count_if(F.col("_d") > 0).alias("_p"))
+    placed = cumulative(counts, [*keys, "_abs"], _before="_c")
+    c, p = F.col("_c").cast("double"), F.col("_p").cast("double")
+    rank = F.col("_before") + (c + 1) / 2  # over all keys
+    out = placed.groupBy(*keys).agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(p * rank) - F.min("_before") * F.sum(p), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum((c - p) * rank) - F.min("_before") * F.sum(c - p), F.lit(0.0)).alias("w_minus"),
+        F.sum(c * c * c - c).alias("tie_term"),
+        F.coalesce(F.sum("_p"), F.lit(0)).alias("n_pos"),
+        F.coalesce(F.sum(F.col("_c") - F.col("_p")), F.lit(0)).alias("n_neg"),
     )
     return out.withColumn("statistic", F.least("w_plus", "w_minus"))
 
@@ -147,7 +151,10 @@ def sign_test(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def holm(df: DataFrame, p: str = "p_value", family: list[str] | None = None, monotone: bool = True, alpha: float = 0.05, m: int | None = None) -> DataFrame:
-    """Adds p_adjusted and reject: step-down over a family (m hypotheses; the rows there are if not given)."""
+    """Adds p_adjusted and reject: step-down over a family (m hypotheses; the rows there are if not given).
+
+    A row is a hypothesis, that is a model that is compared with another: a family is as large as the list of models.
+    """
     within = Window.partitionBy(*(family or [F.lit(1)]))
     rank = F.row_number().over(within.orderBy(F.col(p).asc_nulls_last()))
     size = F.lit(m) if m else F.count(p).over(within)
@@ -160,17 +167,10 @@ def holm(df: DataFrame, p: str = "p_value", family: list[str] | None = None, mon
 
 
 def cliffs_delta(df: DataFrame, group: str, value: str, a: str, b: str) -> DataFrame:
-    """One row: delta = P(a > b) - P(a < b), from the counts of each distinct value instead of all pairs.
-
-    Distinct values are ranked in ranges: counts within a range by a window, those of the ranges before it by a sum.
-    """
+    """One row: delta = P(a > b) - P(a < b), from the counts of each distinct value instead of all pairs, ranked in ranges."""
     counts = df.filter(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(group) == a).cast("double").alias("_a"), F.count_if(F.col(group) == b).cast("double").alias("_b"))
-    parts = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.sum("_b").alias("_n"))
-    before = sizes.alias("s").join(sizes.alias("o"), F.col("o._p") < F.col("s._p"), "left").groupBy("s._p").agg(F.coalesce(F.sum("o._n"), F.lit(0.0)).alias("_before"))
-    below = F.coalesce(F.sum("_b").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("_before")
-    wins = parts.join(F.broadcast(before), "_p").withColumn("_below", below)
-    sums = wins.agg(F.sum("_a").alias("n"), F.sum("_b").alias("m"), F.sum(F.col("_a") * F.col("_below")).alias("above"), F.sum(F.col("_a") * F.col("_b")).alias("ties"))
+    placed = cumulative(counts, [value], _below="_b")
+    sums = placed.agg(F.sum("_a").alias("n"), F.sum("_b").alias("m"), F.sum(F.col("_a") * F.col("_below")).alias("above"), F.sum(F.col("_a") * F.col("_b")).alias("ties"))
     return sums.select(((2 * F.col("above") + F.col("ties")) / (F.col("n") * F.col("m")) - 1).alias("delta"))
 
 
@@ -178,29 +178,51 @@ def critical_difference(q: float, k: int, n: Column) -> Column:
     return F.lit(q) * F.sqrt(F.lit(k * (k + 1) / 6.0) / n)
 
 
+#: Differences that one task resamples.
+BLOCK = 100_000
+
+
 def bootstrap(pairs: DataFrame, keys: list[str], draws: int = 10_000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """keys, mean_difference, low, high: percentile interval of the mean of a - b, resampled within a group.
 
-    A group's differences (one for each benchmark condition, so bounded by the design) are resampled in one task; draws
-    are made in blocks, so that memory doesn't grow with their number.
+    A group's differences are dealt to blocks of about BLOCK. How many of a draw's picks fall in each block is multinomial,
+    drawn alike in every block from the seed and the blocks' sizes; each block then sums its own picks, and a draw's mean is
+    the sum over blocks. So a group of any size is resampled whole, and a task's memory has a bound.
     """
+    types = dict(pairs.dtypes)
+    named = ", ".join(f"{k} {types[k]}" for k in keys)
+    d = cut(pairs.select(*keys, (F.col("a") - F.col("b")).alias("d"), F.monotonically_increasing_id().alias("_i")))
+    facts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("d").alias("mean_difference"))
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    blocked = d.alias("x").join(facts.alias("y"), same).select(*(f"x.{k}" for k in keys), "d", F.pmod("_i", F.ceil(F.col("_n") / BLOCK)).cast("int").alias("_block"))
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_c"))).alias("_sizes"))
+    sizes = sizes.select(*keys, F.col("_sizes._block").alias("_blocks"), F.col("_sizes._c").alias("_counts"))
+    work = blocked.alias("x").join(sizes.alias("y"), same).select(*(f"x.{k}" for k in keys), "d", "_block", "_blocks", "_counts")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort((pdf["a"] - pdf["b"]).to_numpy())
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([d[rng.integers(0, len(d), (min(500, draws - k), len(d)))].mean(axis=1) for k in range(0, draws, 500)])
-        low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), d.mean(), low, high]], columns=[*keys, "mean_difference", "low", "high"])
-
-    types = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", mean_difference double, low double, high double")
+        d = np.sort(pdf["d"].to_numpy())
+        counts = np.asarray(pdf["_counts"].iloc[0])
+        at = list(pdf["_blocks"].iloc[0]).index(pdf["_block"].iloc[0])
+        rng = np.random.default_rng(seed if len(counts) == 1 else [seed, at])
+        n = int(counts.sum())
+        if len(counts) == 1:
+            sums = np.concatenate([d[rng.integers(0, n, (min(500, draws - k), n))].sum(axis=1) for k in range(0, draws, 500)]) if n < 20_000 else np.array([d[rng.integers(0, n, n)].sum() for _ in range(draws)])
+        else:
+            picks = np.random.default_rng(seed).multinomial(n, counts / n, size=draws)[:, at]
+            sums = np.array([d[rng.integers(0, len(d), k)].sum() for k in picks])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * draws for k in keys}, "_draw": np.arange(draws, dtype=np.int32), "_sum": sums})
+
+    drawn = work.groupBy(*keys, "_block").applyInPandas(run, f"{named}, _draw int, _sum double")
+    means = drawn.groupBy(*keys, "_draw").agg(F.sum("_sum").alias("_sum")).alias("x").join(facts.alias("y"), same).select(*(f"x.{k}" for k in keys), (F.col("_sum") / F.col("_n")).alias("_mean"), "mean_difference")
+    return means.groupBy(*keys).agg(F.first("mean_difference").alias("mean_difference"), F.percentile("_mean", F.lit(alpha / 2)).alias("low"), F.percentile("_mean", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def compare_to(df: DataFrame, condition: list[str], model: str, metric: str, reference: str, models: list[str], seed: int = 42) -> DataFrame:
     """Each other model against the reference: Wilcoxon, bootstrap interval, direction, Holm."""
+    df = cut(df.filter(F.col(model).isin(models)).select(*condition, model, metric))
     ref = df.filter(F.col(model) == reference).select(*condition, F.col(metric).alias("a"))
-    rest = df.filter(F.col(model).isin([m for m in models if m != reference])).select(*condition, F.col(model).alias("model"), F.col(metric).alias("b"))
-    pairs = rest.join(ref, condition)
+    rest = df.filter(F.col(model) != reference).select(*condition, F.col(model).alias("model"), F.col(metric).alias("b"))
+    pairs = cut(rest.join(ref, condition).dropna(subset=["a", "b"]))
     tests = wilcoxon(pairs, "model").join(bootstrap(pairs, ["model"], seed=seed), "model")
     tests = tests.withColumn("direction", F.when(F.col("mean_difference") < 0, "reference_better").when(F.col("mean_difference") > 0, "model_better").otherwise("equal"))
     return holm(tests)

@@ -33,8 +33,13 @@ def frozen_drift(split: Column, y: str = "y") -> Column:
 
 
 def forecasts(series: DataFrame, split: Column, m: int, frozen: bool = True) -> DataFrame:
-    """series_id, t, n, split, is_test, y, method, predicted: the three simple methods side by side, from one window pass."""
-    wide = series.withColumn("split", split).withColumn("is_test", F.col("t") >= F.col("split"))
+    """series_id, t, n, split, is_test, y, scale, scale_sq, method, predicted: the three simple methods, from one window pass.
+
+    scale and scale_sq are the mean absolute and mean squared season step of the training part.
+    """
+    wide = series.withColumn("split", split).withColumn("is_test", F.col("t") >= F.col("split")).withColumn("_step", season_step(m))
+    step = F.when(~F.col("is_test"), F.col("_step"))
+    wide = wide.withColumn("scale", F.avg(F.abs(step)).over(whole())).withColumn("scale_sq", F.avg(step * step).over(whole())).drop("_step")
     wide = wide.withColumn("naive_1", last_value()).withColumn("seasonal_naive", seasonal(m, fall_back=not frozen)).withColumn("drift", frozen_drift(F.col("split")) if frozen else drift())
     return wide.unpivot([c for c in wide.columns if c not in ("naive_1", "seasonal_naive", "drift")], ["naive_1", "seasonal_naive", "drift"], "method", "predicted")
 

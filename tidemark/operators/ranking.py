@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut
+
 #: Metrics for which larger is better (fixed value).
 HIGHER_IS_BETTER = frozenset({"r2"})
 
@@ -74,16 +76,28 @@ def best_with_ties(df: DataFrame, within: list[str], model: str, metric: str) ->
     return top.groupBy(*within).agg(F.concat_ws("/", F.array_sort(F.collect_list(model))).alias("best"), F.min(metric).alias(metric))
 
 
+def cumulative(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """Adds for each name the sum of a column over all rows before this one in the order (null: 0).
+
+    ``order`` must tell all rows apart. Rows are sorted into ranges, which are written once, so that the numbers of the ranges
+    hold wherever they are used: sums within a range by a window, those of the ranges before it by a table of a row a range.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    before = totals.select("_range", *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"_in_{name}") for name, c in sums.items()))
+    return out.join(before, "_range").select(*df.columns, *((F.col(f"_in_{name}") + F.col(f"_{name}")).alias(name) for name in sums))
+
+
 def quarters(df: DataFrame, by: str, *ties: str) -> DataFrame:
-    """Adds quarter 1 to 4 in order of ``by``: n // 4 rows each, the last takes the rest.
+    """Adds quarter 1 to 4 in order of ``by``, then ``ties``: n // 4 rows each, the last takes the rest; none for fewer than 4 rows.
 
-    Rows are numbered by range partitions (counts of partitions first), not by one window over everything.
+    Rows are numbered by ranges, not by one window over everything. ``by`` and ``ties`` must tell the rows apart.
     """
-    order = [by, *ties]
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    sizes = part.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
-    before = sizes.alias("s").join(sizes.alias("o"), F.col("o._p") < F.col("s._p"), "left").groupBy("s._p").agg(F.coalesce(F.sum("o._n"), F.lit(0)).alias("_before"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    numbered = part.join(F.broadcast(before), "_p").crossJoin(F.broadcast(total))
-    quarter = F.least(F.floor((F.col("_i") + F.col("_before")) / F.floor(F.col("_total") / 4)), F.lit(3)) + 1
-    return numbered.withColumn("quarter", quarter.cast("int")).drop("_p", "_i", "_before", "_total")
+    numbered = cumulative(df.withColumn("_one", F.lit(1)), [by, *ties], _before="_one")
+    total = numbered.agg(F.count(F.lit(1)).alias("_total"))
+    quarter = F.least(F.floor(F.col("_before") / F.floor(F.col("_total") / 4)), F.lit(3)) + 1
+    return numbered.crossJoin(F.broadcast(total)).withColumn("quarter", quarter.cast("int")).select(*df.columns, "quarter")

@@ -46,12 +46,12 @@ def available(spark, d):
     return s.agg(*(F.count(m).alias(m) for m in wanted)).unpivot([], wanted, "metric", "n").filter("n > 0")
 
 
-@query("B10_seed_firewall", "SELECT o_orderkey AS seed, o_orderkey BETWEEN 1001 AND 1010 AS development, o_orderkey BETWEEN 2001 AND 2020 AS final FROM orders WHERE o_orderkey < 3000")
+@query("B10_seed_firewall", "SELECT o_orderkey AS seed, o_orderkey BETWEEN 1001 AND 1010 AS development, o_orderkey BETWEEN 2001 AND 2020 AS final FROM orders")
 def firewall(spark, d):
     from tidemark.plans.design import DEVELOPMENT_SEEDS, FINAL_SEEDS
 
     seed = F.col("o_orderkey")
-    return read(spark, d, "orders").filter(seed < 3000).select(seed.alias("seed"), seed.isin(DEVELOPMENT_SEEDS).alias("development"), seed.isin(FINAL_SEEDS).alias("final"))
+    return read(spark, d, "orders").select(seed.alias("seed"), seed.isin(DEVELOPMENT_SEEDS).alias("development"), seed.isin(FINAL_SEEDS).alias("final"))
 
 
 @query("B11_method_support", f"{S} SELECT family, series, rule, method FROM scores WHERE method <> 'seasonal_naive' OR (CASE family WHEN 'priority' THEN 12 ELSE 1 END) > 1")
@@ -365,7 +365,7 @@ def stratified_by_hash(spark, d):
     return by_hash(read(spark, d, "customer"), ["c_mktsegment"], ["c_mktsegment", "c_custkey"], 10, 20).select("c_mktsegment", "c_custkey", F.col("partition").alias("part"), "rn")
 
 
-@query("G03_best_pair", f"{S} SELECT CAST(1.0 AS DOUBLE) AS radius, CAST(0.1 AS DOUBLE) AS alpha, CAST(2.0 AS DOUBLE) AS statistic")
+@query("G03_best_pair", "SELECT radius, alpha, 2.0::DOUBLE AS statistic FROM (SELECT unnest([0.25, 0.35, 0.55, 0.75, 1.0])::DOUBLE AS radius), (SELECT unnest([0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.05, 0.1])::DOUBLE AS alpha) ORDER BY 3, radius DESC, alpha DESC LIMIT 1")
 def best_pair(spark, d):
     from tidemark.operators.selection import best_pair as op
     from tidemark.plans.design import candidate_grid as grid

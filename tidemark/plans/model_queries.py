@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -16,6 +15,7 @@ from tidemark.plans import design
 from tidemark.plans.core import query, r8
 from tidemark.plans.scores import CONDITION, METHODS, SCORES_SQL, scores
 from tidemark.sources import files
+from tidemark.sources.shared import shared_folder
 from tidemark.sources.tables import PRIORITY_SQL, priority_monthly, read
 
 P = f"WITH {PRIORITY_SQL}"
@@ -31,7 +31,7 @@ def _scored(spark, d, methods, seeds=SEED):
     """Errors of fitted methods by series, method and seed."""
     p = fitting.predictions(tasks(spark, d, methods, seeds), M).filter("status = 'success'")
     scale = metrics.scales(priority_monthly(spark, d), M, F.col("t") < F.floor(F.col("n") * 0.8))
-    return metrics.final(p.join(F.broadcast(scale), "series_id"), "series_id", "method", "seed")
+    return metrics.final(p.join(scale, "series_id"), "series_id", "method", "seed")
 
 
 # -- forecasters that are fitted ------------------------------------------------------------------------------------------
@@ -44,27 +44,37 @@ for _id, _methods in {
     query(_id)(lambda spark, d, methods=_methods: _scored(spark, d, methods))
 
 for _id, _method in {"M02_rolling_arima": "arima_110", "M03_rolling_ets": "ets", "M04_rolling_theta": "theta"}.items():
-    query(_id)(lambda spark, d, method=_method: fitting.refit(priority_monthly(spark, d), [method], M, 70))
+    query(_id)(lambda spark, d, method=_method: fitting.refit(priority_monthly(spark, d), [method], M))
+
+
+def _map_series(series, each, schema):
+    """each(series_id, values) for every series: packed as a row each, and dealt out."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                yield each(row.series_id, np.asarray(row.y, float))
+
+    return fitting.spread(files.gather(series, "series_id", "t", "y")).mapInPandas(run, schema)
 
 
 def _lag_rolling(kind: str):
     """A regression with fixed parameters, fitted again before each step."""
 
     def run(spark, d):
-        def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            y = pdf.sort_values("t")["y"].to_numpy()
+        def each(series_id: str, y: np.ndarray) -> pd.DataFrame:
             out = []
-            for t in range(70, len(y)):
+            for t in range(forecasters.initial_train(len(y)) or len(y), len(y)):
                 x, target = forecasters.lagged(y[:t], 5)
                 mean, sd = x.mean(axis=0), x.std(axis=0)
                 if kind == "svr":
                     p = forecasters.KernelSvr((x - mean) / sd, target, 10.0, 0.05).predict((y[None, t - 5 : t] - mean) / sd)[0]
                 else:
                     p = forecasters.Boosted(x, target).predict(y[None, t - 5 : t])[0]
-                out.append((pdf["series_id"].iloc[0], t, float(y[t]), float(p)))
+                out.append((series_id, t, float(y[t]), float(p)))
             return pd.DataFrame(out, columns=["series_id", "t", "actual", "predicted"])
 
-        return priority_monthly(spark, d).select("series_id", "t", "y").groupBy("series_id").applyInPandas(each, "series_id string, t int, actual double, predicted double")
+        return _map_series(priority_monthly(spark, d), each, "series_id string, t int, actual double, predicted double")
 
     return run
 
@@ -76,16 +86,25 @@ query("M06_rolling_boosted")(_lag_rolling("boosted"))
 @query("M24_forecast_from_rules")
 def forecast_from_rules(spark, d):
     """Test forecasts of stored rules as expressions: lags are observed values, so test rows are known."""
-    stored = fitting.rules(tasks(spark, d, ["PC"]), M, rounds=10)
+    stored = fitting.rules(tasks(spark, d, ["PC"]), M)
     bounds = stored.select("series_id", "low", "high").distinct()
-    s = priority_monthly(spark, d).join(F.broadcast(bounds), "series_id")
+    s = priority_monthly(spark, d).join(bounds, "series_id")
     scaled = s.withColumn("y", 0.1 + (F.col("y") - F.col("low")) * 0.8 / (F.col("high") - F.col("low")))
     rows = shaping.lag_array(scaled, M).filter(F.col("t") >= F.floor(F.col("n") * 0.8)).select("series_id", "t", "x", "target")
     fired = fitting.fire(rows, stored.select("series_id", "center", "sigma", "coef"))
     return fired.groupBy("series_id", "t").agg(F.sum(F.col("weight") * F.col("output")).alias("predicted"), F.first("target").alias("target"))
 
 
-@query("K06_rule_outputs")
+UNIT = f"{P}, u AS (SELECT series_id, t, (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) AS v FROM series WINDOW w AS (PARTITION BY series_id)), x AS (SELECT series_id, t, lag(v, 3) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 1) OVER w AS c FROM u WINDOW w AS (PARTITION BY series_id ORDER BY t))"
+FIRED = f"""{UNIT}, rules(rule, center, sigma) AS (VALUES (1, 0.2::DOUBLE, 0.3::DOUBLE), (2, 0.8::DOUBLE, 0.4::DOUBLE)),
+f AS (SELECT series_id, t, rule, a, b, c, -0.5 * (((a - center) / sigma) ** 2 + ((b - center) / sigma) ** 2 + ((c - center) / sigma) ** 2) AS s FROM x, rules WHERE t >= 3),
+w AS (SELECT *, exp(s - max(s) OVER q) / sum(exp(s)) OVER q * exp(max(s) OVER q) AS weight FROM f WINDOW q AS (PARTITION BY series_id, t))"""
+
+
+K06 = """SELECT series_id, t, round(sum(weight * CASE rule WHEN 1 THEN 0.5 * a + 0.2 * b + 0.1 * c + 0.05 ELSE 0.1 * a + 0.2 * b + 0.5 * c + 0.1 END), 8) AS predicted FROM w GROUP BY 1, 2"""
+
+
+@query("K06_rule_outputs", f"{FIRED} {K06}")
 def rule_outputs(spark, d):
     rows = shaping.lag_array(shaping.unit(priority_monthly(spark, d)).withColumn("y", F.col("unit")), 3).select("series_id", "t", "x")
     rule = spark.createDataFrame([([0.2] * 3, [0.3] * 3, [0.5, 0.2, 0.1, 0.05]), ([0.8] * 3, [0.4] * 3, [0.1, 0.2, 0.5, 0.1])], "center array<double>, sigma array<double>, coef array<double>")
@@ -94,12 +113,6 @@ def rule_outputs(spark, d):
     return fired.groupBy("series_id", "t").agg(r8(F.sum(F.col("weight") * F.col("output"))).alias("predicted"))
 
 
-UNIT = f"{P}, u AS (SELECT series_id, t, (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) AS v FROM series WINDOW w AS (PARTITION BY series_id)), x AS (SELECT series_id, t, lag(v, 3) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 1) OVER w AS c FROM u WINDOW w AS (PARTITION BY series_id ORDER BY t))"
-FIRED = f"""{UNIT}, rules(rule, center, sigma) AS (VALUES (1, 0.2::DOUBLE, 0.3::DOUBLE), (2, 0.8::DOUBLE, 0.4::DOUBLE)),
-f AS (SELECT series_id, t, rule, a, b, c, -0.5 * (((a - center) / sigma) ** 2 + ((b - center) / sigma) ** 2 + ((c - center) / sigma) ** 2) AS s FROM x, rules WHERE t >= 3),
-w AS (SELECT *, exp(s - max(s) OVER q) / sum(exp(s)) OVER q * exp(max(s) OVER q) AS weight FROM f WINDOW q AS (PARTITION BY series_id, t))"""
-
-
 def _fired(spark, d):
     rows = shaping.lag_array(shaping.unit(priority_monthly(spark, d)).withColumn("y", F.col("unit")), 3).select("series_id", "t", "x")
     rule = spark.createDataFrame([(1, [0.2] * 3, [0.3] * 3, [0.5, 0.2, 0.1, 0.05]), (2, [0.8] * 3, [0.4] * 3, [0.1, 0.2, 0.5, 0.1])], "rule int, center array<double>, sigma array<double>, coef array<double>")
@@ -158,12 +171,12 @@ def _each_series(schema, f):
     """A query that applies f to the values of each series."""
 
     def run(spark, d):
-        def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = pd.DataFrame(f(pdf.sort_values("t")["y"].to_numpy()))
-            out.insert(0, "series_id", pdf["series_id"].iloc[0])
+        def each(series_id: str, y: np.ndarray) -> pd.DataFrame:
+            out = pd.DataFrame(f(y))
+            out.insert(0, "series_id", series_id)
             return out
 
-        return priority_monthly(spark, d).select("series_id", "t", "y").groupBy("series_id").applyInPandas(each, f"series_id string, {schema}")
+        return _map_series(priority_monthly(spark, d), each, f"series_id string, {schema}")
 
     return run
 
@@ -180,8 +193,13 @@ def _fcm(y):
     return {"number": np.arange(2, dtype=np.int32), "center": list(center), "members": u.sum(axis=0)}
 
 
+def _train(y):
+    """The training part: four fifths, rounded down."""
+    return y[: len(y) * 4 // 5]
+
+
 def _small_model(y):
-    near, far, *_ = neurofuzzy.prepare(y[:60], 5)
+    near, far, *_ = neurofuzzy.prepare(_train(y), 5)
     return fuzzy.initial(*near, 1.0).fit(*near, 0.05), near, far
 
 
@@ -232,7 +250,7 @@ def _separation(y):
 
 
 def _boundary(y):
-    z = (y[:24] - y.min()) / np.ptp(y) * 1.4 - 0.2
+    z = (y - y.min()) / np.ptp(y) * 1.4 - 0.2
     return {"candidate": z, "projected": np.clip(z, 0, 1), "velocity_sign": np.where((z < 0) | (z > 1), -1, 1).astype(np.int32)}
 
 
@@ -256,26 +274,26 @@ def _multiplicative(y):
 
 
 def _dynamic_search(y):
-    near, far, *_ = neurofuzzy.prepare(y[:60], 5)
-    model, radius, cost = swarm.dynamic_radius(*near, *far, rules=5, particles=6, rounds=10, seed=3)
+    near, far, *_ = neurofuzzy.prepare(_train(y), 5)
+    model, radius, cost = swarm.dynamic_radius(*near, *far, seed=3)
     return {"rules": [len(model.center)], "radius": [radius], "cost": [cost]}
 
 
 def _grid_choice(kind):
     def run(y):
-        got = forecasters.LagRegression(y[:63], M, kind)
+        got = forecasters.LagRegression(_train(y), M, kind)
         return {"params": [json.dumps(got.params)], "validation_mase": [got.validation_mase]}
 
     return run
 
 
 def _sarima_choice(y):
-    got = forecasters.Sarima(y[:63], M)
+    got = forecasters.Sarima(_train(y), M)
     return {"order": [str(got.order)], "n_coefficients": [len(got.v)]}
 
 
 def _ets_choice(y):
-    got = forecasters.Ets(y[:63], M)
+    got = forecasters.Ets(_train(y), M)
     return {"trend": [got.trend], "seasonal": [got.seasonal]}
 
 
@@ -321,7 +339,7 @@ def swarm_history(spark, d):
 
 @query("E25_history_summary")
 def history_summary(spark, d):
-    h = fitting.history(tasks(spark, d, ["PC"]), M, rounds=15)
+    h = fitting.history(tasks(spark, d, ["PC"]), M)
     cols = ["best_cost", "mean_cost", "swarm_diameter"]
     aggs = [a for c in cols for a in (F.min_by(c, "iteration").alias(f"{c}_first"), F.max_by(c, "iteration").alias(f"{c}_last"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
     return h.groupBy("series_id", "method", "seed").agg(*aggs).withColumn("improvement", F.col("best_cost_first") - F.col("best_cost_last"))
@@ -439,15 +457,30 @@ def pair_selection(spark, d):
     return selection.best_pair(best).select(F.col("radius").alias("r"), F.col("alpha").alias("a"), "statistic", "n_conditions")
 
 
-@query("N02_complete_gate", "SELECT CAST(28350 AS BIGINT) AS expected, CAST(28350 AS BIGINT) AS found, true AS open")
+@query("N02_complete_gate", f"SELECT n AS expected, n AS found, true AS open FROM (SELECT count(*) AS n FROM {GENS}, range(1001, 1011) a(dgp_seed), (SELECT unnest([0.05, 0.1, 0.2])) b, range(5) r(i), range(7) c(j), range(3) e(k))")
 def complete_gate(spark, d):
-    found = design.development_tasks(spark).agg(F.countDistinct("run_id").alias("found"))
-    return found.select(F.lit(28350).cast("bigint").alias("expected"), "found", (F.col("found") == 28350).alias("open"))
+    tasks = design.development_tasks(spark)
+    found = tasks.agg(F.countDistinct("run_id").alias("found"))
+    expected = len(design.GENERATORS) * len(design.DEVELOPMENT_SEEDS) * len(design.NOISE_LEVELS) * len(design.RADII) * len(design.ALPHAS) * len(design.DEVELOPMENT_OPTIMIZER_SEEDS)
+    return found.select(F.lit(expected).cast("bigint").alias("expected"), "found", (F.col("found") == expected).alias("open"))
+
 
+M26 = """SELECT CASE WHEN c AND r THEN 'PC' WHEN c THEN 'C' WHEN r THEN 'P' ELSE 'NEITHER' END AS variant, c AS constricted, r AS rejects, 0.5::DOUBLE AS w_fit, 0.001::DOUBLE AS w_sensitivity, 0.01::DOUBLE AS w_coverage
+  FROM (SELECT unnest([true, false]) AS c), (SELECT unnest([true, false]) AS r)
+UNION ALL SELECT name, true, true, CASE WHEN k = 1 THEN 0 ELSE 0.5 END, CASE WHEN k <= 2 THEN 0 ELSE 0.001 END, CASE WHEN k = 2 THEN 0.01 ELSE 0 END
+  FROM (SELECT unnest(['VALIDATION_ONLY', 'NO_SENSITIVITY', 'NO_COVERAGE']) AS name, unnest([1, 2, 3]) AS k)
+UNION ALL SELECT 'NF_BASE', NULL, NULL, NULL, NULL, NULL"""
 
-@query("M26_variants", "SELECT * FROM (VALUES ('C', true), ('NEITHER', true), ('NF_BASE', false), ('NO_COVERAGE', true), ('NO_SENSITIVITY', true), ('P', true), ('PC', true), ('VALIDATION_ONLY', true)) v(variant, swarm)")
+
+@query("M26_variants", M26)
 def variants(spark, d):
-    return spark.createDataFrame([(k, v[0] is not None) for k, v in neurofuzzy.VARIANTS.items()], "variant string, swarm boolean")
+    """Dynamics, boundary and weights of the objective of each ablation; the base has no swarm."""
+    usual = (fuzzy.W_FIT, fuzzy.W_VALIDATION, fuzzy.W_SENSITIVITY, fuzzy.W_COVERAGE)
+    rows = []
+    for name, (dynamics, boundary, weights) in neurofuzzy.VARIANTS.items():
+        w = weights or usual
+        rows.append((name, dynamics == "constricted", boundary == "feasible_rejection", w[0], w[2], w[3]) if dynamics else (name, *[None] * 5))
+    return spark.createDataFrame(rows, "variant string, constricted boolean, rejects boolean, w_fit double, w_sensitivity double, w_coverage double")
 
 
 @query("Q05_final_execution")
@@ -455,12 +488,23 @@ def final_execution(spark, d):
     """Tasks that have no result yet are run; the rest is left alone."""
     every = tasks(spark, d, ["naive_1", "theta", "PC"])
     done = every.filter("method = 'naive_1'").select("series_id", "method")
-    return fitting.predictions(every.join(done, ["series_id", "method"], "left_anti"), M, rounds=10)
+    return fitting.predictions(every.join(done, ["series_id", "method"], "left_anti"), M)
 
 
 @query("Q17_experiment_grid")
 def experiment_grid(spark, d):
-    return fitting.predictions(tasks(spark, d, ["C", "NEITHER"], [1, 2]), M, rounds=5).groupBy("series_id", "method", "seed", "status").agg(F.first("objective").alias("objective"), F.count(F.lit(1)).alias("n"))
+    """Protocol x radius x seed."""
+    every = tasks(spark, d, ["C", "NEITHER"], [1, 2]).crossJoin(design.values(spark, "radius", [0.55, 0.75, 1.0], "double"))
+
+    def run(batches):
+        for batch in batches:
+            for task in batch.itertuples():
+                y = np.asarray(task.y, float)
+                got = neurofuzzy.fit(y[: task.n_train], forecasters.lags_for(M), radius=task.radius, seed=task.seed, variant=task.method)
+                yield pd.DataFrame({"series_id": [task.series_id], "method": [task.method], "radius": [task.radius], "seed": [task.seed], "objective": [got.objective], "n_rules": [len(got.model.center)], "rmse": [fuzzy.rmse(y[task.n_train :], got.forecast(y[task.n_train :]))]})
+
+    dealt = fitting.spread(every.select("series_id", "y", "n_train", "method", "seed", "radius"))
+    return dealt.mapInPandas(run, "series_id string, method string, radius double, seed int, objective double, n_rules int, rmse double")
 
 
 @query("Q23_series_manifest")
@@ -481,11 +525,10 @@ def result_checks(spark, d):
 
 
 def _results_dir(spark, d) -> str:
-    """Scores as a folder of JSON results, in the shared folder where there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """Scores as a folder of JSON results, in the shared folder."""
     import uuid
 
-    path = f"{shared}/results-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     s = scores(spark, d)
     nested = s.select(F.lit("success").alias("status"), F.struct(*CONDITION, "method").alias("task"), F.struct("mae", "rmse", "mase").alias("metrics"))
     nested.write.json(path)
@@ -508,7 +551,7 @@ def result_matrix(spark, d):
 def metrics_files(spark, d):
     import uuid
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/metrics-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
     s = scores(spark, d).select(F.col("series").alias("dataset"), F.col("method").alias("model"), "rmse", F.when(F.col("rule") == "f70", "FAILED").when(F.col("rule") == "f80", "OK").alias("status"))
     s.write.csv(path, header=True)
     return files.read_metrics(spark, path).select("dataset", "model", F.col("rmse").cast("double").alias("rmse"))
@@ -518,7 +561,7 @@ def metrics_files(spark, d):
 def model_store(spark, d):
     import uuid
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/rules-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
     files.write_once(fitting.rules(tasks(spark, d, ["NF_BASE"], [0]), M), path)
     return spark.read.parquet(path)
 

@@ -12,7 +12,7 @@ from tidemark.operators import fitting, inference, ranking, shaping, synthetic
 from tidemark.plans import design
 from tidemark.plans.analytics_queries import PAIRS, S, pairs
 from tidemark.plans.core import query, r8
-from tidemark.plans.model_queries import M, SEED, UNIT, _each_series, _factors, _small_model, tasks
+from tidemark.plans.model_queries import M, SEED, UNIT, _each_series, _factors, _small_model, _train, tasks
 from tidemark.plans.scores import CONDITION, METHODS, scores
 from tidemark.sources import files
 from tidemark.sources.tables import PRIORITY_SQL, priority_monthly, read
@@ -35,7 +35,7 @@ def fingerprints(spark, d):
     sha = F.pandas_udf(lambda ys: pd.Series([hashlib.sha256(np.asarray(y, "<f8").tobytes()).hexdigest() for y in ys]), "string")
     packed = files.gather(priority_monthly(spark, d), "series_id", "t", "y").withColumn("sha256", sha("y"))
     manifest = packed.select("series_id", F.col("sha256").alias("expected"))
-    return packed.join(F.broadcast(manifest), "series_id").select("series_id", F.size("y").alias("n"), (F.col("sha256") == F.col("expected")).alias("verified"))
+    return packed.join(manifest, "series_id").select("series_id", F.size("y").alias("n"), (F.col("sha256") == F.col("expected")).alias("verified"))
 
 
 @query("A28_import_metrics", f"{S} SELECT 'orders' AS dataset, 'imported' AS source, series, method, mase FROM scores WHERE rule = 'f80'")
@@ -116,7 +116,7 @@ def _sensitivity(y):
 
 
 def _initial(y):
-    near, *_ = neurofuzzy.prepare(y[:60], 5)
+    near, *_ = neurofuzzy.prepare(_train(y), 5)
     model = fuzzy.initial(*near, 0.55)
     return {"rule": np.arange(len(model.center), dtype=np.int32), "center": list(model.center), "sigma": list(model.sigma)}
 
@@ -135,7 +135,7 @@ def _vectors(y):
 
 
 def _inner_errors(y):
-    return {"method": ["ridge", "xgboost"], "validation_mase": [forecasters.LagRegression(y[:63], M, k).validation_mase for k in ("ridge", "xgboost")]}
+    return {"method": ["ridge", "xgboost"], "validation_mase": [forecasters.LagRegression(_train(y), M, k).validation_mase for k in ("ridge", "xgboost")]}
 
 
 for _id, _schema, _f in (
@@ -150,14 +150,14 @@ for _id, _schema, _f in (
 
 @query("J12_dynamic_fitness")
 def dynamic_fitness(spark, d):
-    p = fitting.predictions(tasks(spark, d, ["DYNAMIC"], SEED), M, rounds=10)
+    p = fitting.predictions(tasks(spark, d, ["DYNAMIC"], SEED), M)
     return p.groupBy("series_id").agg(F.first("objective").alias("fitness"), F.first("n_rules").alias("n_rules"))
 
 
 @query("M30_legacy_experiment")
 def legacy_experiment(spark, d):
     """Both legacy protocols: nonconstricted swarm, projected, and the research variant with a validation objective."""
-    return fitting.predictions(tasks(spark, d, ["NEITHER", "VALIDATION_ONLY"], [123]), M, rounds=10).groupBy("series_id", "method").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
+    return fitting.predictions(tasks(spark, d, ["NEITHER", "VALIDATION_ONLY"], [123]), M).groupBy("series_id", "method").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
 
 
 for _k, _name, _n in (("O13", "ar", 120), ("O14", "sine", 240), ("O15", "regime", 120), ("O16", "spiky", 60), ("O17", "seasonal", 120), ("O18", "short", 50)):
@@ -197,15 +197,16 @@ def radius_sweep(spark, d):
         for batch in batches:
             for task in batch.itertuples():
                 y = np.asarray(task.y, float)
-                got = neurofuzzy.fit(y[:63], 12, radius=task.radius, variant="NF_BASE")
-                yield pd.DataFrame({"series_id": [task.series_id], "radius": [task.radius], "n_rules": [len(got.model.center)], "rmse": [fuzzy.rmse(y[63:], got.forecast(y[63:]))]})
+                split = len(_train(y))
+                got = neurofuzzy.fit(y[:split], 12, radius=task.radius, variant="NF_BASE")
+                yield pd.DataFrame({"series_id": [task.series_id], "radius": [task.radius], "n_rules": [len(got.model.center)], "rmse": [fuzzy.rmse(y[split:], got.forecast(y[split:]))]})
 
-    return packed.mapInPandas(run, "series_id string, radius double, n_rules int, rmse double")
+    return fitting.spread(packed).mapInPandas(run, "series_id string, radius double, n_rules int, rmse double")
 
 
 @query("Q21_seed_study")
 def seed_study(spark, d):
-    p = fitting.predictions(tasks(spark, d, ["PC"], [1, 2, 3]), M, rounds=10)
+    p = fitting.predictions(tasks(spark, d, ["PC"], [1, 2, 3]), M)
     by = p.groupBy("series_id", "seed").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"))
     return by.groupBy("series_id").agg(F.avg("rmse").alias("mean"), F.stddev_samp("rmse").alias("std"), F.min("rmse").alias("min"), F.max("rmse").alias("max"))
 
@@ -225,9 +226,10 @@ def lag_buffer(spark, d):
 
 def _state(kind):
     def run(y):
-        model = forecasters.METHODS[kind](y[:63], M)
+        split = len(_train(y))
+        model = forecasters.METHODS[kind](y[:split], M)
         rows = []
-        for t in range(63, len(y)):
+        for t in range(split, len(y)):
             rows.append((t, float(model.forecast()), float(y[t])))
             model.observe(float(y[t]))
         return pd.DataFrame(rows, columns=["t", "predicted", "actual"])
@@ -256,5 +258,5 @@ def random_walk_demo(spark, d):
     """Two methods side by side on a random walk of 200 steps."""
     walk = np.random.default_rng(42).normal(size=200).cumsum()
     s = spark.createDataFrame([("walk", t, float(v)) for t, v in enumerate(walk)], "series_id string, t int, y double")
-    p = fitting.predictions(fitting.tasks(s, ["PC", "DYNAMIC"], [42]), 1, rounds=10)
+    p = fitting.predictions(fitting.tasks(s, ["PC", "DYNAMIC"], [42]), 1)
     return p.groupBy("method").agg(F.sqrt(F.avg(F.pow(F.col("actual") - F.col("predicted"), 2))).alias("rmse"), F.first("status").alias("status"))

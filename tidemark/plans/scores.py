@@ -22,9 +22,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.broadcast(spark.createDataFrame(list(RULES.items()), "rule string, fraction double"))
     every = series.crossJoin(rules).withColumn("series", F.col("series_id")).withColumn("series_id", F.concat_ws("|", "family", "series_id", "rule"))
     split = F.floor(F.col("fraction") * F.col("n")).cast("int")
-    test = naive.forecasts(every, split, 12).filter("is_test").select(*CONDITION, "series_id", "method", F.col("y").alias("actual"), "predicted")
-    scale = metrics.scales(every, 12, F.col("t") < split)
-    final = metrics.final(test.join(F.broadcast(scale), "series_id"), *CONDITION, "method")
+    test = naive.forecasts(every, split, 12).filter("is_test").select(*CONDITION, "method", F.col("y").alias("actual"), "predicted", "scale", "scale_sq")
+    final = metrics.final(test, *CONDITION, "method")
     return final.select(*CONDITION, "method", *(F.round(c, 8).alias(c) for c in ("mae", "rmse", "mase", "smape", "rmsse")))
 
 

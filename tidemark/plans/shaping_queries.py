@@ -13,20 +13,20 @@ P = f"WITH {PRIORITY_SQL} "
 LAGS = "".join(f", lag(y, {k}) OVER w AS x{i}" for i, k in enumerate(range(5, 0, -1), 1))
 
 
-@query("A01_validated_series", f"{P} SELECT ts AS date, round(y, 8) AS revenue FROM series WHERE series_id = '1-URGENT' AND y IS NOT NULL AND isfinite(y)")
+@query("A01_validated_series", f"{P} SELECT series_id, ts AS date, round(y, 8) AS revenue FROM series WHERE y IS NOT NULL AND isfinite(y)")
 def validated_series(spark, d):
     from tidemark.sources.files import validated
 
-    one = priority_monthly(spark, d).filter("series_id = '1-URGENT'").select(F.col("ts").cast("string").alias("date"), F.col("y").cast("string").alias("revenue"))
-    return validated(one, "date", "revenue").select("date", r8("revenue").alias("revenue"))
+    raw = priority_monthly(spark, d).select("series_id", F.col("ts").cast("string").alias("date"), F.col("y").cast("string").alias("revenue"))
+    return validated(raw, "date", "revenue", "series_id").select("series_id", "date", r8("revenue").alias("revenue"))
 
 
-@query("A02_generic_series", f"{P} SELECT ts AS date, round(y, 8) AS value FROM series WHERE series_id = '2-HIGH'")
+@query("A02_generic_series", f"{P} SELECT series_id, ts AS date, round(y, 8) AS value FROM series")
 def generic_series(spark, d):
     from tidemark.sources.files import generic
 
-    one = priority_monthly(spark, d).filter("series_id = '2-HIGH'").select(F.col("ts").alias("month"), F.col("y").alias("amount"), F.lit("x").alias("note"))
-    return generic(one).select(F.col("date").cast("date").alias("date"), r8("value").alias("value"))
+    raw = priority_monthly(spark, d).select("series_id", F.col("ts").alias("month"), F.col("y").alias("amount"), F.lit("x").alias("note"))
+    return generic(raw, key="series_id").select("series_id", F.col("date").cast("date").alias("date"), r8("value").alias("value"))
 
 
 @query("A08_train_test", f"{P} SELECT series_id, t, t >= floor(0.8 * n) AS is_test FROM series")
@@ -136,22 +136,22 @@ def scaled_lags(spark, d):
 
 RULES = {
     "C05_lag_rule": ("least(12, greatest(5, m))", lambda n, m: rules.lags_for_period(m)),
-    "C06_supervised_split": ("CAST(floor(0.85 * (n - 5) + 0.5) AS INTEGER)", lambda n, m: rules.supervised_split(n - 5)),
+    "C06_supervised_split": ("CAST(floor(0.85::DOUBLE * (n - 5) + 0.5) AS INTEGER)", lambda n, m: rules.supervised_split(n - 5)),
     "C07_round_half_up": ("CAST(floor(n / 2.0 + 0.5) AS INTEGER)", lambda n, m: rules.round_half_up(n / 2)),
-    "C08_initial_train": ("CASE WHEN round_even(n * 0.85, 0) BETWEEN 10 AND n - 1 THEN CAST(round_even(n * 0.85, 0) AS INTEGER) END", lambda n, m: rules.initial_train_size(n)),
-    "C09_floor_split": ("CAST(floor(0.8 * n) AS INTEGER)", lambda n, m: rules.floor_split(n)),
-    "C10_truncated_split": ("CAST(trunc(0.8 * n) AS INTEGER)", lambda n, m: rules.truncated_split(n)),
+    "C08_initial_train": ("CASE WHEN round_even(n * 0.85::DOUBLE, 0) BETWEEN 10 AND n - 1 THEN CAST(round_even(n * 0.85::DOUBLE, 0) AS INTEGER) END", lambda n, m: rules.initial_train_size(n)),
+    "C09_floor_split": ("CAST(floor(0.8::DOUBLE * n) AS INTEGER)", lambda n, m: rules.floor_split(n)),
+    "C10_truncated_split": ("CAST(trunc(0.8::DOUBLE * n) AS INTEGER)", lambda n, m: rules.truncated_split(n)),
     "C11_validation_tail": ("CASE WHEN n - 12 - greatest(8, floor(0.2 * (n - 12))) >= 11 THEN CAST(greatest(8, floor(0.2 * (n - 12))) AS INTEGER) END", lambda n, m: rules.tail_size(n, F.lit(12))),
-    "C12_inner_validation": ("CASE WHEN least(greatest(5, ceil(0.2 * n)), n - 12 - 10) >= 5 THEN CAST(least(greatest(5, ceil(0.2 * n)), n - 12 - 10) AS INTEGER) END", lambda n, m: rules.inner_validation_size(n, F.lit(12))),
+    "C12_inner_validation": ("CASE WHEN least(greatest(5, ceil(0.2::DOUBLE * n)), n - 12 - 10) >= 5 THEN CAST(least(greatest(5, ceil(0.2::DOUBLE * n)), n - 12 - 10) AS INTEGER) END", lambda n, m: rules.inner_validation_size(n, F.lit(12))),
     "C25_effective_lags": ("CASE WHEN n < 25 THEN least(5, 2) ELSE 5 END", lambda n, m: rules.effective_lags(n, F.lit(5))),
 }
 for _name, (_sql, _rule) in RULES.items():
 
     def _rule_query(spark, d, rule=_rule):
-        keys = read(spark, d, "orders").filter("o_orderkey < 200").select((F.col("o_orderkey") + 1).cast("int").alias("n"), (1 + F.col("o_orderkey") % 24).cast("int").alias("m"))
+        keys = read(spark, d, "orders").select((F.col("o_orderkey") + 1).cast("int").alias("n"), (1 + F.col("o_orderkey") % 24).cast("int").alias("m"))
         return keys.select("n", "m", rule(F.col("n"), F.col("m")).alias("size"))
 
-    query(_name, f"SELECT n, m, {_sql} AS size FROM (SELECT CAST(o_orderkey + 1 AS INTEGER) AS n, CAST(1 + o_orderkey % 24 AS INTEGER) AS m FROM orders WHERE o_orderkey < 200)")(_rule_query)
+    query(_name, f"SELECT n, m, {_sql} AS size FROM (SELECT CAST(o_orderkey + 1 AS INTEGER) AS n, CAST(1 + o_orderkey % 24 AS INTEGER) AS m FROM orders)")(_rule_query)
 
 
 @query("C13_inner_split", f"{P} SELECT series_id, t, CASE WHEN t >= 63 - least(greatest(5, ceil(0.2 * 63)), 63 - 22) THEN 'validation' ELSE 'fit' END AS part FROM series WHERE t < 63")

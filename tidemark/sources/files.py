@@ -15,17 +15,21 @@ def _require(df: DataFrame, bad, message: str) -> None:
         raise ValueError(message)
 
 
-def validated(df: DataFrame, date: str, value: str) -> DataFrame:
-    """Strict series: both columns there, all dates and numbers readable and finite, no date twice; sorted by date."""
-    missing = {date, value} - set(df.columns)
+def validated(df: DataFrame, date: str, value: str, key: str | None = None) -> DataFrame:
+    """Strict series: all columns there, all dates and numbers readable and finite, no date twice; sorted by date.
+
+    ``key`` names the series where the table has many.
+    """
+    keys = [key] if key else []
+    missing = {date, value, *keys} - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
-    out = df.select(F.try_to_date(F.col(date).cast("string")).alias(date), F.expr(f"try_cast(`{value}` AS double)").alias(value))
+    out = df.select(*keys, F.try_to_date(F.col(date).cast("string")).alias(date), F.expr(f"try_cast(`{value}` AS double)").alias(value))
     v = F.col(value)
     _require(out, F.col(date).isNull() | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "a date or a value can't be read")
-    if not out.groupBy(date).count().filter("count > 1").isEmpty():
+    if not out.groupBy(*keys, date).count().filter("count > 1").isEmpty():
         raise ValueError("a date comes twice")
-    return out.orderBy(date)
+    return out.orderBy(*keys, date)
 
 
 def read_validated(spark: SparkSession, path: str, date: str = "date", value: str = "revenue_million_yer") -> DataFrame:
@@ -54,18 +58,21 @@ def detect_date(df: DataFrame, requested: str | None = None) -> str | None:
     return requested or next((by_lower[n] for n in DATE_NAMES if n in by_lower), None)
 
 
-def generic(df: DataFrame, value: str | None = None, date: str | None = None, least: int = 20) -> DataFrame:
+def generic(df: DataFrame, value: str | None = None, date: str | None = None, least: int = 20, key: str | None = None) -> DataFrame:
     """date, value of any series file: columns found by name, unreadable values dropped, ``least`` rows needed.
 
-    Rows are ordered by date where at least half of the dates (three at least) can be read.
+    Rows are ordered by date where at least half of the dates (three at least) can be read. ``key`` names the series where the
+    table has many; each of them then needs ``least`` rows.
     """
+    keys = [key] if key else []
     value, date = detect_value(df, value), detect_date(df, date)
     v = F.expr(f"try_cast(`{value}` AS double)")
-    out = df.select((F.col(date) if date else F.lit(None).cast("string")).cast("string").alias("date"), v.alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
-    n, dated = out.agg(F.count(F.lit(1)), F.count(F.expr("try_to_timestamp(date)"))).first()
-    if n < least:
-        raise ValueError(f"{n} rows; {least} are needed")
-    return out.orderBy(F.expr("try_to_timestamp(date)")) if dated >= max(3, n / 2) else out
+    out = df.select(*keys, (F.col(date) if date else F.lit(None).cast("string")).cast("string").alias("date"), v.alias("value")).filter("value IS NOT NULL AND NOT isnan(value)")
+    counts = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.expr("try_to_timestamp(date)")).alias("dated"))
+    fewest, n, dated = counts.agg(F.coalesce(F.min("n"), F.lit(0)), F.sum("n"), F.sum("dated")).first()
+    if fewest < least:
+        raise ValueError(f"{fewest} rows; {least} are needed")
+    return out.orderBy(*keys, F.expr("try_to_timestamp(date)")) if dated >= max(3, n / 2) else out
 
 
 def narrow(wide: DataFrame, key: str, train: bool = True) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming.online import forecast_stream
 
 
 def over(series: DataFrame, m: int, files: int = 3) -> DataFrame:
     """series_id, t, y -> forecasts by ``forecast_stream``; files hold ranges of t in order."""
     spark = series.sparkSession
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     most = series.selectExpr("max(t)").first()[0]
     for k in range(files):
         part = series.filter((series.t >= k * (most + 1) / files) & (series.t < (k + 1) * (most + 1) / files))
