@@ -424,11 +424,22 @@ METHODS: dict[str, Callable] = {
 }
 
 
+#: Other names of methods (fixed values).
+ALIASES = {"naive": "naive_1", "persistence": "naive_1"}
+
+
+def method_name(name: str) -> str:
+    return ALIASES.get(name.lower(), name.lower())
+
+
 def run(method: str, train: np.ndarray, test: np.ndarray, m: int) -> tuple[np.ndarray, str, str | None]:
     """Predictions (NaN from a failure on), status, and the stage of a failure ('fit', 'forecast' or 'update') with its message."""
     out, stage = np.full(len(test), np.nan), "fit"
     try:
-        model = METHODS[method](np.asarray(train, float), m)
+        name = method_name(method)
+        if name not in METHODS:
+            raise ValueError(f"there is no method {method}")
+        model = METHODS[name](np.asarray(train, float), m)
         for i, y in enumerate(test):
             stage = "forecast"
             value = float(model.forecast())

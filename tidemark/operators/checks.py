@@ -28,3 +28,10 @@ def violations(predictions: DataFrame) -> DataFrame:
         )
     )
     return g.select(*keys, "n", "status", broken.alias("broken"))
+
+
+def accepted(predictions: DataFrame) -> DataFrame:
+    """The successful predictions, if no rule is broken anywhere."""
+    if not violations(predictions).filter(F.size("broken") > 0).isEmpty():
+        raise ValueError("results break a rule: see violations")
+    return predictions.filter("status = 'success'")

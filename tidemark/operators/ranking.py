@@ -76,6 +76,20 @@ def best_with_ties(df: DataFrame, within: list[str], model: str, metric: str) ->
     return top.groupBy(*within).agg(F.concat_ws("/", F.array_sort(F.collect_list(model))).alias("best"), F.min(metric).alias(metric))
 
 
+def condition_columns(df: DataFrame, among: list[str]) -> list[str]:
+    """Those of the columns that are there and have more than one value, sorted."""
+    there = [c for c in among if c in df.columns]
+    n = df.agg(*(F.min(c).alias(f"_low_{c}") for c in there), *(F.max(c).alias(f"_high_{c}") for c in there)).first()
+    return sorted(c for c in there if n[f"_low_{c}"] != n[f"_high_{c}"])
+
+
+def reference_model(df: DataFrame, model: str, metric: str, wanted: str | None = None) -> DataFrame:
+    """One row, reference: the wanted model if it has rows, else the best mean, ties by name."""
+    g = df.groupBy(model).agg(F.avg(metric).alias("_mean"))
+    worth = F.col("_mean") if lower_is_better(metric) else -F.col("_mean")
+    return g.orderBy(F.col(model) != F.lit(wanted or ""), worth, model).limit(1).select(F.col(model).alias("reference"))
+
+
 def cumulative(df: DataFrame, order: list[str], **sums: str) -> DataFrame:
     """Adds for each name the sum of a column over all rows before this one in the order (null: 0).
 

@@ -27,6 +27,11 @@ def label(df: DataFrame, col: str, names: dict[str, str], other: int = 999) -> D
     return df.withColumn("label", F.coalesce(pairs[F.col(col)], F.col(col))).withColumn("sort_key", F.coalesce(places[F.col(col)], F.lit(other)))
 
 
+def latex_cell(col: str):
+    """A text column with LaTeX's special characters escaped."""
+    return F.regexp_replace(col, r"([&%_#])", r"\\$1")
+
+
 def latex_table(rows: list, columns: list[str], caption: str, name: str) -> str:
     """A tabular environment from a few collected rows; numbers get four digits, missing values '--'."""
 

@@ -30,16 +30,30 @@ def product(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def run_id(*cols: str) -> Column:
-    """SHA-256 of the row as JSON with sorted keys; numbers with a fraction go in as their shortest text."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in sorted(cols)))), 256)
+def shortest(c: Column) -> Column:
+    """A double as the shortest text that reads back the same, with an exponent of two digits under 0.0001 only."""
+    text = c.cast("string")
+    parts = F.split(text, "E")
+    tiny = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), F.lit("e-"), F.lpad(F.regexp_replace(parts[1], "-", ""), 2, "0"))
+    plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(text.contains("E-") & (F.abs(c) < 1e-4), tiny).when(text.contains("E"), plain).otherwise(text)
+
+
+def run_id(df: DataFrame, *cols: str, namespace: str) -> Column:
+    """SHA-256 of the row as JSON with sorted keys and no spaces; numbers with a fraction go in as their shortest text.
+
+    ``namespace`` tells the ids of different designs apart.
+    """
+    kinds = dict(df.dtypes)
+    fields = {c: shortest(F.col(c)) if kinds[c] == "double" else F.col(c) for c in cols} | {"namespace": F.lit(namespace)}
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
 
 
 def candidate_grid(spark: SparkSession) -> DataFrame:
     return product(values(spark, "radius", RADII, "double"), values(spark, "alpha", ALPHAS, "double"))
 
 
-def development_tasks(spark: SparkSession) -> DataFrame:
+def development_tasks(spark: SparkSession, namespace: str = "development") -> DataFrame:
     """28,350 tasks: generators x seeds x noise x candidate pairs x optimizer seeds."""
     cols = ["generator", "dgp_seed", "noise_level", "optimizer_seed", "radius", "alpha"]
     tasks = product(
@@ -49,10 +63,10 @@ def development_tasks(spark: SparkSession) -> DataFrame:
         candidate_grid(spark),
         values(spark, "optimizer_seed", DEVELOPMENT_OPTIMIZER_SEEDS, "int"),
     )
-    return tasks.select(run_id(*cols).alias("run_id"), *cols)
+    return tasks.select(run_id(tasks, *cols, namespace=namespace).alias("run_id"), *cols)
 
 
-def final_tasks(spark: SparkSession, real: DataFrame | None = None) -> DataFrame:
+def final_tasks(spark: SparkSession, real: DataFrame | None = None, namespace: str = "final") -> DataFrame:
     """Synthetic tasks (7,140) and, with a table of real series (source, frequency, series_id, seasonal_period), theirs.
 
     The neuro-fuzzy method has a task for each optimizer seed, baselines one each; seasonal naive needs a season.
@@ -64,7 +78,7 @@ def final_tasks(spark: SparkSession, real: DataFrame | None = None) -> DataFrame
     pc = units.crossJoin(F.broadcast(values(spark, "optimizer_seed", FINAL_OPTIMIZER_SEEDS, "int"))).withColumn("method", F.lit("neuro_fuzzy"))
     base = units.crossJoin(F.broadcast(values(spark, "method", BASELINES, "string"))).filter("method <> 'seasonal_naive' OR seasonal_period > 1")
     tasks = pc.unionByName(base, allowMissingColumns=True).withColumn("n_lags", F.least(F.lit(12), F.greatest(F.lit(5), "seasonal_period")))
-    return tasks.select(run_id(*tasks.columns).alias("run_id"), *tasks.columns)
+    return tasks.select(run_id(tasks, *tasks.columns, namespace=namespace).alias("run_id"), *tasks.columns)
 
 
 def pending(tasks: DataFrame, results: DataFrame, key: str = "run_id") -> DataFrame:

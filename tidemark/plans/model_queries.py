@@ -398,7 +398,7 @@ def task_summary(spark, d):
 
 @query("I11_run_id")
 def run_id(spark, d):
-    return design.development_tasks(spark).select("run_id", "generator", "dgp_seed", "radius", "alpha")
+    return design.final_tasks(spark).select("run_id", "generator", "dgp_seed", "noise_level", "method", "optimizer_seed")
 
 
 @query("D07_factor_product", "SELECT r_name, n_name, k FROM region, nation, range(3) g(k)")

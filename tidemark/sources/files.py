@@ -114,3 +114,65 @@ def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFra
     """path, size and SHA-256 of the files that differ from ``expected`` (name, size, sha256) or are missing there."""
     found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     return found.join(expected, ["name", "size", "sha256"], "left_anti").unionByName(expected.join(found, ["name", "size", "sha256"], "left_anti"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def configured(spark: SparkSession, entries: list[dict], least: int = 20) -> DataFrame:
+    """series_id, value of all configured folders of CSV files; a missing folder or column, or too few rows, passes one over."""
+    out = None
+    for entry in entries:
+        if not _exists(spark, entry["path"]):
+            continue
+        df = spark.read.csv(entry["path"], header=True)
+        if entry["value"] not in df.columns:
+            continue
+        one = df.select("series_id", F.expr(f"try_cast(`{entry['value']}` AS double)").alias("value")).filter("value IS NOT NULL")
+        if one.limit(least).count() >= least:
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no entry has a series")
+    return out
+
+
+def read_group(spark: SparkSession, path: str, source: str, frequency: str) -> DataFrame:
+    """unique_id, y (and more) of a table stored by (source, frequency): only the group's folder is read; y must be a number."""
+    df = spark.read.parquet(path)
+    if missing := {"unique_id", "y"} - set(df.columns):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    group = df.filter((F.col("source") == source) & (F.col("frequency") == frequency))
+    return group.withColumn("y", F.expr("try_cast(y AS double)")).filter("y IS NOT NULL")
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The first JSON object at a path; {} where there is none."""
+    return spark.read.json(path).first().asDict(recursive=True) if _exists(spark, path) else {}
+
+
+def write_batch(df: DataFrame, path: str, batch: int) -> None:
+    """A batch of results, written whole or not at all and never over another; what is there tells what is pending."""
+    write_once(df, f"{path}/batch={batch}")
+
+
+def _digest(df: DataFrame):
+    """A number that any change of the rows changes; their order doesn't count."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    return df.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.conv(F.substring(row, k, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{k}") for k in (1, 13, 25, 37, 49)))
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """Rows with their number and digest beside them."""
+    write_once(df, f"{path}/rows")
+    _digest(df.sparkSession.read.parquet(f"{path}/rows")).write.mode("errorifexists").json(f"{path}/digest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a manifest, if they are what was written."""
+    rows = spark.read.parquet(f"{path}/rows")
+    now = _digest(rows)
+    if now.first() != spark.read.schema(now.schema).json(f"{path}/digest").first():
+        raise ValueError(f"the manifest at {path} has changed")
+    return rows
