@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, dealt_round, map_texts, stored
+from tidemark.llm.common import cut, map_texts, stored
 
 LENGTH, GRAM = 50, 8
 BITS = 1 << 26
@@ -153,7 +153,8 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     windows = stored(_extensions(docs, _bitmap(cut(shared_keys(docs)))))
     shared = windows.groupBy("w").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
-    found = windows.join(dealt_round(shared.select("w", "first_doc")), "w").select("doc_id", "first_doc", "start")
+    # Joined by another key than the aggregation's, so that both sides are dealt out by the join, which may split a hot one.
+    found = windows.withColumn("k", F.bitwise_not("w")).join(shared.select((F.bitwise_not("w")).alias("k"), "first_doc"), "k").select("doc_id", "first_doc", "start")
     order = Window.partitionBy("doc_id", "first_doc").orderBy("start")
     opened = found.withColumn("opens", F.when(F.lag("start").over(order) + LENGTH >= F.col("start"), 0).otherwise(1))
     numbered = opened.withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
