@@ -199,3 +199,88 @@ def test_files(spark, tmp_path):
         files.write_once(good, str(tmp_path / "out"))
     wide = spark.createDataFrame([("a", "1", None, "3")], "id string, v1 string, v2 string, v3 string")
     assert [(r["t"], r["y"]) for r in files.narrow(wide, "id").orderBy("t").collect()] == [(0, 1.0), (2, 3.0)]
+
+
+def test_svr_meets_the_optimality_conditions():
+    """Of the dual with the bias in the kernel: inside the tube 0, on its border between, outside at the bound."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(60, 3))
+    y = np.sin(x[:, 0]) + 0.3 * x[:, 1] + 0.2 * rng.normal(size=60)
+    c, eps = 1.0, 0.1
+    model = forecasters.KernelSvr(x, y, c, eps, rounds=5000)
+    r = y - model.predict(x)
+    beta = model.beta
+    inside, bound = np.abs(beta) < 1e-9, np.abs(beta) > c - 1e-9
+    assert (np.abs(r[inside]) <= eps + 1e-4).all() and inside.any()
+    assert (np.sign(beta[bound]) * r[bound] >= eps - 1e-4).all() and bound.any()
+    free = ~inside & ~bound
+    assert np.abs(np.sign(beta[free]) * r[free] - eps).max() < 1e-4 and free.any()
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(32)
+    x, l2 = np.round(rng.normal(size=(40, 3)), 1), 1.0
+    y = (x[:, 1] > 0.3) * 2.0 + 0.1 * rng.normal(size=40)
+    g = y - y.mean()
+    best = (-1.0, None)
+    for j in range(3):
+        for cut in (np.unique(x[:, j])[1:] + np.unique(x[:, j])[:-1]) / 2:
+            low = x[:, j] <= cut
+            gain = g[low].sum() ** 2 / (low.sum() + l2) + g[~low].sum() ** 2 / ((~low).sum() + l2) - g.sum() ** 2 / (40 + l2)
+            if gain > best[0] + 1e-12:
+                best = (gain, (j, cut, g[low].sum() / (low.sum() + l2), g[~low].sum() / ((~low).sum() + l2)))
+    [tree] = forecasters.Boosted(x, y, trees=1, depth=1, rate=1.0, l2=l2).trees
+    assert tree == (best[1][0], pytest.approx(best[1][1]), pytest.approx(best[1][2]), pytest.approx(best[1][3]))
+
+
+def test_sarima_finds_the_least_squares_of_its_order():
+    rng = np.random.default_rng(33)
+    y = np.empty(120)
+    y[0] = 5.0
+    for t in range(1, 120):
+        y[t] = 5.0 + 0.6 * (y[t - 1] - 5.0) + rng.normal()
+    model = forecasters.Sarima(y, 1, [(1, 0, 0, 0, 0, 0)])
+    mine = float((model._residuals(y, model.order, model.v) ** 2).sum())
+
+    def plain(phi, mean):
+        x = y - mean
+        return x[0] ** 2 + ((x[1:] - phi * x[:-1]) ** 2).sum()
+
+    grid = min(plain(phi, mean) for phi in np.linspace(0.2, 0.95, 151) for mean in np.linspace(y.mean() - 1, y.mean() + 1, 81))
+    assert plain(model.v[0], model.v[1]) == pytest.approx(mine) and mine <= grid * 1.002
+    assert model.forecast() == pytest.approx(model.v[1] + model.v[0] * (y[-1] - model.v[1]))
+
+
+def test_seasonal_difference_forecast_by_hand():
+    """Without coefficients the seasonal walk repeats the last season's step."""
+    y = np.arange(30.0) + np.tile([0.0, 3.0, -1.0], 10)
+    model = forecasters.Sarima(y, 3, [(0, 1, 0, 0, 1, 0)])
+    assert model.forecast() == pytest.approx(y[-3] + (y[-1] - y[-4]))
+
+
+def test_smoothing_finds_the_least_squares_of_its_weight():
+    rng = np.random.default_rng(34)
+    y = 10 + rng.normal(size=80).cumsum() * 0.3 + rng.normal(size=80)
+    model = forecasters.Ets(y, 1)
+    grid = min(forecasters.Ets._pass(y, 1, "none", False, np.array([a]))[0] for a in np.linspace(0.002, 0.998, 999))
+    p, value = forecasters.nelder_mead(lambda v: forecasters.Ets._pass(y, 1, "none", False, v)[0] if 0.001 < v[0] < 0.999 else 1e300, np.array([0.3]), rounds=80)
+    assert value <= grid * 1.0005
+    if model.trend == "none":
+        level = float(np.mean(y[:10]))
+        for v in y:
+            level += float(model.p[0]) * (v - level)
+        assert model.forecast() == pytest.approx(level)
+
+
+def test_dynamic_design_and_decoding():
+    rng = np.random.default_rng(35)
+    x = rng.random((30, 2))
+    at, used = swarm.dynamic_start(x, 6, 4, 0.15, 1.2, np.random.default_rng(1))
+    radius, center, sigma = swarm.decode(at[2], 6, 2, used)
+    assert 0.15 <= radius <= 1.2 and center.shape == sigma.shape == (used, 2)
+    assert (at[:, 1 + 2 * used : 13] == 0).all() and (at[:, 13 + 2 * used :] == 0).all()
+    phi = fuzzy.dynamic_design(x, center, sigma)
+    plain = np.array([[np.exp(-0.5 * sum(((p[k] - c[k]) / s[k]) ** 2 for k in range(2))) for c, s in zip(center, sigma, strict=True)] for p in x])
+    plain /= plain.sum(axis=1, keepdims=True)
+    assert np.allclose(phi, np.concatenate([plain[:, [r]] * np.column_stack((np.ones(30), x)) for r in range(used)], axis=1))
+    assert fuzzy.cluster_quality(x, x[:1], np.ones((1, 1))) == 0.0
