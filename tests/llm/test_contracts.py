@@ -495,6 +495,53 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.98 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_language(model, text) -> tuple[str, float]:
+    """The best sequence by a dynamic programme, a word and a language at a time."""
+    words = langid.words_of(text or "")
+    if not words:
+        return "und", 0.0
+    score = model.scores(words)
+    value, back = score[0].copy(), []
+    for row in score[1:]:
+        top = int(value.argmax())
+        stay = value >= value[top] - langid.PENALTY
+        back.append(np.where(stay, np.arange(len(row)), top))
+        value = np.where(stay, value, value[top] - langid.PENALTY) + row
+    path = [int(value.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    letters = Counter()
+    for w, k in zip(words, reversed(path), strict=True):
+        letters[k] += len(w)
+    return model.langs[max(letters, key=lambda k: (letters[k], -k))], max(letters.values()) / sum(letters.values())
+
+
+def test_language_by_brute_force(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    model = langid.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.report(docs).collect():
+        lang, share = plain_language(model, texts[r["doc_id"]])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(share, abs=1e-6)
+
+
+def test_quality_by_brute_force(spark):
+    """Each document down each tree, one comparison at a time."""
+    docs, labels = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def leaf(tree, node, x):
+        if node >= len(model.feature[tree]):
+            return model.leaf[tree][node - len(model.feature[tree])]
+        return leaf(tree, 2 * node + (2 if x[model.feature[tree][node]] > model.threshold[tree][node] else 1), x)
+
+    for r in quality.report(docs, labels).collect():
+        x = quality.statistics(texts[r["doc_id"]] or "")
+        p = 1 / (1 + np.exp(-(model.base + sum(leaf(t, 0, x) for t in range(len(model.leaf))))))
+        assert r["score"] == pytest.approx(p, rel=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_mixed_text_gets_spans():
     cells = np.zeros((langid.CELLS, 2))
     for k, text in enumerate(("the cat sat on that mat then", "le chat est sur une table ronde")):

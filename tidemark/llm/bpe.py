@@ -217,7 +217,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text is encoded and its ids are decoded again."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text is encoded and its ids are decoded again.
+
+    Null and empty texts have no tokens and the digests of nothing. Every row gives one row, repeated rows and null ids too;
+    extra columns are ignored.
+    """
 
     def make():
         bpe = ByteBPE.load(path, pattern)

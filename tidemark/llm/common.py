@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import cut, shared_folder
+
 #: Characters of text that a Python worker handles at a time; bounds its memory whatever the batch.
 CHUNK_CHARS = 2_000_000
 
@@ -22,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in ``spark.checkpoint.dir``.
-
-    Only where none is set and Spark runs on one machine (as in tests) a folder of this machine is used; on a cluster such
-    a folder would be another one on each executor, so that a missing setting is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="checkpoints-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that lost executors don't undo it.
-
-    Spark deletes such files once nothing refers to them where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it: less to write than a checkpoint."""
     where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -65,7 +36,6 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_own: list[str] = []
 _stored: list[str] = []
 
 #: Bytes of an Arrow batch: with very long texts, batches of a number of rows alone would have no bound.

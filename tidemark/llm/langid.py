@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_texts
+from tidemark.llm.common import CHUNK_CHARS, held_out, map_texts
 
 #: Labelled rows to learn from, about; cells of the n-gram table; cost of a change of language, in nats.
 MOST_ROWS, CELLS, PENALTY = 20_000, 1 << 16, 12.0
@@ -217,7 +217,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "doc_id bigint, lang_pred string, score double, spans string")
+    # The arrays of a chunk grow with the square of the number of languages: smaller chunks for many.
+    chunk = max(CHUNK_CHARS // 50, min(CHUNK_CHARS, CHUNK_CHARS * 400 // max(1, len(model.langs)) ** 2))
+    return map_texts(docs, make, "doc_id bigint, lang_pred string, score double, spans string", chunk=chunk)
 
 
 def report(docs: DataFrame) -> DataFrame:
