@@ -186,6 +186,21 @@ def test_stream_equals_batch(spark):
         level = actual if level is None else level + 0.3 * (actual - level)
 
 
+def test_stream_of_many_series_and_late_values(spark):
+    """More series than files, in many small batches: equal to a plain loop; a value that repeats a time gives no row."""
+    from tidemark.streaming.run import over
+
+    rows = [(f"s{k}", t, float((k * 7 + t * t) % 11)) for k in range(23) for t in range(k % 6 + 1)]
+    series = spark.createDataFrame([*rows, ("s1", 1, 99.0)], "series_id string, t bigint, y double").orderBy("series_id", "t", "y")
+    got = {(r["series_id"], r["t"]): r for r in over(series, 2, steps=4).collect()}
+    assert sorted(got) == sorted((s, t) for s, t, _ in rows)
+    of = {(s, t): y for s, t, y in rows}
+    for (s, t), r in got.items():
+        assert r["actual"] == of[s, t] and r["naive_1"] == of.get((s, t - 1)) and r["seasonal_naive"] == of.get((s, t - 2))
+    empty = spark.createDataFrame([], "series_id string, t bigint, y double")
+    assert over(empty, 2).collect() == []
+
+
 def test_files(spark, tmp_path):
     from tidemark.sources import files
 

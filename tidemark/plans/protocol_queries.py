@@ -19,8 +19,8 @@ from tidemark.plans.core import query, r8
 from tidemark.plans.model_queries import M, P, SEED, _each_series, _factors, _train, tasks
 from tidemark.plans.scores import CONDITION, METHODS, scores
 from tidemark.sources import files
-from tidemark.sources.shared import shared_folder
-from tidemark.sources.tables import events_4h, priority_monthly, read, segment_monthly
+from tidemark.sources.shared import cut, shared_folder
+from tidemark.sources.tables import FAMILIES, FAMILIES_SQL, families, priority_monthly, read
 
 
 def _place(spark, name: str) -> str:
@@ -366,24 +366,41 @@ def ablation_variant(spark, d):
     return fitting.predictions(tasks(spark, d, ["NO_COVERAGE"], SEED), M).select("series_id", "method", "status").distinct()
 
 
-FAMILIES = ["orders_priority_monthly", "orders_segment_monthly", "events_type_4h"]
+SEASONS = sorted({m for *_, m in FAMILIES})
+ELIGIBLE_FAMILIES = f"""WITH {FAMILIES_SQL},
+steps AS (SELECT *, y - CASE m {" ".join(f"WHEN {m} THEN lag(y, {m}) OVER w" for m in SEASONS)} END AS step, CAST(floor(0.8 * n) AS INTEGER) AS split
+  FROM families WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+facts AS (SELECT family, m, series_id, max(n) AS n, max(split) AS split, avg(abs(step)) FILTER (WHERE t < split) AS scale FROM steps GROUP BY ALL),
+judged AS (SELECT family, series_id, CAST(n AS INTEGER) AS n, CAST(split AS INTEGER) AS split_index,
+  CASE WHEN n < 40 OR n > 180 THEN 'length' WHEN n - split < 8 THEN 'test_size' WHEN split - least(12, greatest(5, m)) < 20 THEN 'supervised_rows'
+    WHEN scale IS NULL OR scale <= 1e-12 THEN 'scale' ELSE 'eligible' END AS eligible_reason FROM facts)"""
 
 
-def families(spark, d):
-    """family, series_id, t, n, y, m of the series families of three tables."""
-    parts = ((FAMILIES[0], priority_monthly(spark, d), 12), (FAMILIES[1], segment_monthly(spark, d), 12), (FAMILIES[2], events_4h(spark, d), 6))
+def judged(every):
+    """series_id, n, split_index, scale, eligible_reason of all families, each with its own season."""
     out = None
-    for name, part, m in parts:
-        part = part.select(F.lit(name).alias("family"), F.concat_ws("|", F.lit(name), "series_id").alias("series_id"), "t", "n", "y", F.lit(m).alias("m"))
+    for m in SEASONS:
+        part = selection.eligibility(every.filter(F.col("m") == m), m)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def eligible(every):
+    return every.join(judged(every).filter("eligible_reason = 'eligible'").select("series_id"), "series_id", "left_semi")
+
+
+@query("B07_eligibility_of_families", f"{ELIGIBLE_FAMILIES} SELECT * FROM judged")
+def eligibility_of_families(spark, d):
+    """All families of real series; those of days are too short, on few orders those of nations as well."""
+    family = F.element_at(F.split("series_id", r"\|"), 1).alias("family")
+    return judged(families(spark, d)).select(family, "series_id", "n", "split_index", "eligible_reason")
+
+
 @query("Q14_real_benchmark")
 def real_benchmark(spark, d):
-    """Baselines on the real families, each with its own season; errors by family and method."""
-    every, out = families(spark, d), None
-    for m in (6, 12):
+    """Baselines on the eligible series of all real families, each with its own season; errors by family and method."""
+    every, out = cut(eligible(families(spark, d))), None
+    for m in SEASONS:
         mine = every.filter(F.col("m") == m)
         p = fitting.predictions(fitting.tasks(mine, ["naive_1", "seasonal_naive", "drift", "theta"]), m).filter("status = 'success'")
         scale = metrics.scales(mine, m, F.col("t") < F.floor(F.col("n") * 0.8))
@@ -431,11 +448,10 @@ def short_series(spark, d):
     return priority_monthly(spark, d).filter("n BETWEEN 40 AND 180").select("series_id", "n").distinct().agg(F.count(F.lit(1)).alias("candidates"), F.max("n").alias("longest"))
 
 
-@query("Q02_final_tasks_with_real", f"SELECT domain, count(*) AS n FROM (SELECT 'synthetic' AS domain FROM range(7140) UNION ALL SELECT 'real' FROM (SELECT DISTINCT o_orderpriority FROM orders), range(14) UNION ALL SELECT 'real' FROM (SELECT DISTINCT event_type FROM events), range(14)) GROUP BY 1")
+@query("Q02_final_tasks_with_real", f"{ELIGIBLE_FAMILIES} SELECT domain, count(*) AS n FROM (SELECT 'synthetic' AS domain FROM range(7140) UNION ALL SELECT 'real' FROM judged, range(14) WHERE eligible_reason = 'eligible') GROUP BY 1")
 def final_tasks_with_real(spark, d):
-    """The final design over generated and real series: five seeds and nine baselines a series, the season known."""
-    real = priority_monthly(spark, d).select(F.lit("orders").alias("source"), F.lit("monthly").alias("frequency"), "series_id", F.lit(12).alias("seasonal_period"))
-    real = real.unionByName(events_4h(spark, d).select(F.lit("events").alias("source"), F.lit("4h").alias("frequency"), "series_id", F.lit(6).alias("seasonal_period"))).distinct()
+    """The final design over generated and eligible real series: five seeds and nine baselines a series, the season known."""
+    real = eligible(families(spark, d)).select("source", "frequency", "series_id", F.col("m").alias("seasonal_period")).distinct()
     return design.final_tasks(spark, real).groupBy("domain").agg(F.countDistinct("run_id").alias("n"))
 
 

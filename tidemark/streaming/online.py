@@ -1,18 +1,19 @@
 """Predict, then observe, as a stream: the state of a series is what its forecaster has seen.
 
 Every micro-batch may bring the next values of any series; within a batch they are taken in order of t. Values that don't
-come after the last one seen are late: they give no row and leave the state alone.
+come after the last one seen are late: they give no row and leave the state alone. Of values for the same time in one batch
+the least counts.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STATE = "n bigint, last_t bigint, first double, last double, level double, ring array<double>"
 OUT = "series_id string, t bigint, actual double, naive_1 double, seasonal_naive double, drift double, ses double"
 
 
@@ -23,8 +24,9 @@ def forecast_stream(stream: DataFrame, m: int, alpha: float = 0.3) -> DataFrame:
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last_t, first, last, level, ring = json.loads(state.get[0]) if state.exists else (0, None, None, None, None, [])
-        rows = pd.concat(list(batches)).sort_values("t")
+        n, last_t, first, last, level, ring = state.get if state.exists else (0, None, None, None, None, [])
+        ring = list(ring)
+        rows = pd.concat(list(batches)).sort_values(["t", "y"])
         out = []
         for t, y in zip(rows["t"].tolist(), rows["y"].tolist(), strict=True):
             if last_t is not None and t <= last_t:
@@ -34,10 +36,10 @@ def forecast_stream(stream: DataFrame, m: int, alpha: float = 0.3) -> DataFrame:
             n, last_t, first, last = n + 1, t, y if first is None else first, y
             level = y if level is None else level + alpha * (y - level)
             ring = [*ring, y][-m:]
-        state.update((json.dumps((n, last_t, first, last, level, ring)),))
+        state.update((n, last_t, first, last, level, ring))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return stream.groupBy("series_id").applyInPandasWithState(step, OUT, "state string", "append", "NoTimeout")
+    return stream.groupBy("series_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
 
 
 def bucket_stream(events: DataFrame, width: str = "4 hours", late: str = "1 hour") -> DataFrame:
