@@ -393,13 +393,13 @@ def eligible(every):
 def eligibility_of_families(spark, d):
     """All families of real series; those of days are too short, on few orders those of nations as well."""
     family = F.element_at(F.split("series_id", r"\|"), 1).alias("family")
-    return judged(families(spark, d)).select(family, "series_id", "n", "split_index", "eligible_reason")
+    return judged(cut(families(spark, d))).select(family, "series_id", "n", "split_index", "eligible_reason")
 
 
 @query("Q14_real_benchmark")
 def real_benchmark(spark, d):
     """Baselines on the eligible series of all real families, each with its own season; errors by family and method."""
-    every, out = cut(eligible(families(spark, d))), None
+    every, out = cut(eligible(cut(families(spark, d)))), None
     for m in SEASONS:
         mine = every.filter(F.col("m") == m)
         p = fitting.predictions(fitting.tasks(mine, ["naive_1", "seasonal_naive", "drift", "theta"]), m).filter("status = 'success'")
@@ -451,7 +451,7 @@ def short_series(spark, d):
 @query("Q02_final_tasks_with_real", f"{ELIGIBLE_FAMILIES} SELECT domain, count(*) AS n FROM (SELECT 'synthetic' AS domain FROM range(7140) UNION ALL SELECT 'real' FROM judged, range(14) WHERE eligible_reason = 'eligible') GROUP BY 1")
 def final_tasks_with_real(spark, d):
     """The final design over generated and eligible real series: five seeds and nine baselines a series, the season known."""
-    real = eligible(families(spark, d)).select("source", "frequency", "series_id", F.col("m").alias("seasonal_period")).distinct()
+    real = eligible(cut(families(spark, d))).select("source", "frequency", "series_id", F.col("m").alias("seasonal_period")).distinct()
     return design.final_tasks(spark, real).groupBy("domain").agg(F.countDistinct("run_id").alias("n"))
 
 
