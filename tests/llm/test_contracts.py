@@ -582,6 +582,27 @@ def test_trees_are_what_the_arrays_say():
     assert p[7] == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
+def test_samples_at_any_size(spark):
+    """About as many as asked for, all of few, and the right share of 10**13 rows as well."""
+    from tidemark.llm.common import sample_limit, sampled
+
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert ids.filter(sampled(200_000, 200_000)).count() == 200_000
+    assert 1_800 < ids.filter(sampled(2_000, 200_000)).count() < 2_200
+    assert sample_limit(20_000, 10**13) / 2**63 == pytest.approx(2e-9)
+
+
+def test_quality_learns_one_row_of_a_doc_id(spark, monkeypatch):
+    """A doc_id that holds most rows, in documents and labels, doesn't swell the sample."""
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(1, 40)] + [(1, f"copy {k}") for k in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] + [(1, 0)] * 200, "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Trees, "fit", staticmethod(lambda x, y: seen.append((len(x), sorted(y)))))
+    quality.train(docs, labels)
+    used = labels.filter("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id").distinct().count()
+    assert [n for n, _ in seen] == [used]
+
+
 def test_quality_of_awkward_rows(odd, empty, labels):
     rows = quality.report(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)

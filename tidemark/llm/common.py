@@ -114,6 +114,17 @@ def held_out(remainder: int, divisor: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))
 
 
+def sample_limit(most: int, n: int) -> int:
+    """The largest hash (of 63 bits) in a sample of about ``most`` of ``n``; it doesn't come to nothing, however large n is."""
+    whole = (1 << 63) - 1
+    return min(whole, most * whole // max(n, 1))
+
+
+def sampled(most: int, n: int):
+    """Column: whether a doc_id is in a sample of about ``most`` of ``n`` rows, by its hash; all are where n is at most ``most``."""
+    return F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)) <= F.lit(sample_limit(most, n))
+
+
 def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many bytes of text each; a longer text is by itself."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CHUNK_CHARS, held_out, map_texts
+from tidemark.llm.common import CHUNK_CHARS, held_out, map_texts, sampled
 
 #: Labelled rows to learn from, about; cells of the n-gram table; cost of a change of language, in nats.
 MOST_ROWS, CELLS, PENALTY = 20_000, 1 << 16, 12.0
@@ -175,10 +175,7 @@ def viterbi(score: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
 def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Learn from text and lang of rows that aren't held out. What reaches the driver: CELLS numbers a language at most."""
     usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(2, 4))
-    n = usable.count()
-    share = min(1.0, most_rows / max(n, 1))
-    if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    usable = usable.filter(sampled(most_rows, usable.count()))
 
     def count(langs: list, texts: list[str]) -> dict | None:
         of: dict[str, Counter] = defaultdict(Counter)

@@ -10,8 +10,8 @@ and lines, compressibility.
 
 Defined results: null and empty texts have statistics 0 and are scored like others; without labels (or with one class
 only) the score is the share of label 1 (0.5 without labels). Labels with null doc_id or quality are ignored; repeated
-rows give repeated rows (a doc_id that repeats: each of its rows is scored by its own text; all of them are learnt from
-where the id is labelled). Extra columns are ignored.
+rows give repeated rows (a doc_id that repeats: each of its rows is scored by its own text; learnt from is the one with the
+least statistics, with the mean of its labels). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filter_texts, held_out, map_texts
+from tidemark.llm.common import filter_texts, held_out, map_texts, sampled
 
 #: Labelled rows to learn from, about.
 MOST_ROWS = 40_000
@@ -139,14 +139,14 @@ def _table(texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Trees:
-    """Fit to labels.quality of rows that aren't held out. The sample is bounded, so its join is a broadcast."""
-    usable = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(0, 5)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n = usable.count()
-    share = min(1.0, most_rows / max(n, 1))
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else usable
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+    """Fit to labels.quality of rows that aren't held out, one row for each doc_id: the sample is bounded by ``most_rows``
+    whatever repeats, so its join is a broadcast and what reaches the driver has that bound."""
+    usable = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(0, 5))
+    usable = usable.groupBy("doc_id").agg(F.avg(F.col("quality").cast("int")).alias("quality"))
+    sample = usable.filter(sampled(most_rows, usable.count()))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
     found = map_texts(texts, lambda: lambda ids, x: {"doc_id": ids, "x": list(_table(x))}, "doc_id bigint, x array<double>")
-    rows = found.join(F.broadcast(sample), "doc_id").toArrow()
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(sample), "doc_id").toArrow()
     if not rows.num_rows:
         return Trees.fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.array(rows.column("x").to_pylist(), np.float64)
