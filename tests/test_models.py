@@ -299,3 +299,33 @@ def test_dynamic_design_and_decoding():
     plain /= plain.sum(axis=1, keepdims=True)
     assert np.allclose(phi, np.concatenate([plain[:, [r]] * np.column_stack((np.ones(30), x)) for r in range(used)], axis=1))
     assert fuzzy.cluster_quality(x, x[:1], np.ones((1, 1))) == 0.0
+
+
+def test_batches_stop_after_a_failed_task_and_go_on_where_they_stood(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import fitting
+
+    series = spark.range(240).select((F.col("id") % 6).cast("string").alias("series_id"), (F.col("id") / 6).cast("int").alias("t"), F.sin("id").alias("y"))
+    good = fitting.tasks(series, ["naive_1", "drift"])
+    done = fitting.in_batches(good, f"{tmp_path}/good", 12, 4)
+    assert done.select("run_id").distinct().count() == 12 and done.count() == 12 * 8
+    assert done.select("batch").distinct().count() == 3
+    first = {f: f.stat().st_mtime_ns for f in tmp_path.glob("good/*/*.parquet")}
+    assert fitting.in_batches(good, f"{tmp_path}/good", 12, 4).count() == 12 * 8
+    assert first == {f: f.stat().st_mtime_ns for f in tmp_path.glob("good/*/*.parquet")}
+    bad = fitting.in_batches(fitting.tasks(series, ["absent"]), f"{tmp_path}/bad", 12, 2)
+    assert bad.select("batch").distinct().count() == 1 and bad.filter("status = 'failed'").count() == bad.count()
+    assert fitting.in_batches(fitting.tasks(series, ["absent"]), f"{tmp_path}/all", 12, 2, fail_fast=False).select("run_id").distinct().count() == 6
+
+
+def test_parameters_and_method_lists(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import rules
+
+    df = spark.createDataFrame([(7, 3, False), (None, 3, False), (None, None, False), (30, 3, True), (2, 3, True)], "a int, b int, quick boolean")
+    assert [r[0] for r in df.select(rules.resolved(F.col("a"), F.col("b"), 12, F.col("quick"))).collect()] == [7, 3, 12, 5, 2]
+    names = spark.createDataFrame([("theta,Naive,theta, x", 1), ("seasonal_naive", 12), ("seasonal_naive", 1), (None, 1)], "names string, m int")
+    got = names.select(rules.method_list(F.col("names"), ["naive_1", "seasonal_naive", "theta"], {"naive": "naive_1"}, F.col("m"))).collect()
+    assert [r[0] for r in got] == [["theta", "naive_1"], ["seasonal_naive"], [], None]

@@ -122,12 +122,17 @@ class Theta:
         self.n += 1
 
 
+def ets_candidates(m: int) -> list[tuple[str, bool]]:
+    """(trend, seasonal): a season only where there is one."""
+    return list(product(("none", "linear", "damped"), (False, True) if m > 1 else (False,)))
+
+
 class Ets:
     """Additive exponential smoothing (trend none, linear or damped; season if m > 1), chosen by AICc."""
 
     def __init__(self, y: np.ndarray, m: int = 1):
         best = None
-        for trend, seasonal in product(("none", "linear", "damped"), (False, True) if m > 1 and len(y) >= 2 * m + 1 else (False,)):
+        for trend, seasonal in ets_candidates(m if len(y) >= 2 * m + 1 else 1):
             start = np.array([0.3] + [0.1] * (trend != "none") + [0.1] * seasonal + [0.95] * (trend == "damped"))
 
             def sse(p: np.ndarray, trend=trend, seasonal=seasonal) -> float:
@@ -361,6 +366,14 @@ SVR_GRID = tuple(product((0.1, 1.0, 10.0, 100.0), (0.2, 0.1, 0.01), (None, 0.01,
 BOOSTED_GRID = tuple(product((50, 150), (2, 3), (0.05, 0.1), (5.0, 1.0)))
 
 
+def candidates(method: str, m: int) -> list[tuple]:
+    """What a method chooses from, in the order in which ties are decided; an empty tuple where there's nothing to choose."""
+    grids = {"ridge": [(a,) for a in RIDGE_ALPHAS], "svr_rbf": list(SVR_GRID), "xgboost": list(BOOSTED_GRID)}
+    if method == "sarima":
+        return sarima_candidates(m)
+    return ets_candidates(m) if method == "ets" else grids.get(method, [()])
+
+
 class LagRegression:
     """A regression on the last values, its parameters chosen by scaled error on the end of the training part."""
 
@@ -370,7 +383,7 @@ class LagRegression:
         tail = min(max(5, int(np.ceil(0.2 * n))), n - self.lags - 10)
         if tail < 5:
             raise ValueError("too short for an inner validation")
-        options = [(a,) for a in RIDGE_ALPHAS] if kind == "ridge" else SVR_GRID if kind == "svr_rbf" else BOOSTED_GRID
+        options = candidates(kind, m)
         x, target = lagged(y, self.lags)
         fit = slice(0, len(x) - tail)
         inner = y[: n - tail]

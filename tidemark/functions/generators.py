@@ -56,8 +56,9 @@ def short_memory(rng, n: int = LENGTH) -> np.ndarray:
     return y
 
 
-def logistic_map(rng, n: int = LENGTH) -> np.ndarray:
-    x, out = float(rng.uniform(0.1, 0.9)), []
+def logistic_orbit(x: float, n: int = LENGTH) -> np.ndarray:
+    """The logistic map from a given start, without its first 500 values."""
+    out = []
     for t in range(500 + n):
         if t >= 500:
             out.append(x)
@@ -65,6 +66,10 @@ def logistic_map(rng, n: int = LENGTH) -> np.ndarray:
     return np.array(out)
 
 
+def logistic_map(rng, n: int = LENGTH) -> np.ndarray:
+    return logistic_orbit(float(rng.uniform(0.1, 0.9)), n)
+
+
 def henon_start(rng, steps: int = 1000 + LENGTH - 1) -> tuple[float, float, int]:
     """First start, of those drawn, from which the map stays within 1e6; and its number."""
     for number in range(1, 10_001):

@@ -42,6 +42,16 @@ class Fitted:
         return self.low + (self.model.predict(x) - LOW) * (self.high - self.low) / (HIGH - LOW)
 
 
+def step_by_step(fitted: Fitted, test: np.ndarray) -> np.ndarray:
+    """As ``Fitted.forecast`` with a buffer of lags: predict, then observe."""
+    buffer, out = list(fitted.last), []
+    for y in test:
+        x = fitted.scale(np.array(buffer[-fitted.lags :]))[None]
+        out.append(fitted.low + (float(fitted.model.predict(x)[0]) - LOW) * (fitted.high - fitted.low) / (HIGH - LOW))
+        buffer.append(float(y))
+    return np.array(out)
+
+
 def prepare(train: np.ndarray, lags: int):
     """Scaled fit rows, validation rows, and the bounds of the fit part (its lags included)."""
     rows = len(train) - lags

@@ -74,6 +74,25 @@ def clip(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def resolved(requested: Column, configured: Column, default, quick: Column | None = None, cap: int = 5) -> Column:
+    """A parameter as requested, else as configured, else the default; quick runs hold it to ``cap``."""
+    value = F.coalesce(requested, configured, F.lit(default))
+    return value if quick is None else F.when(quick, F.least(value, F.lit(cap))).otherwise(value)
+
+
+def method_list(names: Column, known: list[str], aliases: dict[str, str], period: Column) -> Column:
+    """Known methods of a text of names with commas between, in order, each once; a seasonal one needs a season."""
+
+    def plain(s: Column) -> Column:
+        out = F.lower(F.trim(s))
+        for alias, name in aliases.items():
+            out = F.when(out == alias, name).otherwise(out)
+        return out
+
+    wanted = F.transform(F.split(names, ","), plain)
+    return F.array_distinct(F.filter(wanted, lambda s: s.isin(known) & ((s != "seasonal_naive") | (period > 1))))
+
+
 def key_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 

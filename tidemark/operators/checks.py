@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,12 @@ def violations(predictions: DataFrame) -> DataFrame:
     return g.select(*keys, "n", "status", broken.alias("broken"))
 
 
+def score_fault(score: Column) -> Column:
+    """Why a score record can't be used: 'missing', 'not finite', 'negative' or null."""
+    finite = ~F.isnan(score) & (F.abs(score) < float("inf"))
+    return F.when(score.isNull(), "missing").when(~finite, "not finite").when(score < 0, "negative")
+
+
 def accepted(predictions: DataFrame) -> DataFrame:
     """The successful predictions, if no rule is broken anywhere."""
     if not violations(predictions).filter(F.size("broken") > 0).isEmpty():

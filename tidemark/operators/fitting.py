@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import forecasters, neurofuzzy
-from tidemark.sources.files import gather
+from tidemark.sources.files import exists, gather, write_batch
 
 PREDICTIONS = "series_id string, method string, seed int, t int, actual double, predicted double, status string, failure string, objective double, n_rules int"
 NEURO = tuple(neurofuzzy.VARIANTS) + ("DYNAMIC", "FCM", "HYBRID")
@@ -79,6 +79,24 @@ def predictions(work: DataFrame, m: int, **budget: int) -> DataFrame:
     return out.withColumn("predicted", F.nanvl("predicted", F.lit(None))).withColumn("objective", F.nanvl("objective", F.lit(None)))
 
 
+def in_batches(work: DataFrame, path: str, m: int, size: int, fail_fast: bool = True, **budget: int) -> DataFrame:
+    """Predictions of all tasks, in batches of about ``size`` tasks: each is written whole before the next one starts.
+
+    A batch is the tasks with the same remainder of a hash of their key, so that a second start finds the batches of the
+    first and goes on after them. With ``fail_fast`` no batch starts after one with a failed task. The rows have run_id.
+    """
+    spark = work.sparkSession
+    run_id = F.concat_ws("|", "series_id", "method", "seed")
+    parts = max(1, -(-work.count() // size))
+    for k in range(parts):
+        if not exists(spark, f"{path}/batch={k}/_SUCCESS"):
+            done = predictions(work.filter(F.pmod(F.xxhash64(run_id), F.lit(parts)) == k), m, **budget)
+            write_batch(done.withColumn("run_id", run_id), path, k)
+        if fail_fast and not spark.read.parquet(f"{path}/batch={k}").filter("status = 'failed'").isEmpty():
+            break
+    return spark.read.parquet(path)
+
+
 def refit(series: DataFrame, methods: list[str], m: int) -> DataFrame:
     """Predictions with a new fit before each step from the initial training part on, and the number of steps where the last
     value was taken instead. Series that are too short for such a part have no rows.

@@ -66,14 +66,23 @@ def development_tasks(spark: SparkSession, namespace: str = "development") -> Da
     return tasks.select(run_id(tasks, *cols, namespace=namespace).alias("run_id"), *cols)
 
 
+def period_of(generator: Column) -> Column:
+    """Seasonal period of a generator, 1 without one."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))[generator], F.lit(1))
+
+
+def domain_fault(generator: Column, noise_level: Column) -> Column:
+    """Which part of a task lies outside the design: 'generator', 'noise_level' or null."""
+    return F.when(~F.coalesce(generator.isin(GENERATORS), F.lit(False)), "generator").when(~F.coalesce(noise_level.isin(NOISE_LEVELS), F.lit(False)), "noise_level")
+
+
 def final_tasks(spark: SparkSession, real: DataFrame | None = None, namespace: str = "final") -> DataFrame:
     """Synthetic tasks (7,140) and, with a table of real series (source, frequency, series_id, seasonal_period), theirs.
 
     The neuro-fuzzy method has a task for each optimizer seed, baselines one each; seasonal naive needs a season.
     """
-    period = F.coalesce(F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))[F.col("generator")], F.lit(1))
     synthetic = product(values(spark, "generator", GENERATORS, "string"), values(spark, "dgp_seed", FINAL_SEEDS, "int"), values(spark, "noise_level", NOISE_LEVELS, "double"))
-    synthetic = synthetic.withColumn("seasonal_period", period).withColumn("domain", F.lit("synthetic"))
+    synthetic = synthetic.withColumn("seasonal_period", period_of(F.col("generator"))).withColumn("domain", F.lit("synthetic"))
     units = synthetic if real is None else synthetic.unionByName(real.withColumn("domain", F.lit("real")), allowMissingColumns=True)
     pc = units.crossJoin(F.broadcast(values(spark, "optimizer_seed", FINAL_OPTIMIZER_SEEDS, "int"))).withColumn("method", F.lit("neuro_fuzzy"))
     base = units.crossJoin(F.broadcast(values(spark, "method", BASELINES, "string"))).filter("method <> 'seasonal_naive' OR seasonal_period > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics_queries, forecast_queries, model_queries, more_queries, protocol_queries, shaping_queries  # noqa: F401
+from tidemark.plans import analytics_queries, forecast_queries, model_queries, more_queries, protocol_queries, runner_queries, shaping_queries  # noqa: F401
 from tidemark.plans.core import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "J02_rolling_metrics"

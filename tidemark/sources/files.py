@@ -116,7 +116,7 @@ def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFra
     return found.join(expected, ["name", "size", "sha256"], "left_anti").unionByName(expected.join(found, ["name", "size", "sha256"], "left_anti"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -125,7 +125,7 @@ def configured(spark: SparkSession, entries: list[dict], least: int = 20) -> Dat
     """series_id, value of all configured folders of CSV files; a missing folder or column, or too few rows, passes one over."""
     out = None
     for entry in entries:
-        if not _exists(spark, entry["path"]):
+        if not exists(spark, entry["path"]):
             continue
         df = spark.read.csv(entry["path"], header=True)
         if entry["value"] not in df.columns:
@@ -149,7 +149,7 @@ def read_group(spark: SparkSession, path: str, source: str, frequency: str) -> D
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """The first JSON object at a path; {} where there is none."""
-    return spark.read.json(path).first().asDict(recursive=True) if _exists(spark, path) else {}
+    return spark.read.json(path).first().asDict(recursive=True) if exists(spark, path) else {}
 
 
 def write_batch(df: DataFrame, path: str, batch: int) -> None:
