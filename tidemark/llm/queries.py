@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, langid, pii, quality, secrets, simhash, suffix_dedup, token_counts, vector_codes
+from tidemark.llm import bpe, decontaminate, exact_dedup, langid, pii, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, vector_codes
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), str(path))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings"))
 
@@ -70,11 +74,13 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op11_substring_dedup": substring_dedup.SQL,
     "op12_vector_codes": vector_codes.SQL,
 }
