@@ -248,24 +248,6 @@ def test_first_split_is_the_best_of_all():
     assert tree == (best[1][0], pytest.approx(best[1][1]), pytest.approx(best[1][2]), pytest.approx(best[1][3]))
 
 
-def test_sarima_finds_the_least_squares_of_its_order():
-    rng = np.random.default_rng(33)
-    y = np.empty(120)
-    y[0] = 5.0
-    for t in range(1, 120):
-        y[t] = 5.0 + 0.6 * (y[t - 1] - 5.0) + rng.normal()
-    model = forecasters.Sarima(y, 1, [(1, 0, 0, 0, 0, 0)])
-    mine = float((model._residuals(y, model.order, model.v) ** 2).sum())
-
-    def plain(phi, mean):
-        x = y - mean
-        return x[0] ** 2 + ((x[1:] - phi * x[:-1]) ** 2).sum()
-
-    grid = min(plain(phi, mean) for phi in np.linspace(0.2, 0.95, 151) for mean in np.linspace(y.mean() - 1, y.mean() + 1, 81))
-    assert plain(model.v[0], model.v[1]) == pytest.approx(mine) and mine <= grid * 1.002
-    assert model.forecast() == pytest.approx(model.v[1] + model.v[0] * (y[-1] - model.v[1]))
-
-
 def test_seasonal_difference_forecast_by_hand():
     """Without coefficients the seasonal walk repeats the last season's step."""
     y = np.arange(30.0) + np.tile([0.0, 3.0, -1.0], 10)
@@ -273,20 +255,6 @@ def test_seasonal_difference_forecast_by_hand():
     assert model.forecast() == pytest.approx(y[-3] + (y[-1] - y[-4]))
 
 
-def test_smoothing_finds_the_least_squares_of_its_weight():
-    rng = np.random.default_rng(34)
-    y = 10 + rng.normal(size=80).cumsum() * 0.3 + rng.normal(size=80)
-    model = forecasters.Ets(y, 1)
-    grid = min(forecasters.Ets._pass(y, 1, "none", False, np.array([a]))[0] for a in np.linspace(0.002, 0.998, 999))
-    p, value = forecasters.nelder_mead(lambda v: forecasters.Ets._pass(y, 1, "none", False, v)[0] if 0.001 < v[0] < 0.999 else 1e300, np.array([0.3]), rounds=80)
-    assert value <= grid * 1.0005
-    if model.trend == "none":
-        level = float(np.mean(y[:10]))
-        for v in y:
-            level += float(model.p[0]) * (v - level)
-        assert model.forecast() == pytest.approx(level)
-
-
 def test_dynamic_design_and_decoding():
     rng = np.random.default_rng(35)
     x = rng.random((30, 2))

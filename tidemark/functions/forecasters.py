@@ -11,39 +11,7 @@ from itertools import product
 
 import numpy as np
 
-
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 0.1, rounds: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
-    n = len(start)
-    points = np.vstack([start, *(start + step * row for row in np.eye(n))])
-    values = np.array([f(p) for p in points])
-    for _ in range(rounds):
-        order = values.argsort(kind="stable")
-        points, values = points[order], values[order]
-        if values[-1] - values[0] <= tolerance * (abs(values[0]) + tolerance):
-            break
-        middle = points[:-1].mean(axis=0)
-        mirrored = 2 * middle - points[-1]
-        value = f(mirrored)
-        if value < values[0]:
-            further = 3 * middle - 2 * points[-1]
-            other = f(further)
-            points[-1], values[-1] = (further, other) if other < value else (mirrored, value)
-        elif value < values[-2]:
-            points[-1], values[-1] = mirrored, value
-        else:
-            nearer = (middle + (mirrored if value < values[-1] else points[-1])) / 2
-            other = f(nearer)
-            if other < min(value, values[-1]):
-                points[-1], values[-1] = nearer, other
-            else:
-                points[1:] = (points[1:] + points[0]) / 2
-                values[1:] = [f(p) for p in points[1:]]
-    best = int(values.argmin())
-    return points[best], float(values[best])
-
-
-def aicc(sse: float, n: int, k: int) -> float:
-    return n * np.log(max(sse, 1e-300) / n) + 2 * k + (2 * k * (k + 1) / (n - k - 1) if n > k + 1 else np.inf)
+from tidemark.functions import smoothing, statespace
 
 
 class Naive:
@@ -122,70 +90,27 @@ class Theta:
         self.n += 1
 
 
-def ets_candidates(m: int) -> list[tuple[str, bool]]:
-    """(trend, seasonal): a season only where there is one."""
-    return list(product(("none", "linear", "damped"), (False, True) if m > 1 else (False,)))
-
-
 class Ets:
-    """Additive exponential smoothing (trend none, linear or damped; season if m > 1), chosen by AICc."""
-
-    def __init__(self, y: np.ndarray, m: int = 1):
-        best = None
-        for trend, seasonal in ets_candidates(m if len(y) >= 2 * m + 1 else 1):
-            start = np.array([0.3] + [0.1] * (trend != "none") + [0.1] * seasonal + [0.95] * (trend == "damped"))
-
-            def sse(p: np.ndarray, trend=trend, seasonal=seasonal) -> float:
-                if (p <= 0.001).any() or (p >= 0.999).any():
-                    return 1e300
-                return self._pass(y, m, trend, seasonal, p)[0]
-
-            p, value = nelder_mead(sse, start, rounds=80)
-            score = aicc(value, len(y), len(p) + 1 + (trend != "none") + m * seasonal)
-            if np.isfinite(score) and (best is None or score < best[0]):
-                best = (score, trend, seasonal, p)
-        if best is None:
-            raise ValueError("no smoothing model has a finite criterion")
-        _, self.trend, self.seasonal, self.p = best
-        self.m = m
-        _, self.level, self.slope, self.season, self.n = self._pass(y, m, self.trend, self.seasonal, self.p)
-
-    @staticmethod
-    def _rates(p: np.ndarray, trend: str, seasonal: bool) -> tuple[float, float, float, float]:
-        rest = list(p[1:])
-        beta = rest.pop(0) if trend != "none" else 0.0
-        gamma = rest.pop(0) if seasonal else 0.0
-        return float(p[0]), float(beta), float(gamma), float(rest[0]) if trend == "damped" else 1.0
-
-    @classmethod
-    def _pass(cls, y, m, trend, seasonal, p):
-        alpha, beta, gamma, phi = cls._rates(p, trend, seasonal)
-        season = list(season_means(y, m)) if seasonal else [0.0] * max(1, m)
-        width = max(2, min(m, len(y) // 2)) if m > 1 else min(10, len(y))
-        level = float(np.mean(y[:width]))
-        slope = float((y[width - 1] - y[0]) / (width - 1)) if trend != "none" else 0.0
-        level -= slope * (width + 1) / 2
-        sse = 0.0
-        for t, v in enumerate(y):
-            level, slope, e = cls._step(v, t, level, slope, season, alpha, beta, gamma, phi)
-            sse += e * e
-        return sse, level, slope, season, len(y)
-
-    @staticmethod
-    def _step(v, t, level, slope, season, alpha, beta, gamma, phi):
-        k = t % len(season)
-        ahead = level + phi * slope
-        e = v - ahead - season[k]
-        season[k] += gamma * e
-        return ahead + alpha * e, phi * slope + alpha * beta * e, e
+    """Additive exponential smoothing (trend none, linear or damped; season if m > 1), chosen by AICc among the candidates whose
+    optimum was reached (ties: the first)."""
+
+    def __init__(self, y: np.ndarray, m: int = 1, options: list[tuple[str, bool]] | None = None):
+        y = np.asarray(y, float)
+        fits = [smoothing.fit(y, m, *o) for o in options or smoothing.candidates(m if len(y) >= 2 * m + 1 else 1)]
+        usable = [f for f in fits if f["converged"] and np.isfinite(f["aicc"])]
+        if not usable:
+            raise ValueError("no smoothing model has an optimum with a finite criterion")
+        self.fit = min(usable, key=lambda f: f["aicc"])
+        self.trend, self.seasonal, self.weights = self.fit["trend"], self.fit["seasonal"], self.fit["weights"]
+        self.state = smoothing.State(m, self.trend, self.seasonal, self.weights, self.fit["states"])
+        for v in y:
+            self.state.observe(float(v))
 
     def forecast(self) -> float:
-        phi = self._rates(self.p, self.trend, self.seasonal)[3]
-        return self.level + phi * self.slope + self.season[self.n % len(self.season)]
+        return self.state.forecast()
 
     def observe(self, y: float) -> None:
-        self.level, self.slope, _ = self._step(y, self.n, self.level, self.slope, self.season, *self._rates(self.p, self.trend, self.seasonal))
-        self.n += 1
+        self.state.observe(float(y))
 
 
 def sarima_candidates(m: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -195,81 +120,24 @@ def sarima_candidates(m: int) -> list[tuple[int, int, int, int, int, int]]:
 
 
 class Sarima:
-    """Seasonal ARIMA by conditional least squares; order by AICc among ``orders``, all candidates by default (ties: fewer coefficients)."""
+    """Seasonal ARIMA by exact maximum likelihood; order by AICc among ``orders``, all candidates by default. Orders without an
+    optimum don't count; of equal ones the one with fewer parameters stays. Observing is a step of the Kalman filter."""
 
     def __init__(self, y: np.ndarray, m: int = 1, orders: list[tuple[int, int, int, int, int, int]] | None = None):
-        self.m = m
-        best = None
-        for order in orders or sarima_candidates(m):
-            p, d, q, sp, sd, sq = order
-            z, start = self._difference(y, d, sd), np.zeros(p + q + sp + sq + (d + sd == 0))
-            if len(z) < 10 + p + q + m * (sp + sq):
-                continue
-            if d + sd == 0:
-                start[-1] = z.mean()
-
-            def sse(v: np.ndarray, order=order, z=z) -> float:
-                return float((self._residuals(z, order, v) ** 2).sum()) if np.abs(v[: len(v) - (order[1] + order[4] == 0)]).max(initial=0) < 0.999 else 1e300
-
-            v, value = nelder_mead(sse, start, rounds=60) if len(start) else (start, sse(start))
-            score = aicc(value, len(z), len(start) + 1)
-            if np.isfinite(score) and (best is None or (score, len(start)) < best[:2]):
-                best = (score, len(start), order, v)
-        if best is None:
+        y = np.asarray(y, float)
+        fits = statespace.fit(y, m, orders or sarima_candidates(m))
+        usable = [(score, f["k"], f["order"], f) for f in fits if f["converged"] and np.isfinite(score := statespace.aicc(f["loglik"], f["k"], f["n"]))]
+        if not usable:
             raise ValueError("no order could be fitted")
-        _, _, self.order, self.v = best
-        self.y = list(map(float, y))
-
-    def _difference(self, y: np.ndarray, d: int, sd: int) -> np.ndarray:
-        for _ in range(sd):
-            y = y[self.m :] - y[: -self.m]
-        return np.diff(y, d) if d else np.asarray(y, float)
-
-    def _polynomials(self, order, v) -> tuple[np.ndarray, np.ndarray, float]:
-        """Lag coefficients of both sides (index 0 is lag 1) and the mean."""
-        p, d, q, sp, sd, sq = order
-
-        def combined(short: np.ndarray, long: np.ndarray, sign: float) -> np.ndarray:
-            a = np.concatenate(([1.0], sign * short))
-            b = np.zeros(1 + self.m * len(long))
-            b[0] = 1.0
-            if len(long):
-                b[self.m] = sign * long[0]
-            return np.convolve(a, b)[1:]
-
-        ar, ma = combined(v[:p], v[p + q : p + q + sp], -1.0), combined(v[p : p + q], v[p + q + sp : p + q + sp + sq], 1.0)
-        return -ar, ma, float(v[-1]) if d + sd == 0 else 0.0
-
-    def _residuals(self, z: np.ndarray, order, v: np.ndarray) -> np.ndarray:
-        ar, ma, mean = self._polynomials(order, v)
-        x = z - mean
-        e = x.copy()
-        for k, a in enumerate(ar, 1):
-            if a:
-                e[k:] -= a * x[:-k]
-        lags = [(k, b) for k, b in enumerate(ma, 1) if b]
-        if lags:
-            for t in range(len(e)):
-                for k, b in lags:
-                    if t >= k:
-                        e[t] -= b * e[t - k]
-        return e
+        self.fit = min(usable, key=lambda u: u[:3])[3]
+        self.order = self.fit["order"]
+        self.state = statespace.State(y, m, self.order, self.fit["u"], self.fit["mean"])
 
     def forecast(self) -> float:
-        _, d, _, _, sd, _ = self.order
-        y = np.array(self.y)
-        z = self._difference(y, d, sd)
-        ar, ma, mean = self._polynomials(self.order, self.v)
-        e = self._residuals(z, self.order, self.v)
-        x = z - mean
-        ahead = mean + sum(a * x[-k] for k, a in enumerate(ar, 1) if k <= len(x)) + sum(b * e[-k] for k, b in enumerate(ma, 1) if k <= len(e))
-        # The forecast of the differenced series is undone with the last values.
-        s = self._difference(y, 0, sd)
-        ahead += s[-1] if d else 0.0
-        return float(ahead + (y[-self.m] if sd else 0.0))
+        return self.state.forecast()
 
     def observe(self, y: float) -> None:
-        self.y.append(float(y))
+        self.state.observe(float(y))
 
 
 # -- regressions on lags ------------------------------------------------------------------------------------------------
@@ -371,7 +239,7 @@ def candidates(method: str, m: int) -> list[tuple]:
     grids = {"ridge": [(a,) for a in RIDGE_ALPHAS], "svr_rbf": list(SVR_GRID), "xgboost": list(BOOSTED_GRID)}
     if method == "sarima":
         return sarima_candidates(m)
-    return ets_candidates(m) if method == "ets" else grids.get(method, [()])
+    return smoothing.candidates(m) if method == "ets" else grids.get(method, [()])
 
 
 class LagRegression:

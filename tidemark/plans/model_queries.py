@@ -289,12 +289,12 @@ def _grid_choice(kind):
 
 def _sarima_choice(y):
     got = forecasters.Sarima(_train(y), M)
-    return {"order": [str(got.order)], "n_coefficients": [len(got.v)]}
+    return {"order": [str(got.order)], "n_coefficients": [got.fit["k"] - 1], "loglik": [got.fit["loglik"]], "sigma2": [got.fit["sigma2"]]}
 
 
 def _ets_choice(y):
     got = forecasters.Ets(_train(y), M)
-    return {"trend": [got.trend], "seasonal": [got.seasonal]}
+    return {"trend": [got.trend], "seasonal": [got.seasonal], "sse": [got.fit["sse"]], "aicc": [got.fit["aicc"]]}
 
 
 def _sha(y):
@@ -320,8 +320,8 @@ for _id, _schema, _f in (
     ("N03_ridge_choice", "params string, validation_mase double", _grid_choice("ridge")),
     ("N04_svr_choice", "params string, validation_mase double", _grid_choice("svr_rbf")),
     ("N05_boosted_choice", "params string, validation_mase double", _grid_choice("xgboost")),
-    ("N10_sarima_choice", "order string, n_coefficients int", _sarima_choice),
-    ("N11_ets_choice", "trend string, seasonal boolean", _ets_choice),
+    ("N10_sarima_choice", "order string, n_coefficients int, loglik double, sigma2 double", _sarima_choice),
+    ("N11_ets_choice", "trend string, seasonal boolean, sse double, aicc double", _ets_choice),
     ("I13_series_sha256", "sha256 string, n int", _sha),
 ):
     query(_id)(_each_series(_schema, _f))
