@@ -24,6 +24,13 @@ class Naive:
     def observe(self, y: float) -> None:
         self.last = y
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        return [], [], [self.last], []
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> Naive:
+        return cls(np.array(latent))
+
 
 class SeasonalNaive:
     def __init__(self, y: np.ndarray, m: int):
@@ -37,6 +44,13 @@ class SeasonalNaive:
     def observe(self, y: float) -> None:
         self.ring = [*self.ring[1:], y]
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        return [], [], [], list(self.ring)
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> SeasonalNaive:
+        return cls(np.array(buffer), len(buffer))
+
 
 class Drift(Naive):
     def __init__(self, y: np.ndarray, m: int = 1):
@@ -46,6 +60,15 @@ class Drift(Naive):
     def forecast(self) -> float:
         return self.last + self.slope
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        return [], [self.slope], [self.last], []
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> Drift:
+        new = cls.__new__(cls)
+        [new.slope], [new.last] = fixed, latent
+        return new
+
 
 def season_means(y: np.ndarray, m: int) -> np.ndarray:
     """Additive seasonal figures: mean deviation from a centered moving average by position, summing to 0."""
@@ -89,6 +112,17 @@ class Theta:
         self.level += self.alpha * (y - self.season[self.n % self.m] - self.level)
         self.n += 1
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        """The number of values is part of the state: the trend's weight depends on it."""
+        return [self.m], [self.slope, self.alpha, *self.season], [self.level, float(self.n)], []
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> Theta:
+        new = cls.__new__(cls)
+        [new.m], (new.slope, new.alpha), new.season = order, fixed[:2], np.array(fixed[2:])
+        new.level, new.n = latent[0], int(latent[1])
+        return new
+
 
 class Ets:
     """Additive exponential smoothing (trend none, linear or damped; season if m > 1), chosen by AICc among the candidates whose
@@ -291,6 +325,31 @@ class LagRegression:
         self.history = [*self.history[1:], y]
 
 
+class LinearLags:
+    """A fitted linear regression on lags as numbers: scaling, weights, and the last values."""
+
+    def __init__(self, model: LagRegression):
+        self.mean, self.sd, self.y_mean, self.y_sd, self.w = model.mean, model.sd, model.y_mean, model.y_sd, model.model.w
+        self.history = np.array(model.history, float)
+
+    def forecast(self) -> float:
+        return float((self.history - self.mean) / self.sd @ self.w * self.y_sd + self.y_mean)
+
+    def observe(self, y: float) -> None:
+        self.history = np.append(self.history[1:], y)
+
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        return [], [self.y_mean, self.y_sd, *self.mean, *self.sd, *self.w], [], list(self.history)
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> LinearLags:
+        new = cls.__new__(cls)
+        new.y_mean, new.y_sd = fixed[:2]
+        new.mean, new.sd, new.w = np.array(fixed[2:]).reshape(3, -1)
+        new.history = np.array(buffer)
+        return new
+
+
 METHODS: dict[str, Callable] = {
     "naive_1": Naive,
     "seasonal_naive": SeasonalNaive,
@@ -305,6 +364,16 @@ METHODS: dict[str, Callable] = {
 }
 
 
+#: Methods whose fitted form is a few numbers, with the class that takes them: what a stream keeps for a series.
+STATES: dict[str, type] = {"naive_1": Naive, "seasonal_naive": SeasonalNaive, "drift": Drift, "theta": Theta, "ets": smoothing.State, "sarima": statespace.State, "arima_110": statespace.State, "ridge": LinearLags}
+
+
+def state_of(method: str, y: np.ndarray, m: int):
+    """The fitted form of a method on the values y."""
+    model = METHODS[method](np.asarray(y, float), m)
+    return model.state if method in ("ets", "sarima", "arima_110") else LinearLags(model) if method == "ridge" else model
+
+
 #: Other names of methods (fixed values).
 ALIASES = {"naive": "naive_1", "persistence": "naive_1"}
 

@@ -104,6 +104,17 @@ class State:
         self.season = [*map(float, states[at:]), 0.0] if seasonal else [0.0]
         self.n = 0
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        """What never changes (gains and damping), and what does (level and slope; seasonal figures, the next one first)."""
+        k = self.n % len(self.season)
+        return [], list(self.gains), [self.level, self.slope], self.season[k:] + self.season[:k]
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> State:
+        new = cls.__new__(cls)
+        new.gains, (new.level, new.slope), new.season, new.n = tuple(fixed), latent, list(buffer), 0
+        return new
+
     def forecast(self) -> float:
         return self.level + self.gains[3] * self.slope + self.season[self.n % len(self.season)]
 

@@ -194,6 +194,20 @@ class State:
         self.weights = difference_weights(m, order[1], order[4])
         self.last = np.asarray(y, float)[::-1][: len(self.weights)].copy()  # newest first
 
+    def packed(self) -> tuple[list[int], list[float], list[float], list[float]]:
+        """What never changes (order and season; mean and lags), and what does (mean and covariance of the state; last values)."""
+        return [*self.order, self.m], [self.mean, *self.phi, *self.shock], [*self.a, *self.p.ravel()], list(self.last)
+
+    @classmethod
+    def of(cls, order: list[int], fixed: list[float], latent: list[float], buffer: list[float]) -> State:
+        new = cls.__new__(cls)
+        new.order, new.m = tuple(order[:6]), order[6]
+        r = (len(fixed) - 1) // 2
+        new.mean, new.phi, new.shock = fixed[0], np.array(fixed[1 : r + 1]), np.array(fixed[r + 1 :])
+        new.a, new.p = np.array(latent[:r]), np.array(latent[r:]).reshape(r, r)
+        new.weights, new.last = difference_weights(new.m, new.order[1], new.order[4]), np.array(buffer, float)
+        return new
+
     def forecast(self) -> float:
         return float(self.mean + self.a[0] - self.weights @ self.last)
 

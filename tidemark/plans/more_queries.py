@@ -224,21 +224,25 @@ def lag_buffer(spark, d):
     return priority_monthly(spark, d).select("series_id", "t", F.try_element_at(ring, F.lit(-1)).alias("newest"), F.size(ring).alias("size"))
 
 
-def _state(kind):
-    def run(y):
-        split = len(_train(y))
-        model = forecasters.METHODS[kind](y[:split], M)
-        rows = []
-        for t in range(split, len(y)):
-            rows.append((t, float(model.forecast()), float(y[t])))
-            model.observe(float(y[t]))
-        return pd.DataFrame(rows, columns=["t", "predicted", "actual"])
+def _stream(method):
+    """Fitted on the training part, then a stream over the rest with the model in the state store."""
+
+    def run(spark, d):
+        from tidemark.streaming.fitted import over
+
+        out = over(priority_monthly(spark, d), method, M)
+        return out.select("series_id", F.col("t").cast("int").alias("t"), "predicted", "actual")
 
     return run
 
 
 for _id, _kind in (("R02_theta_state", "theta"), ("R05_ets_state", "ets"), ("R06_sarima_state", "sarima"), ("M20_lag_regression_state", "ridge")):
-    query(_id)(_each_series("t int, predicted double, actual double", _state(_kind)))
+    query(_id)(_stream(_kind))
+
+TEST = f"{P}, s AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM series), k AS (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS split FROM s), f AS (SELECT series_id, min_by(y, t) AS first, max_by(y, t) AS last, count(*) AS n FROM k WHERE t < split GROUP BY 1)"
+query("R03_naive_stream", f"{TEST} SELECT series_id, t::INTEGER AS t, predicted, y AS actual FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS predicted FROM k) WHERE t >= split")(_stream("naive_1"))
+query("R03_seasonal_stream", f"{TEST} SELECT series_id, t::INTEGER AS t, predicted, y AS actual FROM (SELECT *, lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS predicted FROM k) WHERE t >= split")(_stream("seasonal_naive"))
+query("R03_drift_stream", f"{TEST} SELECT series_id, t::INTEGER AS t, before + (last - first) / (n_train - 1) AS predicted, y AS actual FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS before FROM k) JOIN (SELECT series_id, first, last, n AS n_train FROM f) USING (series_id) WHERE t >= split")(_stream("drift"))
 
 
 @query("T06_best_models", f"{S}, m AS (SELECT family, series, method, mase, rank() OVER (PARTITION BY family, series, rule ORDER BY mase) AS r, rule FROM scores) SELECT family, series, rule, method AS best, printf('%.3f', mase) AS mase FROM m WHERE r = 1")
