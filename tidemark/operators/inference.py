@@ -77,11 +77,14 @@ def wilcoxon_p(w_plus: float, n: int, tie_term: float, alternative: str = "two-s
 
 
 def median_interval_rank(n: int, alpha: float = 0.05) -> int:
-    """Largest k with 2 P(Binomial(n, 1/2) <= k - 1) <= alpha; 0 if there is none."""
-    total, k = 0.0, 0
+    """Largest k with 2 P(Binomial(n, 1/2) <= k - 1) <= alpha; 0 if there is none. Terms further out than 9 standard deviations
+    are under 1e-18 together and left out."""
+    n = int(n)
+    k = max(0, int(n / 2 - 4.5 * math.sqrt(n)) - 1)
+    total = 0.0
     while k < n // 2 + 1:
-        total += math.comb(n, k) / 2**n
-        if 2 * total > alpha:
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+        if 2 * total > alpha * (1 + 1e-12):
             break
         k += 1
     return k

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import inference, ranking
+from tidemark.operators import inference, ranking, tall
 from tidemark.plans.core import query, r8
 from tidemark.plans.scores import CONDITION, METHODS, SCORES_SQL, scores
 from tidemark.sources.tables import read
@@ -493,12 +493,25 @@ def median_ranks(spark, d):
     return m.groupBy("method").agg(r8(F.avg("r")).alias("mean_rank"), F.count(F.lit(1)).alias("n"))
 
 
-@query("P13_median_interval", f"{PAIRS}, o AS (SELECT a - b AS d, row_number() OVER (ORDER BY a - b) AS i, count(*) OVER () AS n FROM pairs) SELECT round(max(d) FILTER (WHERE i = 10), 8) AS low, round(median(d), 8) AS median, round(max(d) FILTER (WHERE i = n - 9), 8) AS high FROM o")
+RANK = """sizes AS (SELECT DISTINCT n FROM o), tails AS (SELECT n, k, sum(exp(lgamma(n + 1) - lgamma(k) - lgamma(n - k + 2) - n * ln(2))) OVER (PARTITION BY n ORDER BY k) AS tail FROM (SELECT n, unnest(range(1, n // 2 + 2)) AS k FROM sizes)),
+ranks AS (SELECT n, coalesce(max(k) FILTER (WHERE 2 * tail <= 0.05), 0) AS k FROM tails GROUP BY n)"""
+
+
+def _interval(df, keys, value):
+    """The values whose ranks bound the median with 95 % confidence, and the median, by group, exactly and without sorting a group."""
+    k = inference.scalar(inference.median_interval_rank, F.col("n").cast("double")).cast("bigint")
+    got = tall.order_statistics(df, keys, value, {"low": k, "high": F.col("n") + 1 - F.nullif(k, F.lit(0)), **tall.median_ranks(F.col("n"))})
+    return got.select(*keys, r8("low").alias("low"), r8((F.col("lower_median") + F.col("upper_median")) / 2).alias("median"), r8("high").alias("high"))
+
+
+@query("P13_median_interval", f"{PAIRS}, o AS (SELECT a - b AS d, row_number() OVER (ORDER BY a - b) AS i, count(*) OVER () AS n FROM pairs), {RANK} SELECT round(max(d) FILTER (WHERE i = k), 8) AS low, round(median(d), 8) AS median, round(max(d) FILTER (WHERE i = n + 1 - k), 8) AS high FROM o JOIN ranks USING (n)")
 def median_interval(spark, d):
-    p = pairs(spark, d).select((F.col("a") - F.col("b")).alias("d"))
-    k = inference.median_interval_rank(p.count())
-    s = p.agg(F.array_sort(F.collect_list("d")).alias("s"), F.median("d").alias("median"))
-    return s.select(r8(F.element_at("s", k)).alias("low"), r8("median").alias("median"), r8(F.element_at("s", -k)).alias("high"))
+    return _interval(pairs(spark, d).select((F.col("a") - F.col("b")).alias("d")), [], "d")
+
+
+@query("P13_price_intervals", f"WITH o AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS d, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem), {RANK} SELECT l_returnflag, l_linestatus, round(max(d) FILTER (WHERE i = k), 8) AS low, round(median(d), 8) AS median, round(max(d) FILTER (WHERE i = n + 1 - k), 8) AS high FROM o JOIN ranks USING (n) GROUP BY 1, 2")
+def price_intervals(spark, d):
+    return _interval(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
 
 
 @query("P14_stratified_bootstrap")

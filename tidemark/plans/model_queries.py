@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import forecasters, fuzzy, generators, neurofuzzy, swarm
-from tidemark.operators import fitting, metrics, reporting, selection, shaping, synthetic
+from tidemark.operators import fitting, metrics, reporting, selection, shaping, synthetic, tall
 from tidemark.plans import design
 from tidemark.plans.core import query, r8
 from tidemark.plans.scores import CONDITION, METHODS, SCORES_SQL, scores
@@ -332,6 +332,15 @@ def ridge_rules(spark, d):
     return fitting.rules(tasks(spark, d, ["NF_BASE"], [0]), M)
 
 
+@query("K09_tall_consequents", """WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity * l_quantity) + 0.01 AS a, sum(l_quantity) AS b, count(*) + 0.01 AS c, sum(l_quantity * l_extendedprice) / 1000 AS d, sum(l_extendedprice) / 1000 AS e FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, n, round((d * c - b * e) / (a * c - b * b), 6) AS slope, round((a * e - b * d) / (a * c - b * b), 6) AS intercept FROM g""")
+def tall_consequents(spark, d):
+    """Ridge consequents (price by quantity) of each flag and status, over all line items, from sums of products alone."""
+    rows = read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.array(F.col("l_quantity").cast("double"), F.lit(1.0)).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    got = tall.ridge(rows, ["l_returnflag", "l_linestatus"], "x", "y", 0.01)
+    return got.select("l_returnflag", "l_linestatus", "n", F.round(F.col("coef")[0], 6).alias("slope"), F.round(F.col("coef")[1], 6).alias("intercept"))
+
+
 @query("L01_swarm_history")
 def swarm_history(spark, d):
     return fitting.history(tasks(spark, d, ["PC"]), M)

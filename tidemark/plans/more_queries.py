@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import forecasters, fuzzy, neurofuzzy, rules
-from tidemark.operators import fitting, inference, ranking, shaping, synthetic
+from tidemark.operators import fitting, inference, ranking, shaping, synthetic, tall
 from tidemark.plans import design
 from tidemark.plans.analytics_queries import PAIRS, S, pairs
 from tidemark.plans.core import query, r8
@@ -105,9 +105,7 @@ def membership(spark, d):
 @query("I08_diameter", f"{S}, w AS (SELECT family, rule, series, avg(mase) AS x, avg(rmse) AS y FROM scores GROUP BY 1, 2, 3) SELECT a.family, a.rule, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 8) AS diameter FROM w a JOIN w b USING (family, rule) GROUP BY 1, 2")
 def diameter(spark, d):
     w = scores(spark, d).groupBy("family", "rule", "series").agg(F.avg("mase").alias("x"), F.avg("rmse").alias("y"))
-    o = w.select("family", "rule", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    dist = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    return w.join(o, ["family", "rule"]).groupBy("family", "rule").agg(r8(F.max(dist)).alias("diameter"))
+    return tall.diameter(w, ["family", "rule"], "x", "y").withColumn("diameter", r8("diameter"))
 
 
 def _sensitivity(y):
