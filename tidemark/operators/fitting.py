@@ -6,15 +6,18 @@ the number of series. Failures become rows with a status. Results are written as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import forecasters, neurofuzzy
-from tidemark.sources.files import exists, gather, write_batch
+from tidemark.operators.packing import cost, packed, to_and_fro
+from tidemark.sources.files import exists, gather, remove, write_batch
+from tidemark.sources.shared import cut, shared_folder
 
 PREDICTIONS = "series_id string, method string, seed int, t int, actual double, predicted double, status string, failure string, objective double, n_rules int"
 NEURO = tuple(neurofuzzy.VARIANTS) + ("DYNAMIC", "FCM", "HYBRID")
@@ -57,9 +60,15 @@ def predict_one(y: np.ndarray, n_train: int, method: str, seed: int, m: int, bud
         return np.full(len(test), np.nan), "failed", f"fit: {e}", float("nan"), 0
 
 
-def predictions(work: DataFrame, m: int, **budget: int) -> DataFrame:
+def balanced(work: DataFrame) -> DataFrame:
+    """The tasks in partitions of about equal estimated cost; worth its two small jobs where methods differ and tasks are many."""
+    return packed(work, cost("method", F.col("n_train")), ["series_id", "method", "seed"])
+
+
+def predictions(work: DataFrame, m: int, dealt: bool = False, **budget: int) -> DataFrame:
     """Predictions of all tasks, long; NaN never stands for a value (it becomes null).
 
+    ``dealt``: the rows are in the partitions that they are to stay in (see ``balanced``); else they're dealt out in turn.
     ``budget``: particles and rounds, where they aren't the method's own.
     """
 
@@ -75,7 +84,8 @@ def predictions(work: DataFrame, m: int, **budget: int) -> DataFrame:
                     }
                 )
 
-    out = _spread(work).mapInPandas(run, PREDICTIONS)
+    work = work.select("series_id", "y", "n_train", "method", "seed")
+    out = (work if dealt else spread(work)).mapInPandas(run, PREDICTIONS)
     return out.withColumn("predicted", F.nanvl("predicted", F.lit(None))).withColumn("objective", F.nanvl("objective", F.lit(None)))
 
 
@@ -84,16 +94,29 @@ def in_batches(work: DataFrame, path: str, m: int, size: int, fail_fast: bool =
 
     A batch is the tasks with the same remainder of a hash of their key, so that a second start finds the batches of the
     first and goes on after them. With ``fail_fast`` no batch starts after one with a failed task. The rows have run_id.
+
+    Tasks are worked out once; those of the batches that are still to do are written to a table with a folder for each batch,
+    placed by cost within it, and a batch reads its own folder only.
     """
     spark = work.sparkSession
+    bins = int(spark.conf.get("spark.sql.shuffle.partitions"))
     run_id = F.concat_ws("|", "series_id", "method", "seed")
-    parts = max(1, -(-work.count() // size))
+    every = cut(work)
+    parts = max(1, -(-every.count() // size))
+    todo = [k for k in range(parts) if not exists(spark, f"{path}/batch={k}/_SUCCESS")]
+    at = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    if todo:
+        marked = every.withColumn("_batch", F.pmod(F.xxhash64(run_id), F.lit(parts)).cast("int")).filter(F.col("_batch").isin(todo))
+        place = F.row_number().over(Window.partitionBy("_batch").orderBy(-cost("method", F.col("n_train")), "series_id", "method", "seed")) - 1  # a batch is of bounded size
+        marked.withColumn("_bin", to_and_fro(place, bins)).write.partitionBy("_batch").parquet(at)
+    schema = every.withColumn("_bin", F.lit(0)).schema
     for k in range(parts):
-        if not exists(spark, f"{path}/batch={k}/_SUCCESS"):
-            done = predictions(work.filter(F.pmod(F.xxhash64(run_id), F.lit(parts)) == k), m, **budget)
-            write_batch(done.withColumn("run_id", run_id), path, k)
+        if k in todo:
+            own = spark.read.schema(schema).parquet(f"{at}/_batch={k}") if exists(spark, f"{at}/_batch={k}") else spark.createDataFrame([], schema)
+            write_batch(predictions(own.repartitionById(bins, "_bin"), m, dealt=True, **budget).withColumn("run_id", run_id), path, k)
         if fail_fast and not spark.read.parquet(f"{path}/batch={k}").filter("status = 'failed'").isEmpty():
             break
+    remove(spark, at)
     return spark.read.parquet(path)
 
 

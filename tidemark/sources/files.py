@@ -121,6 +121,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this engine wrote for itself; one that isn't there is fine."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def configured(spark: SparkSession, entries: list[dict], least: int = 20) -> DataFrame:
     """series_id, value of all configured folders of CSV files; a missing folder or column, or too few rows, passes one over."""
     out = None
