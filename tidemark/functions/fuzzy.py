@@ -16,11 +16,50 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
 
 
+#: Points whose distances are worked out at a time, and the size of a kernel below which a pair counts as nothing. A potential
+#: of n points is then short by n times that at most.
+BLOCK, NOTHING = 512, 1e-18
+
+
+def kernel_sums(x: np.ndarray, sharpness: float) -> np.ndarray:
+    """For each point the sum of exp(-sharpness * squared distance) over all points, in memory linear in their number.
+
+    Points are put in cells of a grid over the first columns, in the order of the cells. A block of neighbours in that order
+    meets only the cells that are near enough for the kernel to count; in many columns few can be ruled out, and blocks then
+    meet all points, but never all at a time.
+    """
+    n, columns = x.shape
+    reach = np.sqrt(-np.log(NOTHING) / sharpness)
+    grid = min(columns, 3)
+    low = x[:, :grid].min(axis=0)
+    side = np.maximum(reach / 2, np.ptp(x[:, :grid], axis=0) / 64 + 1e-300)
+    cell = np.floor((x[:, :grid] - low) / side).astype(np.int64)
+    order = np.lexsort(cell.T[::-1])
+    z, cell = x[order], cell[order]
+    new = np.concatenate(([True], (cell[1:] != cell[:-1]).any(axis=1)))
+    first = np.append(np.flatnonzero(new), n)
+    cells = cell[first[:-1]]
+    out = np.empty(n)
+    for at in range(0, n, BLOCK):
+        block = z[at : at + BLOCK]
+        down, up = block[:, :grid].min(axis=0) - reach, block[:, :grid].max(axis=0) + reach
+        near = np.flatnonzero(((low + (cells + 1) * side >= down) & (low + cells * side <= up)).all(axis=1))
+        sums = np.zeros(len(block))
+        rows = np.concatenate([np.arange(first[c], first[c + 1]) for c in near])
+        for k in range(0, len(rows), 8 * BLOCK):
+            some = rows[k : k + 8 * BLOCK]
+            sums += np.exp(-sharpness * sum((block[:, None, j] - z[None, some, j]) ** 2 for j in range(columns))).sum(axis=1)
+        out[at : at + BLOCK] = sums
+    back = np.empty(n)
+    back[order] = out
+    return back
+
+
 def subtractive(data: np.ndarray, radius: float, accept: float = ACCEPT, reject: float = REJECT, squash: float = SQUASH, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Chiu's subtractive clustering on unit-scaled columns: indices of the centers and their potentials."""
     low, span = data.min(axis=0), np.ptp(data, axis=0)
     z = (data - low) / np.where(span > 0, span, 1.0)
-    potential = np.exp(-4 / radius**2 * _squared(z, z)).sum(axis=1)
+    potential = kernel_sums(z, 4 / radius**2)
     fade = 4 / (squash * radius) ** 2
     chosen: list[int] = []
     values: list[float] = []
@@ -46,9 +85,8 @@ def subtractive(data: np.ndarray, radius: float, accept: float = ACCEPT, reject:
 
 def subtractive_raw(x: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The variant without scaling: centers, and one width for each from its median distance to the points."""
-    d2 = _squared(x, x)
-    density = np.exp(-d2 / (radius / 2) ** 2).sum(axis=1)
-    first, chosen = density.max(), []
+    density = kernel_sums(x, 1 / (radius / 2) ** 2)
+    first, chosen, width = density.max(), [], []
     if first <= 1e-12:
         return x.mean(axis=0, keepdims=True), np.full((1, x.shape[1]), radius / 2)
     while len(chosen) < most:
@@ -56,8 +94,9 @@ def subtractive_raw(x: np.ndarray, radius: float, most: int) -> tuple[np.ndarray
         if density[i] < REJECT * first:
             break
         chosen.append(i)
-        density = np.maximum(0.0, density - density[i] * np.exp(-d2[i] / (1.5 * radius / 2) ** 2))
-    width = [max(float(np.median(np.sqrt(d2[i]))) / np.sqrt(2), 0.01) for i in chosen]
+        d2 = ((x - x[i]) ** 2).sum(axis=1)
+        width.append(max(float(np.median(np.sqrt(d2))) / np.sqrt(2), 0.01))
+        density = np.maximum(0.0, density - density[i] * np.exp(-d2 / (1.5 * radius / 2) ** 2))
     return x[chosen], np.repeat(np.array(width)[:, None], x.shape[1], axis=1)
 
 
@@ -68,14 +107,14 @@ def subtractive_adaptive(x: np.ndarray, radius: float, most: int = 15) -> tuple[
     """
     sd = x.std(axis=0)
     z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0)
-    reach = _squared(z, z) / (2 * (0.5 * radius) ** 2)
-    density, chosen = np.exp(-reach).sum(axis=1), []
+    sharpness = 1 / (2 * (0.5 * radius) ** 2)
+    density, chosen = kernel_sums(z, sharpness), []
     for _ in range(most):
         i = int(density.argmax())
         if density[i] < 0:
             break
         chosen.append(i)
-        density = density - density[i] * np.exp(-reach[i] / 1.5**2)
+        density = density - density[i] * np.exp(-sharpness / 1.5**2 * ((z - z[i]) ** 2).sum(axis=1))
     center = x[chosen]
     width = np.maximum(0.5 * np.median(np.sqrt(_squared(center, x)), axis=1), 0.01)
     return center, width[:, None]

@@ -19,6 +19,8 @@ from tidemark.plans.core import query, r8
 from tidemark.plans.model_queries import M, P, SEED, _each_series, _factors, _train, tasks
 from tidemark.plans.scores import CONDITION, METHODS, scores
 from tidemark.sources import files
+from tidemark.sources.batch_sink import write_batch_once
+from tidemark.sources.groups import groups
 from tidemark.sources.shared import cut, shared_folder
 from tidemark.sources.tables import FAMILIES, FAMILIES_SQL, families, priority_monthly, read
 
@@ -135,6 +137,32 @@ def write_once_resume(spark, d):
     return done.agg(F.countDistinct("run_id").alias("n"), F.countDistinct("batch").cast("int").alias("batches")).withColumn("refuses", F.lit(refuses))
 
 
+@query("A23_batch_commits", "SELECT CAST(c_custkey % 3 AS INTEGER) AS batch, count(*) AS n, sum(c_custkey) AS total, count(DISTINCT c_mktsegment) AS segments, c_custkey % 3 = 1 AS refused FROM customer GROUP BY 1, 5")
+def batch_commits(spark, d):
+    """Batches by the sink that commits: what each holds, and which one refused a second write."""
+    path, refused = _place(spark, "commits"), []
+    every = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    for k in (0, 1, 2, 1):
+        try:
+            write_batch_once(every.filter(F.col("c_custkey") % 3 == k), path, k)
+        except Exception as e:
+            if "already exists" not in str(e):
+                raise
+            refused.append(k)
+    done = spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"), F.countDistinct("c_mktsegment").alias("segments"))
+    return done.withColumn("refused", F.col("batch").isin(refused))
+
+
+@query("A04_group_scan", f"WITH {FAMILIES_SQL} SELECT split_part(series_id, '|', 2) AS series, CAST(n AS BIGINT) AS n, round(avg(y), 8) AS mean, round(max(y) FILTER (WHERE t = n - 1), 8) AS last FROM families WHERE family IN ('orders_priority_monthly', 'orders_segment_monthly') GROUP BY series_id, n")
+def group_scan(spark, d):
+    """Groups of series as files, read back by the data source: filters on source and frequency choose the files."""
+    path = _place(spark, "groups")
+    families(spark, d).select("source", "frequency", "series_id", "t", "y").write.partitionBy("source", "frequency").csv(path, header=True)
+    some = groups(spark, path).filter(F.col("source").isin("orders", "orders_customer") & (F.col("frequency") == "monthly"))
+    by = some.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("y")).alias("mean"), r8(F.max_by("y", "t")).alias("last"))
+    return by.select(F.split_part("series_id", F.lit("|"), F.lit(2)).alias("series"), "n", "mean", "last")
+
+
 @query("A24_development_results", "SELECT count(*) AS pending FROM customer WHERE c_custkey % 3 <> 0")
 def development_results(spark, d):
     path = _place(spark, "development")
