@@ -224,7 +224,6 @@ def test_pii_keeps_the_base(tables, which):
 
 
 def test_pii_terms_by_brute_force(spark):
-    import math
     import random
 
     r = random.Random(5)
@@ -238,7 +237,7 @@ def test_pii_terms_by_brute_force(spark):
                 w.insert(r.randint(0, len(w)), "Quimby" if k == 0 else "Zorro")
             w.insert(r.randint(0, len(w)), f"user{k}@mail.com")
         docs.append((i, " ".join(w)))
-    docs += [(400, None), (401, ""), (None, "Zorro user1@mail.com"), docs[5]]
+    docs += [(400, None), (401, ""), (None, "Zorro user1@mail.com"), docs[5]] + [(500 + k, "Mildred rare@mail.com" if k < 8 else "Mildred") for k in range(9)]
     info = []
     for i, t in docs:
         t = t or ""
@@ -251,32 +250,81 @@ def test_pii_terms_by_brute_force(spark):
         for e, w, a, b in near:
             both = sum(any((e, w) == x[:2] for x in other[2]) for other in info)
             of_e, of_w = sum(e in x[3] for x in info), sum(w in x[4] for x in info)
-            if both >= pii.SUPPORT and of_e < len(docs):
-                d = 1 + math.log2(both / of_w) / math.log2(len(docs) / of_e)
-                if d >= pii.GENERALISE:
-                    best[a, b] = max(best.get((a, b), 0), d)
-        terms = [("remove" if d >= pii.REMOVE else "generalise", a, b) for (a, b), d in best.items()]
+            sure = wilson(both, of_w)
+            if sure >= 0.5 and sure >= 2 * of_e / len(docs):
+                best[a, b] = max(best.get((a, b), 0), sure)
+        terms = [("remove" if d >= 2**-0.5 else "generalise", a, b) for (a, b), d in best.items()]
         want.append((i, joined(pii.by_kind(spans + terms, pii.KINDS))))
     got = [tuple(x) for x in pii.find(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).select("doc_id", "spans").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert any("remove" in s for _, s in want)
+    assert any("remove" in s for _, s in want) and any("generalise" in s for _, s in want)
+
+
+def wilson(k, n, z=1.959964):
+    """The p under k / n for which k successes are z standard deviations above their mean (by bisection)."""
+    low, high = 0.0, k / n
+    for _ in range(200):
+        p = (low + high) / 2
+        if (k / n - p) ** 2 > z * z * p * (1 - p) / n:
+            low = p
+        else:
+            high = p
+    return high
+
+
+def _marked(docs, got, i):
+    text = dict(docs)[i]
+    spans = [x.split(":") for x in got[i].split(",") if x]
+    return {kind: [text[int(a) : int(b)] for k, a, b in spans if k == kind] for kind in ("generalise", "remove")}
 
 
 def test_pii_far_rare_and_short_terms(spark):
-    """A name in the heading and an address at the end, in one document; a short name; a name in a script without spaces."""
+    """Names in headings and addresses at the end: of 10 documents, of 5, of 3 and of one; a short name; a script without spaces."""
     fill = "the report went out on time and all was well " * 20
     docs = [(i, fill + f"Quimby wrote {fill}" if i == 90 else fill) for i in range(100)]
-    docs += [(200, f"Zebulon Li report {fill} zl@mail.com and Zebulon went"), (201, f"report by 王小明的 {fill} wang@mail.com")]
+    docs += [(200 + k, f"Zebulon Li report {fill} zl@mail.com and Zebulon went") for k in range(10)]
+    docs += [(300 + k, f"report by 王小明的 {fill} wang@mail.com") for k in range(5)]
+    docs += [(400 + k, f"Xanthippe {fill} xa@mail.com") for k in range(3)] + [(500, f"Once Only {fill} once@mail.com")]
     got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).select("doc_id", "spans").collect()}
-    texts = dict(docs)
-
-    def marked(i):
-        spans = [x.split(":") for x in got[i].split(",") if x]
-        return [texts[i][int(a) : int(b)] for k, a, b in spans if k in ("generalise", "remove")]
-
-    assert sorted(marked(200)) == ["Li", "Zebulon", "Zebulon"]
-    assert {"王小", "小明"} <= set(marked(201)) and "report" not in marked(201)
-    assert marked(90) == [] and marked(1) == []
+    assert _marked(docs, got, 204) == {"generalise": [], "remove": ["Zebulon", "Li", "Zebulon"]}
+    assert {"王小", "小明"} <= set(_marked(docs, got, 302)["generalise"]) and "report" not in _marked(docs, got, 302)["generalise"]
+    assert all(_marked(docs, got, i) == {"generalise": [], "remove": []} for i in (90, 1, 400, 500))
+
+
+def test_pii_outcome_does_not_move_with_the_size_of_the_corpus(spark):
+    """The same documents among 10^2, 10^3 and 10^4 others get the same spans; so do their counts among 10^6 and 10^9."""
+    some = [(k, f"Zebulon zl@mail.com rare{'abcdefghijkl'[k]}") for k in range(12)] + [(50 + k, f"Quimby q@mail.com {'other' if k else ''}") for k in range(5)]
+    outcomes = []
+    for size in (100, 1_000, 10_000):
+        others = spark.range(1000, 1000 + size).selectExpr("id AS doc_id", "concat('plain words number', id, ' and nothing else') AS text")
+        df = spark.createDataFrame(some, "doc_id bigint, text string").unionByName(others)
+        outcomes.append(sorted((r["doc_id"], r["spans"]) for r in pii.find(df).filter("doc_id < 1000").collect()))
+    assert outcomes[0] == outcomes[1] == outcomes[2] and "remove" in outcomes[0][0][1] and "generalise" in outcomes[0][14][1]
+    assert not any("rare" in dict(some)[i][int(x.split(":")[1]) : int(x.split(":")[2])] for i, s in outcomes[0] for x in s.split(",") if "mail" not in x)
+    for both, of_term in ((1, 1), (3, 3), (4, 4), (10, 10), (40, 70), (40, 1000)):
+        assert pii.lower_bound(float(both), float(of_term)) == pytest.approx(wilson(both, of_term))
+
+
+def test_pii_memory_of_one_long_text():
+    """2,000 entities and 20,000 words in one text: what a worker makes of it is one row a word."""
+    import tracemalloc
+
+    text = " ".join(f"user{k}@mail{k}.com" for k in range(2_000)) + " " + " ".join(f"word{chr(97 + k % 26)}{'abcdefghij'[k // 26 % 10]}{'abcdefghij'[k // 260 % 10]}{'abcdefghij'[k // 2600]}" for k in range(20_000))
+    tracemalloc.start()
+    out = pii._scan([1], [text])
+    spans = pii.words(text)
+    names = {text[a:b].lower() for a, b in spans}
+    assert out["n_email"] == [2_000] and len(names) >= 20_000 and tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_pii_of_many_entities_and_words_that_meet(spark):
+    """Every word goes with every entity in the same four documents: all pairs count, and nothing is held for a text at a time."""
+    words = ["w" + "".join("abcdefghij"[int(d)] for d in str(k)) for k in range(2_000)]
+    text = " ".join(f"user{k}@mail.com" for k in range(200)) + " " + " ".join(words)
+    docs = spark.createDataFrame([(k, text) for k in range(4)] + [(10 + k, "nothing") for k in range(20)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    assert all(got[k].count("generalise:") == 2_000 for k in range(4)) and got[10] == ""
 
 
 def test_pii_sanitised():

@@ -1,24 +1,28 @@
 """Personal data, and terms that give it away: information-theoretic sanitisation.
 
 Fixed patterns find e-mail addresses, IP addresses, card and telephone numbers; these are the protected entities. A term
-discloses an entity of its document as far as seeing the term tells of the entity: pointwise mutual information of term
-and entity over the documents of the corpus, as a share of the entity's own information,
+discloses an entity of its document as far as seeing the term tells which entity it is. What stays unknown, in bits, is
 
-    disclosure = log2(N n(term, entity) / ((n(term) + SMOOTHING) n(entity))) / log2(N / n(entity)),
+    residual = -log2 P(entity | term),
 
-with n the number of documents that hold it, wherever in them. The smoothing takes the place of a least number of
-documents: with little to go by a term is generalised rather than removed, and in small corpora left. From GENERALISE on
-the term is generalised, from REMOVE on it is removed, wherever it stands in a document that holds the entity.
+with the probability at the lower end of its 95 % interval (Wilson's) given that n(term, entity) of the n(term) documents with the
+term hold the entity too. From 1 bit down the term is generalised, from half a bit down it is removed, wherever it stands in a
+document that holds the entity. The interval is what keeps rare words apart from names: it takes 4 documents that all agree
+to get to 1 bit, and 10 to get to half a bit. So an entity of fewer than 4 documents discloses nothing by its terms (that a word
+stands beside an address once tells nothing of other texts); the address itself is found by its pattern anyway. The estimate
+depends on documents with the term and the entity alone, not on the size of the corpus; that only tells whether the entity is
+so common that the term adds nothing: the probability must be LIFT times that of the entity at least.
 
 A term is a run of letters of any length; of scripts written without spaces, every two neighbouring characters.
 
 All counts cover the whole corpus, with partial sums. Entities with the same documents disclose alike and are counted as
-one class. As n(term, entity) is n(entity) at most, a term in too many documents can't disclose; the most frequent terms
-(a table of at most MOST_TERMS, broadcast) are passed over by that bound before pairs are made, without any loss.
-Occurrences of pairs are joined, never collected.
+one class. As P(entity | term) must be a half at least, a term of more than twice the entity's documents can't disclose; the
+most frequent terms (a table of at most MOST_TERMS, broadcast) are passed over by that bound before rows are made, without any
+loss. Classes and terms of a document are rows of their own, (document, class) and (document, term), which joins bring together and
+partial sums count: a worker holds one text and its words, whatever the number of entities in it.
 
-Defined results: null and empty texts have no spans; an entity in every document has no information and discloses
-nothing. Repeated rows count as documents and give repeated rows. Extra columns are ignored.
+Defined results: null and empty texts have no spans; an entity in half of all documents or more discloses nothing. Repeated rows
+count as documents and give repeated rows. A very long text takes memory in proportion to its length. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,17 @@ from collections import Counter
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, dealt_round, map_texts
 from tidemark.llm.spans import Span, by_kind, digest, joined
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-SUPPORT, SMOOTHING, GENERALISE, REMOVE = 1, 0.5, 0.9, 0.97
+#: Bits that stay unknown at most; normal quantile of the interval; least ratio to the entity's own probability.
+GENERALISE, REMOVE, Z, LIFT = 1.0, 0.5, 1.959964, 2.0
+#: Documents that an entity, and a term with it, must have at least: fewer can't get to GENERALISE, even if all agree.
+LEAST = 4
 MOST_TERMS = 500_000
 
 # The contract's patterns (fixed values), put so that long runs take linear time.
@@ -146,9 +153,6 @@ _ROWS = (
     "id struct<doc_id:bigint,uid:bigint>, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
     "entities array<bigint>, text string"
 )
-_FOUND = "uid bigint, pairs array<struct<class:bigint,n_entity:bigint,term:bigint>>, places array<struct<term:bigint,start:bigint,stop:bigint>>"
-
-
 def _document_counts(docs: DataFrame) -> DataFrame:
     """term, n_term: documents with the term, for all terms."""
 
@@ -178,50 +182,59 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return term[order], n[order]
 
 
-def _bound(n_docs: int, n_entity: np.ndarray) -> np.ndarray:
-    """The most that n(term) + SMOOTHING can be where a term discloses an entity."""
-    return n_entity * (n_docs / n_entity) ** (1 - GENERALISE) * (1 + 1e-9)
+def lower_bound(both, of_term):
+    """Lower end of Wilson's interval for a probability of which ``both`` of ``of_term`` trials succeeded; columns or numbers."""
+    p, z2 = both / of_term, Z * Z
+    root = F.sqrt if isinstance(both, Column) else np.sqrt
+    return (p + z2 / (2 * of_term) - Z * root(p * (1 - p) / of_term + z2 / (4 * of_term * of_term))) / (1 + z2 / of_term)
 
 
-def _pairs(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
-    """uid, the pairs of a document that may disclose, and the places of their terms outside of entities."""
-    each = rows.select("id.uid", F.explode("entities").alias("entity"))
+def _classes(holding: DataFrame, n: int) -> DataFrame:
+    """uid, class, n_entity: the classes of entities of each document, but for those that can't be disclosed."""
+    each = holding.select("id.uid", F.explode("entities").alias("entity"))
     docs_of = F.bit_xor(F.xxhash64("uid"))
-    of_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), docs_of.alias("docs")).filter(F.col("n_entity") < n)
+    of_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), docs_of.alias("docs")).filter((F.col("n_entity") >= LEAST) & (F.col("n_entity") * LIFT <= n))
     of_entity = of_entity.select("entity", "n_entity", F.xxhash64("n_entity", "docs").alias("class"))
-    classes = each.join(dealt_round(of_entity), "entity").groupBy("uid").agg(F.collect_set(F.struct("class", "n_entity")).alias("classes"))
+    return each.join(dealt_round(of_entity), "entity").select("uid", "class", "n_entity").distinct()
+
+
+def _terms(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """uid, term: the different terms of documents (text, and the largest n_entity of their classes) that may disclose a class."""
     shared = rows.sparkSession.sparkContext.broadcast(_frequent(counts))
 
     def make():
         terms, n_terms = shared.value
 
-        def run(ids: list, texts: list[str]) -> dict:
-            all_pairs, all_places = [], []
+        def run(ids: list, texts: list[str]) -> dict | None:
+            uid, term = [], []
             for who, text in zip(ids, texts, strict=True):
-                spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in who["base"].split(","))]
-                found = words(text)
-                names = [text[a:b].lower() for a, b in found]
-                hashes = {w: _hashed(w) for w in set(names)}
-                own = np.fromiter(hashes.values(), np.int64, len(hashes))
-                least = np.ones(len(own))
-                if len(terms):
+                own = np.fromiter(map(_hashed, {text[a:b].lower() for a, b in words(text)}), np.int64)
+                if len(terms) and len(own):
                     at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-                    least = np.where(terms[at] == own, n_terms[at], 1)
-                n_entity = np.array([c["n_entity"] for c in who["classes"]])
-                bounds = _bound(n, n_entity)
-                pairs = []
-                for c, most in zip(who["classes"], bounds, strict=True):
-                    pairs += [{"class": c["class"], "n_entity": c["n_entity"], "term": t} for t in own[least + SMOOTHING <= most].tolist()]
-                wanted = set(own[least + SMOOTHING <= bounds.max()].tolist())
-                free = outside(found, spans)
-                all_pairs.append(pairs)
-                all_places.append([{"term": hashes[w], "start": a, "stop": b} for w, (a, b), f in zip(names, found, free, strict=True) if f and hashes[w] in wanted])
-            return {"uid": [x["uid"] for x in ids], "pairs": all_pairs, "places": all_places}
+                    own = own[(terms[at] != own) | (n_terms[at] <= 2 * who["most"])]
+                uid.append(np.full(len(own), who["uid"], np.int64))
+                term.append(own)
+            return {"uid": np.concatenate(uid), "term": np.concatenate(term)} if uid else None
 
         return run
 
-    holding = rows.select("id.uid", "base", "text").join(classes, "uid")
-    return map_texts(holding, make, _FOUND, id_col=F.struct("uid", "base", "classes").alias("id"))
+    return map_texts(rows, make, "uid bigint, term bigint", id_col=F.struct("uid", "most").alias("id"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """uid, spans: base spans and those of the terms that disclose (hits: term, remove) of each document (base, text)."""
+
+    def run(ids: list, texts: list[str]) -> dict:
+        out = []
+        for who, text in zip(ids, texts, strict=True):
+            remove = {h["term"]: h["remove"] for h in who["hits"]}
+            base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in who["base"].split(",") if x)]
+            places = [(a, b, remove[h]) for a, b in words(text) if (h := _hashed(text[a:b].lower())) in remove]
+            free = outside([p[:2] for p in places], base)
+            out.append(joined(base + by_kind([("remove" if r else "generalise", a, b) for (a, b, r), f in zip(places, free, strict=True) if f], KINDS)))
+        return {"uid": [x["uid"] for x in ids], "spans": out}
+
+    return map_texts(rows, lambda: run, "uid bigint, spans string", id_col=F.struct("uid", "base", "hits").alias("id"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -229,21 +242,20 @@ def find(docs: DataFrame) -> DataFrame:
     rows = cut(map_texts(docs, lambda: _scan, _ROWS, id_col=F.struct("doc_id", F.monotonically_increasing_id().alias("uid")).alias("id")))
     columns = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     n, holding = rows.count(), rows.filter(F.size("entities") > 0)
-    if holding.isEmpty():
+    classes = cut(_classes(holding, n))
+    if classes.isEmpty():
         return rows.select("id.doc_id", *columns, F.col("base").alias("spans"))
-    counts = cut(_document_counts(docs))
-    found = cut(_pairs(holding, counts, n))
-    pairs = found.select("uid", F.explode("pairs").alias("p")).select("uid", "p.*")
-    told = 1 + F.log2(F.col("n_both") / (F.col("n_term") + SMOOTHING)) / F.log2(F.lit(float(n)) / F.col("n_entity"))
-    both = pairs.groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    disclosing = dealt_round(both).join(counts, "term").select("class", "term", told.alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
-    hit = pairs.join(dealt_round(disclosing), ["class", "term"]).groupBy("uid", "term").agg(F.max("disclosure").alias("d"))
-    places = found.select("uid", F.explode("places").alias("p")).select("uid", "p.*")
-    part = F.struct((F.col("d") >= REMOVE).alias("remove"), "start", "stop")
-    terms = places.join(hit, ["uid", "term"]).groupBy("uid").agg(F.sort_array(F.collect_list(part)).alias("terms"))
-    text = F.expr("transform(terms, t -> concat(if(t.remove, 'remove', 'generalise'), ':', t.start, ':', t.stop))")
-    all_spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.concat_ws(",", text))
-    return rows.join(terms, F.col("id.uid") == F.col("uid"), "left").select("id.doc_id", *columns, F.when(F.col("terms").isNull(), F.col("base")).otherwise(all_spans).alias("spans"))
+    counts = cut(_document_counts(docs).filter(F.col("n_term") >= LEAST))
+    texts = holding.select("id.uid", "base", "text").join(classes.groupBy("uid").agg(F.max("n_entity").alias("most")), "uid")
+    terms = cut(_terms(texts, counts).join(counts, "term"))
+    pairs = terms.join(classes, "uid").filter(F.col("n_term") <= 2 * F.col("n_entity"))
+    both = pairs.groupBy("class", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    sure = lower_bound(F.col("n_both").cast("double"), F.col("n_term").cast("double"))
+    disclosing = both.select("class", "term", "n_entity", sure.alias("sure")).filter((-F.log2("sure") <= GENERALISE) & (F.col("sure") * n >= LIFT * F.col("n_entity")))
+    hits = pairs.select("uid", "class", "term").join(dealt_round(disclosing), ["class", "term"]).groupBy("uid", "term").agg((-F.log2(F.max("sure")) <= REMOVE).alias("remove"))
+    of_text = hits.groupBy("uid").agg(F.collect_list(F.struct("term", "remove")).alias("hits"))
+    found = _spans(texts.drop("most").join(of_text, "uid")).withColumnRenamed("uid", "_uid")
+    return rows.join(found, F.col("id.uid") == F.col("_uid"), "left").select("id.doc_id", *columns, F.coalesce("spans", "base").alias("spans"))
 
 
 def sanitised(text: str, spans: str) -> str:
