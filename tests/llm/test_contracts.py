@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from oracle import TINY, connect, same
 
@@ -439,6 +440,48 @@ def test_decontamination_in_blocks(odd, items, monkeypatch):
     assert sorted(decontaminate.report(odd, items).drop("longest").collect(), key=str) == one
 
 
+def test_decontamination_in_fifty_blocks(spark, tables, monkeypatch):
+    """At most BLOCKS automata are alive at a time, a task has one worker, and the rows are those of one automaton."""
+    items = spark.read.parquet(f"{TINY}/benchmark.parquet")
+    docs = tables["tiny"].unionByName(tables["tiny"].filter("doc_id % 5 = 0")).withColumn("_id", F.lit(1)).withColumn("spans", F.lit("x"))
+    one = sorted(map(tuple, decontaminate.report(docs, items).drop("longest").collect()))
+    whole = sorted(map(tuple, decontaminate.mark(docs, items).select("row.doc_id", "row.spans", "spans", "items").collect()))
+    n_words = sum(len(decontaminate.words(r["text"])) for r in items.collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", n_words // 49)
+    assert decontaminate._blocks(items)[0] >= 49
+    alive, most = [], []
+    build, hits = decontaminate.Automaton.__init__, decontaminate._group_hits
+
+    def counted(self, *args):
+        build(self, *args)
+        alive.append(1)
+        most.append(len(alive))
+
+    def ended(docs, automata):
+        out = decontaminate.cut(hits(docs, automata))
+        alive.clear()
+        return out
+
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", counted)
+    monkeypatch.setattr(decontaminate, "_group_hits", ended)
+    marked = decontaminate.mark(docs, items)
+    assert max(most) <= decontaminate.BLOCKS and len(most) >= 49
+    assert marked._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, marked.select("row.doc_id", "row.spans", "spans", "items").collect())) == whole
+    assert sorted(map(tuple, decontaminate.report(docs, items).drop("longest").collect())) == one
+
+
+def test_spans_are_removed_from_documents(odd, items, monkeypatch):
+    got = Counter(map(tuple, decontaminate.remove_spans(odd, items).select("doc_id", "text").collect()))
+    a = decontaminate.Automaton([tuple(r) for r in items.collect()])
+    want = Counter()
+    for r in odd.collect():
+        spans = [x for s in sorted(a.match(decontaminate.words(r["text"]))[0]) for x in s]
+        want[r["doc_id"], r["text"] and decontaminate.without_spans(r["text"], spans)] += 1
+    assert got == want and decontaminate.remove_spans(odd, items).columns == odd.columns
+    assert not any(decontaminate.report(decontaminate.remove_spans(odd, items).filter("doc_id = 7"), items).select("n_hit").first())
+
+
 def test_spans_are_cut_out():
     a = decontaminate.Automaton([(1, "one two three")])
     text = "Start, one TWO; three! End"

@@ -6,8 +6,11 @@ that ends there occurs; its state tells the items. Words that no item has send t
 only stretches of known words, at least as long as the shortest window, are streamed.
 
 The items are a stated query set. Their size is checked: they are dealt to blocks of at most about BLOCK_WORDS words, by
-the same words as in the texts. The automaton of a block is built once, on the driver, and broadcast; each worker reads it
-once. Documents pass through BLOCKS automata at a time, without a shuffle.
+the same words as in the texts. At most BLOCKS automata exist at a time, built on the driver and broadcast (some 240 MB then), and
+a task has one Python worker, however large the benchmark is. Up to BLOCKS blocks, documents pass through once, without a shuffle.
+With more, a group of blocks is a job of its own: it writes the documents that it hits, and its automata are deleted before the
+next ones are built; what the groups found is joined to the documents in the end. A group first looks up the hashes of the
+documents' windows, so that few documents go through an automaton more than once.
 
 Defined results: null texts have no words; items without words are ignored; a null item_id is left out; repeated items
 count once for each item_id, and items that share an item_id are one item with the windows of all. Each row is judged by its
@@ -17,14 +20,17 @@ own text, repeated rows and a repeated doc_id too. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import MOST_BROADCAST, bounded_batches, cut, stored, text_mark
+from tidemark.llm.suffix_dedup import run_hashes
 
 WINDOW = 13
 #: Words of items in a block (an automaton takes some 300 bytes for each), and blocks that a worker holds at a time.
@@ -37,6 +43,10 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(TABLE).split() if text else []
 
 
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), np.uint64)
+
+
 class Automaton:
     """Windows of items: runs of ``window`` words, or the whole item where it has fewer words."""
 
@@ -58,6 +68,17 @@ class Automaton:
                 if i >= n - 1:
                     self.windows.setdefault((self._of_length(state, n), n), set()).add(item)
         self.sizes = sorted({n for _, n in self.windows})
+        self._items = [t for i, t in items if i is not None]
+
+    def keys(self) -> dict[int, set[int]]:
+        """Hashes of all windows, by their number of words."""
+        out: dict[int, set[int]] = {}
+        for text in self._items:
+            tokens = words(text)
+            if tokens:
+                size = min(self.window, len(tokens))
+                out.setdefault(size, set()).update(run_hashes(word_hashes(tokens), size)[0].tolist())
+        return out
 
     def _add(self, ids: list[int]) -> None:
         last = 0
@@ -138,12 +159,12 @@ class Automaton:
         return spans, found, most
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks there are, and their items, read as they are asked for."""
     rows = items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     n_words = rows.agg(F.sum(F.size(F.expr(r"regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)")))).first()[0] or 0
-    blocks = -(-n_words // BLOCK_WORDS) or 1
-    for k in range(blocks):
-        yield [tuple(x) for x in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
+    n = -(-n_words // BLOCK_WORDS) or 1
+    return n, ([tuple(x) for x in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 def _merged(a: list[int], b: list[tuple[int, int]]) -> list[int]:
@@ -156,44 +177,120 @@ def _merged(a: list[int], b: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _marker(automata: list, schema: pa.Schema):
+_FOUND = "spans array<int>, items array<bigint>, longest int, n_words bigint, n_hit bigint"
+_HITS = "doc_id bigint, mark bigint, spans array<int>, items array<bigint>, longest int"
+
+
+def _judged(tokens: list[bytes], automata: list[Automaton]) -> tuple[list[int], list[int], int]:
+    """Merged spans, sorted items, longest match over some automata."""
+    spans, items, longest = [], set(), 0
+    for automaton in automata:
+        ranges, found, most = automaton.match(tokens)
+        if found:
+            spans = _merged(spans, ranges)
+            items |= found
+        longest = max(longest, most)
+    return spans, sorted(items), longest
+
+
+def _rows(docs: DataFrame):
+    """The schema of what ``mark`` gives, for Spark and for Arrow."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = rows.schema
+    for field in _parse_datatype_string(_FOUND):
+        schema = schema.add(field)
+    return schema, to_arrow_schema(schema)
+
+
+def _found(row: pa.Array, judged: list[tuple], n_words: list[int], arrow: pa.Schema) -> pa.RecordBatch:
+    columns = ([j[0] for j in judged], [j[1] for j in judged], [j[2] for j in judged], n_words, [sum(j[0][1::2]) - sum(j[0][::2]) for j in judged])
+    return pa.RecordBatch.from_arrays([row, *(pa.array(x, type=arrow.field(k).type) for k, x in enumerate(columns, 1))], schema=arrow)
+
+
+def _in_one_pass(docs: DataFrame, automata: list) -> DataFrame:
     """``automata``: broadcast variables, which a worker reads once for all its tasks."""
+    schema, arrow = _rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [a.value for a in automata]
         for batch in batches:
-            texts = batch.column(0).field("text").cast(pa.string()).to_pylist()
-            spans, items, longest = (batch.column(k).to_pylist() for k in range(1, 4))
-            n_words = [0] * len(texts)
-            for i, text in enumerate(texts):
+            tokens = [words(t) for t in batch.column(0).field("text").cast(pa.string()).to_pylist()]
+            yield _found(batch.column(0), [_judged(t, own) for t in tokens], list(map(len, tokens)), arrow)
+
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
+
+
+def _group_hits(docs: DataFrame, automata: list) -> DataFrame:
+    """doc_id, mark, spans, items, longest of the documents that a group of automata hits."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(_HITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [a.value for a in automata]
+        keys: dict[int, set[int]] = {}
+        for a in own:
+            for size, some in a.keys().items():
+                keys.setdefault(size, set()).update(some)
+        for batch in batches:
+            out = []
+            for i, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 tokens = words(text)
-                n_words[i] = len(tokens)
-                for automaton in automata:
-                    ranges, found, most = automaton.value.match(tokens)
-                    if found:
-                        spans[i] = _merged(spans[i], ranges)
-                        items[i] = sorted({*items[i], *found})
-                    longest[i] = max(longest[i], most)
-            n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-            columns = (spans, items, longest, n_words, n_hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, type=schema.field(k).type) for k, x in enumerate(columns, 1))], schema=schema)
+                hashes = word_hashes(tokens)
+                if any(not known.isdisjoint(run_hashes(hashes, size)[0].tolist()) for size, known in keys.items() if len(tokens) >= size):
+                    spans, items, longest = _judged(tokens, own)
+                    if items:
+                        out.append((i, mark, spans, items, longest))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=arrow.field(k).type) for k in range(5)], schema=arrow)
+
+    return docs.select("doc_id", text_mark().alias("mark"), F.col("text").cast("string")).mapInArrow(run, _HITS)
+
+
+def _in_groups(docs: DataFrame, blocks: Iterator[list[tuple[int, str]]], window: int) -> DataFrame:
+    """One job for each group of blocks; what they found is joined by doc_id and text."""
+    sc, hits = docs.sparkSession.sparkContext, None
+    while group := list(islice(blocks, BLOCKS)):
+        automata = [sc.broadcast(Automaton(block, window)) for block in group]
+        some = stored(_group_hits(docs, automata))
+        for a in automata:
+            a.destroy()
+        hits = some if hits is None else hits.unionByName(some)
+    # Groups and rows that repeat give more than one row of a document: at most BLOCKS-th of the blocks and equal ones.
+    hits = hits.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list("spans").alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"), F.max("longest").alias("_longest"))
+    hits = cut(hits)
+    hits = F.broadcast(hits) if hits.count() <= MOST_BROADCAST // 10 else hits
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("_doc"), text_mark().alias("_own"))
+    both = keyed.join(hits, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_mark")), "left")
+    schema, arrow = _rows(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words = [len(words(t)) for t in batch.column(0).field("text").cast(pa.string()).to_pylist()]
+            judged = []
+            for spans, items, longest in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                merged: list[int] = []
+                for s in spans or []:
+                    merged = _merged(merged, list(zip(s[::2], s[1::2], strict=True)))
+                judged.append((merged, items or [], longest or 0))
+            yield _found(batch.column(0), judged, n_words, arrow)
 
-    return run
+    return both.select("row", "_spans", "_items", "_longest").mapInArrow(run, schema)
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row (all columns of docs), spans (word ranges, flat: start, end, ...), items (sorted ids), longest (match in words), n_words, n_hit."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """row (all columns of docs), spans (word ranges, flat: start, end, ...), items (sorted ids), longest, n_words, n_hit.
 
+    longest: words of the longest match; with more than BLOCKS blocks of items, of documents that are hit only.
+    """
     bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    empty = [F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), F.lit(0).alias("longest"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit")]
-    out = docs.select(F.struct(*docs.columns).alias("row"), *empty)
-    schema = out.schema
-    arrow = to_arrow_schema(schema)
-    automata = [sc.broadcast(Automaton(block, window)) for block in _blocks(items)]
-    for k in range(0, len(automata), BLOCKS):
-        out = out.mapInArrow(_marker(automata[k : k + BLOCKS], arrow), schema)
-    return out
+    n, blocks = _blocks(items)
+    if n <= BLOCKS:
+        return _in_one_pass(docs, [docs.sparkSession.sparkContext.broadcast(Automaton(block, window)) for block in blocks])
+    return _in_groups(docs, blocks, window)
 
 
 def _contaminated():
@@ -223,6 +320,15 @@ def without_spans(text: str, spans: list[int]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with all columns, the text without the words that windows cover and what stands between them; null texts stay."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    marked = mark(docs, items, window)
+    text = F.pandas_udf(lambda t, s: pd.Series([None if x is None else without_spans(x, list(y)) for x, y in zip(t, s, strict=True)], dtype=object), _parse_datatype_string("string"))
+    return marked.select(*(F.when(F.size("spans") > 0, text("row.text", "spans")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns: in the pass that marks them, without a join."""
     return mark(docs, items).filter(~_contaminated()).select("row.*")
