@@ -526,8 +526,11 @@ def test_passages_by_brute_force(tables, which):
     assert sorted(map(tuple, suffix_dedup.passages(tables[which]).collect())) == plain_passages(texts_of(tables[which]))
 
 
-def test_passages_of_a_hot_key_over_many_partitions(spark, tmp_path):
-    """A passage in a third of all documents, passages side by side, eight files and 32 shuffle partitions."""
+@pytest.mark.parametrize("hot, suffixes", [(2000, 20_000), (100, 500)])
+def test_passages_of_a_hot_key_over_many_partitions(spark, tmp_path, monkeypatch, hot, suffixes):
+    """A passage in a third of all documents, passages side by side, eight files and 32 shuffle partitions; with hot keys too."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", suffixes)
     rng = np.random.default_rng(11)
     vocab = [f"w{k}" for k in range(400)]
     hot, a, b = (" ".join(rng.choice(vocab, n)) for n in (60, 55, 70))
@@ -555,6 +558,28 @@ def test_one_copy_of_every_passage_is_to_keep(spark):
     assert sorted(map(tuple, suffix_dedup.passages(docs).collect())) == [(2, 0, 60, 2), (5, 0, 60, 2), (5, 60, 120, 5), (9, 0, 60, 5)]
 
 
+def test_passages_of_periodic_and_overlapping_texts(spark):
+    """Equal runs within a window, copies that share parts only, two texts of one doc_id."""
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in rng.integers(0, 5, 400)]
+    docs = [(k, " ".join(base[a : a + n])) for k, (a, n) in enumerate(zip(rng.integers(0, 300, 30).tolist(), rng.integers(45, 140, 30).tolist(), strict=True))]
+    docs += [(50, "a b " * 60), (51, "b a " * 70), (52, "a " * 55), (53, "a " * 49), (54, "a " * 50), (3, " ".join(base[100:190])), (60, " ".join(base[:70] + ["x"] + base[:70]))]
+    got = sorted(map(tuple, suffix_dedup.passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()))
+    assert got == plain_passages(Counter(docs))
+
+
+def test_neighbours_have_what_is_common():
+    rng = np.random.default_rng(14)
+    rows = np.where(np.arange(9) < rng.integers(0, 10, 80)[:, None], rng.integers(1, 3, (80, 9)), 0)
+    order, common = suffix_dedup.ordered(rows)
+    for depth in range(10):
+        classes = suffix_dedup._classes(order, common, depth)
+        for a in range(80):
+            for b in range(a):
+                if (rows[a, :depth] > 0).all() and (rows[b, :depth] > 0).all():
+                    assert (classes[a] == classes[b]) == (rows[a, :depth] == rows[b, :depth]).all()
+
+
 def test_minimisers_are_chosen_by_content():
     words = suffix_dedup.word_hashes(" ".join(f"w{i}" for i in range(200)))
     keys, least, windows = suffix_dedup.minimisers(words)
