@@ -30,20 +30,19 @@ left out; rows that repeat a doc_id are one document. Extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bitmaps import Bits
-from tidemark.llm.common import cut, map_texts, stored
+from tidemark.llm.common import CHUNK_CHARS, cut, map_texts, stored
 
 LENGTH, GRAM = 50, 8
 BEFORE = LENGTH - GRAM
-SUFFIXES, HOT = 20_000, 2_000
+SUFFIXES, HOT = 10_000, 2_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -155,7 +154,16 @@ def _suffixes(docs: DataFrame, shared: Bits, hot: Bits) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "key bigint, hot boolean, doc_id bigint, start bigint, n int, before int, words binary")
+    return map_texts(docs, make, "key bigint, hot boolean, doc_id bigint, start bigint, n int, before int, words binary", chunk=CHUNK_CHARS // 4)
+
+
+def numbered_words(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place and number of words of each line (words joined by a space), and all words as numbers from 1."""
+    split = pc.split_pattern(lines, " ")
+    offsets = split.offsets.to_numpy()
+    flat = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int32)
+    flat += 1
+    return offsets[:-1] - offsets[0], np.diff(offsets), flat
 
 
 def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,16 +183,11 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 def shard_passages(rows: pa.Table) -> pa.Table:
     """doc_id, first_doc, start, last: windows (from start to last) of the suffixes of one shard that two documents or more have."""
     doc_id, start, n, before = (rows.column(k).to_numpy() for k in ("doc_id", "start", "n", "before"))
-    split = [x.split(b" ") for x in rows.column("words").to_pylist()]
-    known: dict[bytes, int] = {}
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((known.setdefault(w, len(known) + 1) for w in itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    after = np.arange(LENGTH)
-    right = np.where(after < (sizes - before)[:, None], flat[np.minimum((first + before)[:, None] + after, len(flat) - 1)], 0)
-    back = np.arange(1, BEFORE + 1)
-    left = np.where(back <= before[:, None], flat[np.maximum((first + before)[:, None] - back, 0)], 0)
-    to_right, to_left = ordered(right), ordered(left)
+    first, sizes, flat = numbered_words(rows.column("words").combine_chunks())
+    middle = (first + before).astype(np.int32)[:, None]
+    after, back = np.arange(LENGTH, dtype=np.int32), np.arange(1, BEFORE + 1, dtype=np.int32)
+    to_right = ordered(np.where(after < (sizes - before)[:, None], flat[np.minimum(middle + after, len(flat) - 1)], np.int32(0)))
+    to_left = ordered(np.where(back <= before[:, None], flat[np.maximum(middle - back, 0)], np.int32(0)))
     found = []
     for o in range(BEFORE + 1):  # windows that begin o words before their suffix
         has = np.flatnonzero((before >= o) & (before - o < n))
