@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bitmaps import Bits
 from tidemark.llm.common import CHUNK_CHARS, _chunks, bounded_batches, cut, stored, text_mark
-from tidemark.llm.suffix_dedup import _sliding, run_hashes
+from tidemark.llm.suffix_dedup import _sliding, numbered_words, run_hashes
 
 WINDOW, GRAM = 13, 5
 RUNS = WINDOW - GRAM + 1
 SAMPLED = np.uint64((1 << 64) // 4)
-SEGMENTS, HOT = 60_000, 5_000
+SEGMENTS, HOT = 20_000, 2_000
 
 
 # ---- which windows may repeat ----
@@ -280,11 +280,9 @@ def shard_spans(rows: pa.Table) -> pa.Table:
     doc_id, mark, start = (rows.column(k).to_numpy() for k in ("doc_id", "mark", "start"))
     coded = rows.column("words").combine_chunks().dictionary_encode()
     which = coded.indices.to_numpy()
-    split = [x.split(b" ") for x in coded.dictionary.to_pylist()]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    known: dict[bytes, int] = {}
-    texts = np.fromiter((known.setdefault(w, len(known) + 1) for w in itertools.chain.from_iterable(split)), np.int64, int(lengths.sum()))
-    own = np.full(len(split), np.iinfo(np.int64).max)
+    _, lengths, texts = numbered_words(coded.dictionary)
+    lengths, texts = lengths.astype(np.int64), texts.astype(np.int64)
+    own = np.full(len(lengths), np.iinfo(np.int64).max)
     np.minimum.at(own, which, doc_id)
     text, a, b = matches(texts, lengths, np.unique(own, return_inverse=True)[1])
     # Of a segment's documents the first has what was found; the others have all of it from the first.
