@@ -49,7 +49,7 @@ def best_pair(summary: DataFrame) -> DataFrame:
 
 def covered(scores: DataFrame, condition: list[str], pair: list[str]) -> bool:
     """Whether every pair has every condition."""
-    full = scores.select(*condition).distinct().crossJoin(F.broadcast(scores.select(*pair).distinct()))
+    full = scores.select(*condition).distinct().crossJoin(scores.select(*pair).distinct())
     return full.join(scores.select(*condition, *pair).distinct(), [*condition, *pair], "left_anti").isEmpty()
 
 

@@ -365,12 +365,15 @@ def stratified_by_hash(spark, d):
     return by_hash(read(spark, d, "customer"), ["c_mktsegment"], ["c_mktsegment", "c_custkey"], 10, 20).select("c_mktsegment", "c_custkey", F.col("partition").alias("part"), "rn")
 
 
-@query("G03_best_pair", "SELECT radius, alpha, 2.0::DOUBLE AS statistic FROM (SELECT unnest([0.25, 0.35, 0.55, 0.75, 1.0])::DOUBLE AS radius), (SELECT unnest([0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.05, 0.1])::DOUBLE AS alpha) ORDER BY 3, radius DESC, alpha DESC LIMIT 1")
+@query("G03_best_pair", "WITH p AS (SELECT list_extract([0.25, 0.35, 0.55, 0.75, 1.0]::DOUBLE[], 1 + l_linenumber % 5) AS radius, list_extract([0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.05, 0.1]::DOUBLE[], CAST(1 + l_suppkey % 7 AS INTEGER)) AS alpha, l_quantity FROM lineitem) SELECT radius, alpha, median(l_quantity)::DOUBLE AS statistic FROM p GROUP BY 1, 2 ORDER BY 3, radius DESC, alpha DESC LIMIT 1")
 def best_pair(spark, d):
+    """Line items stand in for scores of pairs; medians of whole quantities tie often, so that the order of ties decides."""
     from tidemark.operators.selection import best_pair as op
-    from tidemark.plans.design import candidate_grid as grid
+    from tidemark.plans.design import ALPHAS, RADII
 
-    return op(grid(spark).withColumn("statistic", F.lit(2.0))).select("radius", "alpha", "statistic")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (1 + k % len(values)).cast("int"))
+    p = read(spark, d, "lineitem").select(pick(RADII, F.col("l_linenumber")).alias("radius"), pick(ALPHAS, F.col("l_suppkey")).alias("alpha"), "l_quantity")
+    return op(p.groupBy("radius", "alpha").agg(F.median("l_quantity").alias("statistic"))).select("radius", "alpha", "statistic")
 
 
 @query("G05_limit_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0) ORDER BY c_custkey LIMIT 7")

@@ -452,26 +452,26 @@ def ets_tie_order(spark, d):
     return c.withColumn("place", F.row_number().over(Window.orderBy(size, "seasonal", "trend")))
 
 
-N01 = """WITH s AS (SELECT g, seed, opt, r, a, CAST(100 + (g * 7 + seed * 3 + opt * 5 + r * 11 + a * 13) % 17 AS DOUBLE) AS mase FROM range(9) g(g), range(10) s(seed), range(3) o(opt), range(5) r(r), range(7) a(a)),
+N01 = """WITH s AS (SELECT l_returnflag AS g, month(l_shipdate) AS seed, l_linenumber % 5 AS r, l_suppkey % 7 AS a, l_extendedprice / 1000 AS mase FROM lineitem),
 c AS (SELECT g, seed, r, a, median(mase) AS m FROM s GROUP BY 1, 2, 3, 4), p AS (SELECT r, a, median(m) AS statistic, count(*) AS n_conditions FROM c GROUP BY 1, 2)
-SELECT r, a, statistic, n_conditions FROM p ORDER BY statistic, r DESC, a DESC LIMIT 1"""
+SELECT CAST(r AS BIGINT) AS r, CAST(a AS BIGINT) AS a, round(statistic, 8) AS statistic, n_conditions FROM p ORDER BY statistic, r DESC, a DESC LIMIT 1"""
 
 
 @query("N01_pair_selection", N01)
 def pair_selection(spark, d):
-    parts = [spark.range(n).select(F.col("id").alias(c)) for c, n in (("g", 9), ("seed", 10), ("opt", 3), ("r", 5), ("a", 7))]
-    mase = 100 + (F.col("g") * 7 + F.col("seed") * 3 + F.col("opt") * 5 + F.col("r") * 11 + F.col("a") * 13) % 17
-    s = design.product(*parts).withColumn("mase", mase.cast("double"))
+    """Line items stand in for scores: conditions by flag and month of shipping, pairs by line and supplier, replicates within."""
+    s = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.month("l_shipdate").alias("seed"), (F.col("l_linenumber") % 5).cast("bigint").alias("r"), (F.col("l_suppkey") % 7).cast("bigint").alias("a"), (F.col("l_extendedprice") / 1000).alias("mase"))
     best = selection.two_level_median(s, ["g", "seed"], ["r", "a"], "mase").withColumnsRenamed({"r": "radius", "a": "alpha"})
-    return selection.best_pair(best).select(F.col("radius").alias("r"), F.col("alpha").alias("a"), "statistic", "n_conditions")
+    return selection.best_pair(best).select(F.col("radius").alias("r"), F.col("alpha").alias("a"), r8("statistic").alias("statistic"), "n_conditions")
 
 
-@query("N02_complete_gate", f"SELECT n AS expected, n AS found, true AS open FROM (SELECT count(*) AS n FROM {GENS}, range(1001, 1011) a(dgp_seed), (SELECT unnest([0.05, 0.1, 0.2])) b, range(5) r(i), range(7) c(j), range(3) e(k))")
+@query("N02_complete_gate", """WITH m AS (SELECT DISTINCT o_orderpriority AS g, date_trunc('month', o_orderdate) AS c, o_orderstatus AS s FROM orders)
+SELECT s, count(DISTINCT g) * count(DISTINCT c) AS expected, count(*) AS found, count(DISTINCT g) * count(DISTINCT c) = count(*) AS open FROM m GROUP BY s""")
 def complete_gate(spark, d):
-    tasks = design.development_tasks(spark)
-    found = tasks.agg(F.countDistinct("run_id").alias("found"))
-    expected = len(design.GENERATORS) * len(design.DEVELOPMENT_SEEDS) * len(design.NOISE_LEVELS) * len(design.RADII) * len(design.ALPHAS) * len(design.DEVELOPMENT_OPTIMIZER_SEEDS)
-    return found.select(F.lit(expected).cast("bigint").alias("expected"), "found", (F.col("found") == expected).alias("open"))
+    """By status of orders: whether every priority has every month; the gate opens only where nothing is missing."""
+    m = read(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.trunc("o_orderdate", "month").alias("c"), F.col("o_orderstatus").alias("s")).distinct()
+    sizes = m.groupBy("s").agg((F.countDistinct("g") * F.countDistinct("c")).alias("expected"), F.count(F.lit(1)).alias("found"))
+    return sizes.withColumn("open", F.col("expected") == F.col("found"))
 
 
 M26 = """SELECT CASE WHEN c AND r THEN 'PC' WHEN c THEN 'C' WHEN r THEN 'P' ELSE 'NEITHER' END AS variant, c AS constricted, r AS rejects, 0.5::DOUBLE AS w_fit, 0.001::DOUBLE AS w_sensitivity, 0.01::DOUBLE AS w_coverage

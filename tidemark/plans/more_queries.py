@@ -59,9 +59,10 @@ def raw_lags(spark, d):
     return shaping.lag_columns(priority_monthly(spark, d), 2).select("series_id", "t", "x1", "x2", "target")
 
 
-@query("C14_validation_rows", f"{P} SELECT series_id, t FROM series WHERE t < 63 AND t >= 63 - greatest(8, floor(0.2 * (63 - 5)))")
+@query("C14_validation_rows", f"{P}, s AS (SELECT series_id, t, CAST(floor(0.8::DOUBLE * n) AS INTEGER) AS n FROM series), k AS (SELECT *, greatest(8, floor(0.2 * (n - 5))) AS tail FROM s) SELECT series_id, t FROM k WHERE t < n AND t >= n - tail AND n - 5 - tail >= 11")
 def validation_rows(spark, d):
-    return priority_monthly(spark, d).filter("t < 63").filter(F.col("t") >= 63 - rules.tail_size(F.lit(63), F.lit(5))).select("series_id", "t")
+    s = priority_monthly(spark, d).withColumn("n", rules.floor_split(F.col("n")))
+    return s.filter("t < n").filter(F.col("t") >= F.col("n") - rules.tail_size(F.col("n"), F.lit(5))).select("series_id", "t")
 
 
 @query("D12_pairwise_signs", f"{S} SELECT count(*) FILTER (WHERE a.mase > b.mase) AS above, count(*) FILTER (WHERE a.mase < b.mase) AS below FROM scores a, scores b WHERE a.method = 'drift' AND b.method = 'seasonal_naive' AND a.family = b.family AND a.rule = b.rule")

@@ -84,19 +84,19 @@ def ablation_folder(spark, d):
     return found.select("task.family", "task.series", "task.rule", "task.method", "metrics.rmse")
 
 
-@query("A17_snapshot", "SELECT 2 AS n_files, 0 AS differing, 1 AS differing_after_change")
+@query("A17_snapshot", "WITH f AS (SELECT n_regionkey AS name, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS sha256, CAST(sum(length(n_name) + 1) AS BIGINT) AS size FROM nation GROUP BY 1) SELECT name, size, sha256, 0 AS differing, name = 0 AS found_when_changed FROM f")
 def snapshot(spark, d):
-    """Files by size and SHA-256 against a stored list; a changed entry is found."""
-    path = _place(spark, "snapshot")
-    for k in range(2):
-        spark.range(5).select((F.col("id") + k).cast("string").alias("value")).coalesce(1).write.mode("append").text(path)
-    listed = spark.read.format("binaryFile").load(f"{path}/part-*").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    expected = spark.createDataFrame(listed.collect(), listed.schema)  # a list of files, as it would be stored
-    first = expected.agg(F.min("name")).first()[0]
-    changed = expected.withColumn("sha256", F.when(F.col("name") == first, "0").otherwise(F.col("sha256")))
-    same, other = files.verify_files(spark, f"{path}/part-*", expected), files.verify_files(spark, f"{path}/part-*", changed)
-    counts = expected.agg(F.count(F.lit(1)).cast("int").alias("n_files")).crossJoin(same.agg(F.count(F.lit(1)).cast("int").alias("differing")))
-    return counts.crossJoin(other.agg(F.countDistinct("name").cast("int").alias("differing_after_change")))
+    """Files (the nations of each region) by size and SHA-256 against a stored list; a changed entry is found."""
+    path, stored = _place(spark, "snapshot"), _place(spark, "list")
+    read(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("value")).repartitionById(8, F.col("n_regionkey").cast("int")).sortWithinPartitions("n_regionkey", "value").write.partitionBy("n_regionkey").text(path)
+    listed = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("n_regionkey").cast("int").alias("region"))
+    listed.write.parquet(stored)
+    expected = spark.read.parquet(stored)
+    changed = expected.withColumn("sha256", F.when(F.col("region") == 0, "0").otherwise(F.col("sha256"))).drop("region")
+    same, other = files.verify_files(spark, path, expected.drop("region")), files.verify_files(spark, path, changed)
+    wrong = other.filter("sha256 = '0'").select("size", "name").join(expected, ["name", "size"]).select("region").distinct().withColumn("hit", F.lit(True))
+    found = expected.join(wrong, "region", "left").select(F.col("region").alias("name"), "size", "sha256", F.coalesce("hit", F.lit(False)).alias("found_when_changed"))
+    return found.crossJoin(same.agg(F.count(F.lit(1)).cast("int").alias("differing")))
 
 
 @query("A20_csv_sinks", f"{P} SELECT series_id, t, round(y, 8) AS y FROM series")
@@ -202,10 +202,13 @@ def ablation_json(spark, d):
 # -- small rules ----------------------------------------------------------------------------------------------------------
 
 
-@query("B06_direction", "SELECT metric, metric <> 'r2' AS lower_is_better FROM (SELECT unnest(['rmse', 'mae', 'mase', 'smape', 'rmsse', 'r2']) AS metric)")
+@query("B06_direction", f"{S}, by_name AS (SELECT method, name, avg(value) AS mean FROM (SELECT method, mae, mase, smape, -mase AS r2 FROM scores) UNPIVOT (value FOR name IN (mae, mase, smape, r2)) GROUP BY 1, 2) SELECT name AS metric, name <> 'r2' AS lower_is_better, CASE WHEN name <> 'r2' THEN min_by(method, mean) ELSE max_by(method, mean) END AS best FROM by_name GROUP BY 1")
 def direction(spark, d):
-    rows = [(m, ranking.lower_is_better(m)) for m in ("rmse", "mae", "mase", "smape", "rmsse", "r2")]
-    return spark.createDataFrame(rows, "metric string, lower_is_better boolean")
+    """Of each metric the better direction, and the method that is best by it (less the scaled error stands in for r2)."""
+    long = scores(spark, d).withColumn("r2", -F.col("mase")).unpivot("method", ["mae", "mase", "smape", "r2"], "metric", "value").groupBy("method", "metric").agg(F.avg("value").alias("mean"))
+    lower = F.col("metric").isin([m for m in ("mae", "mase", "smape", "r2") if ranking.lower_is_better(m)])
+    by = long.groupBy("metric").agg(F.min_by("method", "mean").alias("least"), F.max_by("method", "mean").alias("most"))
+    return by.select("metric", lower.alias("lower_is_better"), F.when(lower, F.col("least")).otherwise(F.col("most")).alias("best"))
 
 
 @query("B13_quality_gate", "SELECT 10 AS kept, true AS refuses_bad")
@@ -237,12 +240,13 @@ def development_run_id(spark, d):
     return design.development_tasks(spark).select("run_id", "generator", "dgp_seed", "optimizer_seed")
 
 
-@query("I14_file_fingerprint", "SELECT sha256('a.txt' || chr(0) || '0' || chr(10) || '1' || chr(10) || chr(0)) AS fingerprint")
+@query("I14_file_fingerprint", "WITH f AS (SELECT r_name AS name, string_agg(n_name || chr(10), '' ORDER BY n_name) AS content FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT sha256(string_agg(name || chr(0) || content || chr(0), '' ORDER BY name)) AS fingerprint FROM f")
 def file_fingerprint(spark, d):
-    """Names and contents of files, each with a zero byte after it, hashed in order of the names."""
+    """Names and contents of files, each with a zero byte after it, hashed in order of the names: the nations of each region in a file."""
     path = _place(spark, "inputs")
-    spark.range(2).select(F.col("id").cast("string").alias("value")).coalesce(1).sortWithinPartitions("value").write.text(path)
-    parts = spark.read.format("binaryFile").load(f"{path}/part-*").select(F.lit("a.txt").alias("name"), "content")
+    both = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    both.select("r_name", F.col("n_name").alias("value")).repartition(1).sortWithinPartitions("r_name", "value").write.partitionBy("r_name").text(path)
+    parts = spark.read.format("binaryFile").load(path).select(F.col("r_name").alias("name"), "content")
     one = F.concat(F.col("name").cast("binary"), F.lit(b"\0"), "content", F.lit(b"\0"))
     joined = parts.agg(F.array_sort(F.collect_list(F.struct("name", one.alias("bytes")))).alias("all"))
     return joined.select(F.sha2(F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])), 256).alias("fingerprint"))

@@ -217,6 +217,22 @@ def given_rules(spark, d):
     return out.select("series_id", "t", F.round(F.col("low") + F.col("predicted") * (F.col("high") - F.col("low")), 6).alias("predicted"), F.round("y", 6).alias("actual"))
 
 
+GIVEN = fuzzy.Tsk(np.array([[0.2] * 3, [0.8] * 3]), np.array([[0.3] * 3, [0.4] * 3]), np.array([[0.5, 0.2, 0.1, 0.05], [0.1, 0.2, 0.5, 0.1]]))
+
+
+@query("R07_given_rules", f"{FIRED}, o AS ({K06}), b AS (SELECT series_id, min(y) AS low, max(y) AS high FROM series GROUP BY 1) SELECT series_id, t, round(low + predicted * (high - low), 6) AS predicted, round(y, 6) AS actual FROM o JOIN b USING (series_id) JOIN series USING (series_id, t) WHERE t >= floor(0.8::DOUBLE * n)")
+def rolled_given_rules(spark, d):
+    """Predict, then observe with a buffer of lags, by given rules on the unit scale: what SQL gets from whole rows."""
+
+    def each(series_id: str, y: np.ndarray) -> pd.DataFrame:
+        n, span = len(_train(y)), float(np.ptp(y))
+        low = float(y.min()) + neurofuzzy.LOW * span
+        fitted = neurofuzzy.Fitted(GIVEN, low, low + (neurofuzzy.HIGH - neurofuzzy.LOW) * span, 3, y[n - 3 : n])
+        return pd.DataFrame({"series_id": series_id, "t": np.arange(n, len(y)), "predicted": neurofuzzy.step_by_step(fitted, y[n:]).round(6), "actual": y[n:].round(6)})
+
+    return _map_series(priority_monthly(spark, d), each, "series_id string, t int, predicted double, actual double")
+
+
 @query("O07_logistic_orbits", "WITH RECURSIVE o(start, t, x) AS (SELECT k::DOUBLE / 10, 0, k::DOUBLE / 10 FROM range(1, 10) r(k) UNION ALL SELECT start, t + 1, 4.0::DOUBLE * x * (1.0::DOUBLE - x) FROM o WHERE t < 679) SELECT start, CAST(t - 500 AS INTEGER) AS t, round(x, 8) AS y FROM o WHERE t >= 500")
 def logistic_orbits(spark, d):
     """The logistic map from given starts."""

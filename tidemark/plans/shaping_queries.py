@@ -125,12 +125,14 @@ def lag_array(spark, d):
     return x.select("series_id", "t", F.get("x", F.lit(0)).alias("oldest"), F.get("x", F.lit(3)).alias("newest"), F.size("x").alias("size"), "target")
 
 
-SCALED = """, bounds AS (SELECT *, min(y) FILTER (WHERE t < 63) OVER (PARTITION BY series_id) AS lo, max(y) FILTER (WHERE t < 63) OVER (PARTITION BY series_id) AS hi FROM series)"""
+SPLIT = "CAST(floor(0.8::DOUBLE * n) AS INTEGER)"
+TRAIN = F.col("t") < rules.floor_split(F.col("n"))
+SCALED = f""", bounds AS (SELECT *, min(y) FILTER (WHERE t < {SPLIT}) OVER (PARTITION BY series_id) AS lo, max(y) FILTER (WHERE t < {SPLIT}) OVER (PARTITION BY series_id) AS hi FROM series)"""
 
 
 @query("C03_scaled_lags", f"{P} {SCALED}, scaled AS (SELECT series_id, t, 0.1 + (y - lo) * (0.8 / (hi - lo)) AS s FROM bounds) SELECT * FROM (SELECT series_id, t, round(lag(s, 2) OVER w, 8) AS x1, round(lag(s, 1) OVER w, 8) AS x2, round(s, 8) AS target FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY t)) WHERE t >= 2")
 def scaled_lags(spark, d):
-    s = shaping.min_max(priority_monthly(spark, d), F.col("t") < 63)
+    s = shaping.min_max(priority_monthly(spark, d), TRAIN)
     return shaping.lag_columns(s.select("series_id", "t", F.col("scaled").alias("y")), 2).select("series_id", "t", r8("x1").alias("x1"), r8("x2").alias("x2"), r8("target").alias("target"))
 
 
@@ -154,21 +156,21 @@ for _name, (_sql, _rule) in RULES.items():
     query(_name, f"SELECT n, m, {_sql} AS size FROM (SELECT CAST(o_orderkey + 1 AS INTEGER) AS n, CAST(1 + o_orderkey % 24 AS INTEGER) AS m FROM orders)")(_rule_query)
 
 
-@query("C13_inner_split", f"{P} SELECT series_id, t, CASE WHEN t >= 63 - least(greatest(5, ceil(0.2 * 63)), 63 - 22) THEN 'validation' ELSE 'fit' END AS part FROM series WHERE t < 63")
+@query("C13_inner_split", f"{P}, s AS (SELECT series_id, t, {SPLIT} AS n FROM series) SELECT series_id, t, CASE WHEN t >= n - CASE WHEN least(greatest(5, ceil(0.2::DOUBLE * n)), n - 22) >= 5 THEN least(greatest(5, ceil(0.2::DOUBLE * n)), n - 22) END THEN 'validation' ELSE 'fit' END AS part FROM s WHERE t < n")
 def inner_split(spark, d):
-    s = priority_monthly(spark, d).filter("t < 63")
-    return s.select("series_id", "t", F.when(F.col("t") >= 63 - rules.inner_validation_size(F.lit(63), F.lit(12)), "validation").otherwise("fit").alias("part"))
+    s = priority_monthly(spark, d).withColumn("n", rules.floor_split(F.col("n"))).filter("t < n")
+    return s.select("series_id", "t", F.when(F.col("t") >= F.col("n") - rules.inner_validation_size(F.col("n"), F.lit(12)), "validation").otherwise("fit").alias("part"))
 
 
 @query("C15_min_max", f"{P} {SCALED} SELECT series_id, t, round(0.1 + (y - lo) * (0.8 / (hi - lo)), 8) AS scaled, round(y, 8) AS back FROM bounds")
 def min_max(spark, d):
-    s = shaping.min_max(priority_monthly(spark, d), F.col("t") < 63)
+    s = shaping.min_max(priority_monthly(spark, d), TRAIN)
     return s.select("series_id", "t", r8("scaled").alias("scaled"), r8(shaping.min_max_inverse(s, "scaled")).alias("back"))
 
 
-@query("C16_leakage_modes", f"{P} SELECT series_id, round(min(y), 8) AS min_all, round(max(y), 8) AS max_all, round(min(y) FILTER (WHERE t < 63), 8) AS min_train, round(max(y) FILTER (WHERE t < 63), 8) AS max_train FROM series GROUP BY 1")
+@query("C16_leakage_modes", f"{P} SELECT series_id, round(min(y), 8) AS min_all, round(max(y), 8) AS max_all, round(min(y) FILTER (WHERE t < {SPLIT}), 8) AS min_train, round(max(y) FILTER (WHERE t < {SPLIT}), 8) AS max_train FROM series GROUP BY 1")
 def leakage_modes(spark, d):
-    train = F.when(F.col("t") < 63, F.col("y"))
+    train = F.when(TRAIN, F.col("y"))
     return priority_monthly(spark, d).groupBy("series_id").agg(r8(F.min("y")).alias("min_all"), r8(F.max("y")).alias("max_all"), r8(F.min(train)).alias("min_train"), r8(F.max(train)).alias("max_train"))
 
 
@@ -194,18 +196,18 @@ def difference(spark, d):
     return shaping.difference(priority_monthly(spark, d)).select("series_id", "t", r8("diff").alias("step"))
 
 
-TREND = f"{P}, fit AS (SELECT series_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM series WHERE t < 63 GROUP BY 1)"
+TREND = f"{P}, fit AS (SELECT series_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept FROM series WHERE t < {SPLIT} GROUP BY 1)"
 
 
 @query("C21_linear_trend", f"{TREND} SELECT series_id, round(slope, 8) AS slope, round(intercept, 8) AS intercept FROM fit")
 def linear_trend(spark, d):
-    s = priority_monthly(spark, d).filter("t < 63").groupBy("series_id").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"))
+    s = priority_monthly(spark, d).filter(TRAIN).groupBy("series_id").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"))
     return s.select("series_id", r8("slope").alias("slope"), r8("intercept").alias("intercept"))
 
 
 @query("C22_residuals", f"{TREND} SELECT series_id, t, round(intercept + slope * t, 8) AS trend, round(y - intercept - slope * t, 8) AS residual FROM series JOIN fit USING (series_id)")
 def residuals(spark, d):
-    s = shaping.linear_trend(priority_monthly(spark, d), F.col("t") < 63)
+    s = shaping.linear_trend(priority_monthly(spark, d), TRAIN)
     return s.select("series_id", "t", r8("trend").alias("trend"), r8("residual").alias("residual"))
 
 
