@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import generators
@@ -26,12 +26,13 @@ def panel(factors: DataFrame, length: int = generators.LENGTH) -> DataFrame:
     return factors.select("generator", "seed", "noise_level").mapInPandas(run, "panel_id string, generator string, seed int, noise_level double, t int, clean double, y double")
 
 
-def sine(spark: SparkSession, length: int = generators.LENGTH) -> DataFrame:
-    """The sine series as expressions: t, y."""
-    s = F.sin(2 * F.pi() * F.col("id") / 24)
-    return spark.range(length).select(F.col("id").cast("int").alias("t"), (10 * s + 3.5 * s * s + 0.03 * F.col("id")).alias("y"))
+def sine(t: Column) -> Column:
+    """The sine series at t as an expression."""
+    s = F.sin(2 * F.pi() * t / 24)
+    return 10 * s + 3.5 * s * s + 0.03 * t
 
 
-def seasonal(spark: SparkSession, length: int = generators.LENGTH) -> DataFrame:
-    a = 2 * F.pi() * F.col("id") / 12
-    return spark.range(length).select(F.col("id").cast("int").alias("t"), (50 + 0.04 * F.col("id") + 8 * F.sin(a) + 2.8 * F.cos(2 * a)).alias("y"))
+def seasonal(t: Column) -> Column:
+    """The seasonal series at t as an expression."""
+    a = 2 * F.pi() * t / 12
+    return 50 + 0.04 * t + 8 * F.sin(a) + 2.8 * F.cos(2 * a)

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import forecasters, fuzzy, generators, neurofuzzy, swarm
+from tidemark.functions import forecasters, fuzzy, generators, neurofuzzy, smoothing, swarm
 from tidemark.operators import fitting, metrics, reporting, selection, shaping, synthetic, tall
 from tidemark.plans import design
 from tidemark.plans.core import query, r8
 from tidemark.plans.scores import CONDITION, METHODS, SCORES_SQL, scores
 from tidemark.sources import files
 from tidemark.sources.shared import shared_folder
-from tidemark.sources.tables import PRIORITY_SQL, priority_monthly, read
+from tidemark.sources.tables import FAMILIES_SQL, PRIORITY_SQL, families, priority_monthly, read
 
 P = f"WITH {PRIORITY_SQL}"
 M = 12
@@ -357,32 +357,41 @@ def history_summary(spark, d):
 # -- generators -------------------------------------------------------------------------------------------------------------
 
 
-@query("O02_sine", "SELECT CAST(i AS INTEGER) AS t, round(10 * sin(2 * pi() * i / 24) + 3.5 * sin(2 * pi() * i / 24) ** 2 + 0.03 * i, 8) AS y FROM range(180) r(i)")
+@query("O02_sine", "SELECT o_orderkey, i AS t, round(10 * sin(2 * pi() * i / 24) + 3.5 * sin(2 * pi() * i / 24) ** 2 + 0.03 * i, 8) AS y FROM (SELECT o_orderkey, CAST(o_orderkey % 180 AS INTEGER) AS i FROM orders)")
 def sine(spark, d):
-    return synthetic.sine(spark).select("t", r8("y").alias("y"))
+    """The sine series as an expression, at a place given by each order."""
+    at = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 180).cast("int").alias("t"))
+    return at.select("o_orderkey", "t", r8(synthetic.sine(F.col("t"))).alias("y"))
 
 
-@query("O05_seasonal", "SELECT CAST(i AS INTEGER) AS t, round(50 + 0.04 * i + 8 * sin(2 * pi() * i / 12) + 2.8 * cos(4 * pi() * i / 12), 8) AS y FROM range(180) r(i)")
+@query("O05_seasonal", "SELECT o_orderkey, i AS t, round(50 + 0.04 * i + 8 * sin(2 * pi() * i / 12) + 2.8 * cos(4 * pi() * i / 12), 8) AS y FROM (SELECT o_orderkey, CAST(o_orderkey % 180 AS INTEGER) AS i FROM orders)")
 def seasonal(spark, d):
-    return synthetic.seasonal(spark).select("t", r8("y").alias("y"))
+    at = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 180).cast("int").alias("t"))
+    return at.select("o_orderkey", "t", r8(synthetic.seasonal(F.col("t"))).alias("y"))
 
 
 def _factors(spark, names, seeds, levels):
     return design.product(design.values(spark, "generator", names, "string"), design.values(spark, "seed", seeds, "int"), design.values(spark, "noise_level", levels, "double"))
 
 
+def by_supplier(spark, d, names, levels):
+    """Factors of a panel with a seed for every supplier, so that the panel grows with the tables."""
+    seeds = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("seed"))
+    return design.product(design.values(spark, "generator", names, "string"), seeds, design.values(spark, "noise_level", levels, "double"))
+
+
 for _k, _name in (("O01", "linear_ar"), ("O03", "regime_switching"), ("O04", "spiky_outbreak"), ("O06", "short_memory"), ("O07", "logistic_map"), ("O08", "henon_map"), ("O09", "lorenz63")):
-    query(f"{_k}_{_name}")(lambda spark, d, name=_name: synthetic.panel(_factors(spark, [name], [1001, 1002], [0.0])))
+    query(f"{_k}_{_name}")(lambda spark, d, name=_name: synthetic.panel(by_supplier(spark, d, [name], [0.0])))
 
 
 @query("O10_relative_noise")
 def relative_noise(spark, d):
-    return synthetic.panel(_factors(spark, ["noisy_seasonal", "spiky_outbreak"], [1001], [0.05, 0.2]))
+    return synthetic.panel(by_supplier(spark, d, ["noisy_seasonal", "spiky_outbreak"], [0.05, 0.2]))
 
 
 @query("O19_panel")
 def panel(spark, d):
-    return synthetic.panel(_factors(spark, list(generators.ALIASES), [1, 2], [0.0, 0.1]), 120)
+    return synthetic.panel(by_supplier(spark, d, list(generators.ALIASES), [0.0, 0.1]), 120)
 
 
 # -- designs ------------------------------------------------------------------------------------------------------------------
@@ -426,30 +435,52 @@ def conditional_product(spark, d):
 ORDERS = "range(3) p(p), range(2) d(d), range(3) q(q), range(2) sp(sp), range(2) sd(sd), range(2) sq(sq) WHERE p + q + sp + sq <= 4"
 
 
-@query("N06_sarima_candidates", f"SELECT p::INTEGER AS p, d::INTEGER AS d, q::INTEGER AS q, sp::INTEGER AS sp, sd::INTEGER AS sd, sq::INTEGER AS sq, d + sd = 0 AS has_constant FROM {ORDERS}")
-def sarima_candidates(spark, d):
+SERIES = f"WITH {FAMILIES_SQL}, k AS (SELECT series_id, CAST(max(m) AS INTEGER) AS m, CAST(max(n) AS INTEGER) AS n FROM families GROUP BY 1)"
+USABLE = "n - d - sd * m >= 10 + p + q + m * (sp + sq)"
+
+
+def _series_sizes(spark, d):
+    """Of every series of the families its season and length."""
+    return families(spark, d).groupBy("series_id").agg(F.max("m").cast("int").alias("m"), F.max("n").cast("int").alias("n"))
+
+
+def _sarima_options(spark, d):
+    """The orders that each series is long enough for."""
     c = spark.createDataFrame(forecasters.sarima_candidates(12), "p int, d int, q int, sp int, sd int, sq int")
-    return c.withColumn("has_constant", F.col("d") + F.col("sd") == 0)
+    return _series_sizes(spark, d).crossJoin(F.broadcast(c)).filter(USABLE)
 
 
-@query("N07_sarima_tie_order", f"SELECT p::INTEGER AS p, d::INTEGER AS d, q::INTEGER AS q, sp::INTEGER AS sp, sd::INTEGER AS sd, sq::INTEGER AS sq, row_number() OVER (ORDER BY p + q + sp + sq, d + sd, sp + sq, p, d, q, sp, sd, sq)::INTEGER AS place FROM {ORDERS}")
+@query("N06_sarima_candidates", f"{SERIES} SELECT series_id, p::INTEGER AS p, d::INTEGER AS d, q::INTEGER AS q, sp::INTEGER AS sp, sd::INTEGER AS sd, sq::INTEGER AS sq, d + sd = 0 AS has_constant FROM k, {ORDERS} AND {USABLE}")
+def sarima_candidates(spark, d):
+    return _sarima_options(spark, d).select("series_id", "p", "d", "q", "sp", "sd", "sq", (F.col("d") + F.col("sd") == 0).alias("has_constant"))
+
+
+@query("N07_sarima_tie_order", f"{SERIES} SELECT series_id, p::INTEGER AS p, d::INTEGER AS d, q::INTEGER AS q, sp::INTEGER AS sp, sd::INTEGER AS sd, sq::INTEGER AS sq, row_number() OVER (PARTITION BY series_id ORDER BY p + q + sp + sq, d + sd, sp + sq, p, d, q, sp, sd, sq)::INTEGER AS place FROM k, {ORDERS} AND {USABLE}")
 def sarima_tie_order(spark, d):
-    c = spark.createDataFrame(forecasters.sarima_candidates(12), "p int, d int, q int, sp int, sd int, sq int")
     key = [F.expr(e) for e in ("p + q + sp + sq", "d + sd", "sp + sq")]
-    return c.withColumn("place", F.row_number().over(Window.orderBy(*key, "p", "d", "q", "sp", "sd", "sq")))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(*key, "p", "d", "q", "sp", "sd", "sq"))
+    return _sarima_options(spark, d).select("series_id", "p", "d", "q", "sp", "sd", "sq", place.alias("place"))
+
+
+ETS_OPTIONS = "(SELECT unnest(['none', 'linear', 'damped']) AS trend), (SELECT unnest([false, true]) AS seasonal)"
+
+
+def _ets_options(spark, d):
+    """The smoothing models that each series is long enough for: two seasons and a value for seasonal ones."""
+    c = spark.createDataFrame(smoothing.candidates(12), "trend string, seasonal boolean")
+    return _series_sizes(spark, d).crossJoin(F.broadcast(c)).filter("NOT seasonal OR (m > 1 AND n >= 2 * m + 1)").select("series_id", "m", "trend", "seasonal")
 
 
-@query("N08_ets_candidates", "SELECT m, trend, seasonal FROM (SELECT unnest([1, 12]) AS m), (SELECT unnest(['none', 'linear', 'damped']) AS trend), (SELECT unnest([false, true]) AS seasonal) WHERE m > 1 OR NOT seasonal")
+@query("N08_ets_candidates", f"{SERIES} SELECT series_id, m, trend, seasonal FROM k, {ETS_OPTIONS} WHERE NOT seasonal OR (m > 1 AND n >= 2 * m + 1)")
 def ets_candidates(spark, d):
-    rows = [(m, t, s) for m in (1, 12) for t in ("none", "linear", "damped") for s in (False, True) if m > 1 or not s]
-    return spark.createDataFrame(rows, "m int, trend string, seasonal boolean")
+    return _ets_options(spark, d)
 
 
-@query("N09_ets_tie_order", "SELECT trend, seasonal, row_number() OVER (ORDER BY (trend <> 'none')::INTEGER + (trend = 'damped')::INTEGER + seasonal::INTEGER, seasonal, trend)::INTEGER AS place FROM (SELECT unnest(['none', 'linear', 'damped']) AS trend), (SELECT unnest([false, true]) AS seasonal)")
+@query("N09_ets_tie_order", f"{SERIES} SELECT series_id, trend, seasonal, row_number() OVER (PARTITION BY series_id ORDER BY (trend <> 'none')::INTEGER + (trend = 'damped')::INTEGER + seasonal::INTEGER, seasonal, trend)::INTEGER AS place FROM k, {ETS_OPTIONS} WHERE NOT seasonal OR (m > 1 AND n >= 2 * m + 1)")
 def ets_tie_order(spark, d):
-    c = ets_candidates(spark, d).filter("m = 12").drop("m")
     size = (F.col("trend") != "none").cast("int") + (F.col("trend") == "damped").cast("int") + F.col("seasonal").cast("int")
-    return c.withColumn("place", F.row_number().over(Window.orderBy(size, "seasonal", "trend")))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(size, "seasonal", "trend"))
+    return _ets_options(spark, d).select("series_id", "trend", "seasonal", place.alias("place"))
 
 
 N01 = """WITH s AS (SELECT l_returnflag AS g, month(l_shipdate) AS seed, l_linenumber % 5 AS r, l_suppkey % 7 AS a, l_extendedprice / 1000 AS mase FROM lineitem),

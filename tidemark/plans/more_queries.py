@@ -12,7 +12,7 @@ from tidemark.operators import fitting, inference, ranking, shaping, synthetic,
 from tidemark.plans import design
 from tidemark.plans.analytics_queries import PAIRS, S, pairs
 from tidemark.plans.core import query, r8
-from tidemark.plans.model_queries import M, SEED, UNIT, _each_series, _factors, _small_model, _train, tasks
+from tidemark.plans.model_queries import M, SEED, UNIT, _each_series, _small_model, _train, by_supplier, tasks
 from tidemark.plans.scores import CONDITION, METHODS, scores
 from tidemark.sources import files
 from tidemark.sources.tables import PRIORITY_SQL, priority_monthly, read
@@ -160,14 +160,14 @@ def legacy_experiment(spark, d):
 
 
 for _k, _name, _n in (("O13", "ar", 120), ("O14", "sine", 240), ("O15", "regime", 120), ("O16", "spiky", 60), ("O17", "seasonal", 120), ("O18", "short", 50)):
-    query(f"{_k}_{_name}_any_length")(lambda spark, d, name=_name, n=_n: synthetic.panel(_factors(spark, [name], [1, 2, 3], [0.0, 0.1]), n))
+    query(f"{_k}_{_name}_any_length")(lambda spark, d, name=_name, n=_n: synthetic.panel(by_supplier(spark, d, [name], [0.0, 0.1]), n))
 
 
 @query("O11_noise_bundle")
 def noise_bundle(spark, d):
     """All levels of a series share their noise draws."""
-    p = synthetic.panel(_factors(spark, ["linear_ar"], [1001], [0.05, 0.1, 0.2]))
-    return p.groupBy("t").agg(F.max(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("high"), F.min(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("low"))
+    p = synthetic.panel(by_supplier(spark, d, ["linear_ar"], [0.05, 0.1, 0.2]))
+    return p.groupBy("seed", "t").agg(F.max(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("high"), F.min(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("low"))
 
 
 @query("P08_report")

@@ -185,11 +185,12 @@ def verified_manifest(spark, d):
     return spark.createDataFrame([(n, True, found)], "n bigint, verified boolean, change_is_found boolean")
 
 
-@query("A26_generated_csv", "SELECT 'sine' AS series_name, CAST(i AS INTEGER) AS t, round(10 * sin(2 * pi() * i / 24) + 3.5 * sin(2 * pi() * i / 24) ** 2 + 0.03 * i, 6) AS value FROM range(180) r(i)")
+@query("A26_generated_csv", "SELECT 'sine' AS series_name, o_orderkey, i AS t, round(10 * sin(2 * pi() * i / 24) + 3.5 * sin(2 * pi() * i / 24) ** 2 + 0.03 * i, 6) AS value FROM (SELECT o_orderkey, CAST(o_orderkey % 180 AS INTEGER) AS i FROM orders)")
 def generated_csv(spark, d):
     path = _place(spark, "generated")
-    synthetic.sine(spark).select(F.lit("sine").alias("series_name"), "t", F.col("y").alias("value")).write.csv(path, header=True)
-    return spark.read.schema("series_name string, t int, value double").csv(path, header=True).withColumn("value", F.round("value", 6))
+    at = read(spark, d, "orders").select(F.lit("sine").alias("series_name"), "o_orderkey", (F.col("o_orderkey") % 180).cast("int").alias("t"))
+    at.withColumn("value", synthetic.sine(F.col("t"))).write.csv(path, header=True)
+    return spark.read.schema("series_name string, o_orderkey bigint, t int, value double").csv(path, header=True).withColumn("value", F.round("value", 6))
 
 
 @query("A30_ablation_json", f"{S} SELECT family, series, rule, method, mase FROM scores")

@@ -126,13 +126,16 @@ def lag_array(spark, d):
 
 
 SPLIT = "CAST(floor(0.8::DOUBLE * n) AS INTEGER)"
-TRAIN = F.col("t") < rules.floor_split(F.col("n"))
 SCALED = f""", bounds AS (SELECT *, min(y) FILTER (WHERE t < {SPLIT}) OVER (PARTITION BY series_id) AS lo, max(y) FILTER (WHERE t < {SPLIT}) OVER (PARTITION BY series_id) AS hi FROM series)"""
 
 
+def _in_train():
+    return F.col("t") < rules.floor_split(F.col("n"))
+
+
 @query("C03_scaled_lags", f"{P} {SCALED}, scaled AS (SELECT series_id, t, 0.1 + (y - lo) * (0.8 / (hi - lo)) AS s FROM bounds) SELECT * FROM (SELECT series_id, t, round(lag(s, 2) OVER w, 8) AS x1, round(lag(s, 1) OVER w, 8) AS x2, round(s, 8) AS target FROM scaled WINDOW w AS (PARTITION BY series_id ORDER BY t)) WHERE t >= 2")
 def scaled_lags(spark, d):
-    s = shaping.min_max(priority_monthly(spark, d), TRAIN)
+    s = shaping.min_max(priority_monthly(spark, d), _in_train())
     return shaping.lag_columns(s.select("series_id", "t", F.col("scaled").alias("y")), 2).select("series_id", "t", r8("x1").alias("x1"), r8("x2").alias("x2"), r8("target").alias("target"))
 
 
@@ -164,13 +167,13 @@ def inner_split(spark, d):
 
 @query("C15_min_max", f"{P} {SCALED} SELECT series_id, t, round(0.1 + (y - lo) * (0.8 / (hi - lo)), 8) AS scaled, round(y, 8) AS back FROM bounds")
 def min_max(spark, d):
-    s = shaping.min_max(priority_monthly(spark, d), TRAIN)
+    s = shaping.min_max(priority_monthly(spark, d), _in_train())
     return s.select("series_id", "t", r8("scaled").alias("scaled"), r8(shaping.min_max_inverse(s, "scaled")).alias("back"))
 
 
 @query("C16_leakage_modes", f"{P} SELECT series_id, round(min(y), 8) AS min_all, round(max(y), 8) AS max_all, round(min(y) FILTER (WHERE t < {SPLIT}), 8) AS min_train, round(max(y) FILTER (WHERE t < {SPLIT}), 8) AS max_train FROM series GROUP BY 1")
 def leakage_modes(spark, d):
-    train = F.when(TRAIN, F.col("y"))
+    train = F.when(_in_train(), F.col("y"))
     return priority_monthly(spark, d).groupBy("series_id").agg(r8(F.min("y")).alias("min_all"), r8(F.max("y")).alias("max_all"), r8(F.min(train)).alias("min_train"), r8(F.max(train)).alias("max_train"))
 
 
@@ -201,13 +204,13 @@ TREND = f"{P}, fit AS (SELECT series_id, regr_slope(y, t) AS slope, regr_interce
 
 @query("C21_linear_trend", f"{TREND} SELECT series_id, round(slope, 8) AS slope, round(intercept, 8) AS intercept FROM fit")
 def linear_trend(spark, d):
-    s = priority_monthly(spark, d).filter(TRAIN).groupBy("series_id").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"))
+    s = priority_monthly(spark, d).filter(_in_train()).groupBy("series_id").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"))
     return s.select("series_id", r8("slope").alias("slope"), r8("intercept").alias("intercept"))
 
 
 @query("C22_residuals", f"{TREND} SELECT series_id, t, round(intercept + slope * t, 8) AS trend, round(y - intercept - slope * t, 8) AS residual FROM series JOIN fit USING (series_id)")
 def residuals(spark, d):
-    s = shaping.linear_trend(priority_monthly(spark, d), TRAIN)
+    s = shaping.linear_trend(priority_monthly(spark, d), _in_train())
     return s.select("series_id", "t", r8("trend").alias("trend"), r8("residual").alias("residual"))
 
 
