@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it: less to write than a checkpoint."""
     where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     _stored.append(where)
     return df.sparkSession.read.parquet(where)
 

@@ -35,6 +35,7 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -324,12 +325,26 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words of every document that aren't repeated from an earlier one, joined by a space."""
+    """doc_id, n_words, n_removed, kept: the words of every document that aren't repeated from an earlier one, joined by a space.
+
+    Only texts with something to remove are shuffled to their spans; a bitmap of bounded size lets the others pass straight on.
+    """
     bounded_batches(docs.sparkSession)
+    key = F.xxhash64("_id", "_mark").alias("key")
     spans = repeats(docs).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = cut(spans)
+    shared = docs.sparkSession.sparkContext.broadcast(Bits(spans.select(key), spans.count()))
+
+    @F.pandas_udf("boolean")
+    def may_have_spans(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.have(keys.to_numpy().view(np.uint64)))
+
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
-    joined = rows.join(spans, (rows["doc_id"] == spans["_id"]) & (rows["mark"] == spans["_mark"]), "left")
+    rows = rows.withColumn("may", may_have_spans(F.xxhash64("doc_id", "mark")))
+    joined = rows.filter("may").join(spans, (rows["doc_id"] == spans["_id"]) & (rows["mark"] == spans["_mark"]), "left")
     out = joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    none = F.lit(None).cast("array<int>")
+    out = out.unionByName(rows.filter("NOT may").select("doc_id", "text", none.alias("starts"), none.alias("ends")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
