@@ -377,9 +377,9 @@ def _factors(spark, names, seeds, levels):
 
 
 def by_supplier(spark, d, names, levels):
-    """Factors of a panel with a seed for every supplier, so that the panel grows with the tables."""
+    """Factors of a panel with a seed for every supplier, so that the panel grows with the tables. Suppliers come first: the others are broadcast."""
     seeds = read(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("seed"))
-    return design.product(design.values(spark, "generator", names, "string"), seeds, design.values(spark, "noise_level", levels, "double"))
+    return design.product(seeds, design.values(spark, "generator", names, "string"), design.values(spark, "noise_level", levels, "double"))
 
 
 for _k, _name in (("O01", "linear_ar"), ("O03", "regime_switching"), ("O04", "spiky_outbreak"), ("O06", "short_memory"), ("O07", "logistic_map"), ("O08", "henon_map"), ("O09", "lorenz63")):
