@@ -8,7 +8,7 @@ from tidemark.functions import generators
 from tidemark.operators import synthetic
 from tidemark.plans.registry import QUERIES
 
-SPREAD = ["O09_lorenz63", "O15_regime_any_length"]
+SPREAD = ["O09_lorenz63", "O15_regime_any_length", "O19_panel"]
 
 
 @pytest.fixture(scope="module")
