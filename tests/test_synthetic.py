@@ -8,7 +8,12 @@ from tidemark.functions import generators
 from tidemark.operators import synthetic
 from tidemark.plans.registry import QUERIES
 
-SPREAD = ["O09_lorenz63", "O15_regime_any_length", "O19_panel"]
+SPREAD = [
+    "O09_lorenz63",
+    "O15_regime_any_length",
+    "O19_panel",
+    "O14_sine_any_length",
+]
 
 
 @pytest.fixture(scope="module")
