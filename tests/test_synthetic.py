@@ -13,6 +13,7 @@ SPREAD = [
     "O15_regime_any_length",
     "O19_panel",
     "O14_sine_any_length",
+    "O13_ar_any_length",
 ]
 
 
