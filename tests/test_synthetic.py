@@ -14,6 +14,7 @@ SPREAD = [
     "O19_panel",
     "O14_sine_any_length",
     "O13_ar_any_length",
+    "O11_noise_bundle",
 ]
 
 
@@ -110,3 +111,15 @@ def _batches(factors, length):
         assert clean.size <= synthetic.TOGETHER
         for _, series, _ in synthetic._handed(part, length):
             yield pa.RecordBatch.from_pydict({"series": series})
+
+
+def test_bundles_hold_the_levels_of_each_series(spark, tmp_path):
+    """As by grouping the panel; a supplier that repeats is one series."""
+    spark.createDataFrame([(3,), (4,), (4,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["seed"], r["t"]): (r["high"], r["low"]) for r in QUERIES["O11_noise_bundle"](spark, str(tmp_path)).collect()}
+    want = {}
+    for seed in (3, 4):
+        clean = generators.clean("linear_ar", seed)
+        shares = [np.abs((generators.observed("linear_ar", seed, level) - clean) / level) for level in (0.05, 0.1, 0.2)]
+        want |= {(seed, t): (max(s[t] for s in shares), min(s[t] for s in shares)) for t in range(len(clean))}
+    assert got == want

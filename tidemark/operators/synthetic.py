@@ -74,6 +74,25 @@ def panel(factors: DataFrame, length: int = generators.LENGTH) -> DataFrame:
     return dealt.mapInArrow(run, "panel_id string, generator string, seed int, noise_level double, t int, clean double, y double")
 
 
+def bundle(factors: DataFrame, levels: list[float], length: int = generators.LENGTH) -> DataFrame:
+    """generator, seed (one row a series) -> long rows with t, clean and an array y: the series at each of ``levels``, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, clean in _together(batches, length):
+            for at, series, some in _handed(part, length):
+                name = part["generator"].iloc[0]
+                ys = np.stack([generators.observed_many(name, clean[at], some["seed"], [level] * len(some)) for level in levels], axis=-1)
+                offsets = pa.array(np.arange(len(series) + 1, dtype=np.int32) * np.int32(len(levels)))
+                columns = {
+                    "generator": pa.repeat(name, len(series)), "seed": pa.array(some["seed"].to_numpy(np.int32)[series]), "t": pa.array(np.tile(np.arange(length, dtype=np.int32), len(some))),
+                    "clean": pa.array(clean[at].ravel()), "y": pa.ListArray.from_arrays(offsets, pa.array(ys.ravel())),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    dealt = _dealt(factors.select("generator", "seed"), length * len(levels))
+    return dealt.mapInArrow(run, "generator string, seed int, t int, clean double, y array<double>")
+
+
 def sine(t: Column) -> Column:
     """The sine series at t as an expression."""
     s = F.sin(2 * F.pi() * t / 24)

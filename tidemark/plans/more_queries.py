@@ -166,8 +166,10 @@ for _k, _name, _n in (("O13", "ar", 120), ("O14", "sine", 240), ("O15", "regime"
 @query("O11_noise_bundle")
 def noise_bundle(spark, d):
     """All levels of a series share their noise draws."""
-    p = synthetic.panel(by_supplier(spark, d, ["linear_ar"], [0.05, 0.1, 0.2]))
-    return p.groupBy("seed", "t").agg(F.max(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("high"), F.min(F.abs((F.col("y") - F.col("clean")) / F.col("noise_level"))).alias("low"))
+    levels = [0.05, 0.1, 0.2]
+    p = synthetic.bundle(by_supplier(spark, d, ["linear_ar"], [0.0]).select("generator", "seed").distinct(), levels)
+    shares = [F.abs((F.col("y")[i] - F.col("clean")) / F.lit(level)) for i, level in enumerate(levels)]
+    return p.select("seed", "t", F.greatest(*shares).alias("high"), F.least(*shares).alias("low"))
 
 
 @query("P08_report")
