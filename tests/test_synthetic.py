@@ -15,6 +15,7 @@ SPREAD = [
     "O14_sine_any_length",
     "O13_ar_any_length",
     "O11_noise_bundle",
+    "O16_spiky_any_length",
 ]
 
 
