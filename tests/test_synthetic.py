@@ -16,6 +16,7 @@ SPREAD = [
     "O13_ar_any_length",
     "O11_noise_bundle",
     "O16_spiky_any_length",
+    "O18_short_any_length",
 ]
 
 
