@@ -17,6 +17,7 @@ SPREAD = [
     "O11_noise_bundle",
     "O16_spiky_any_length",
     "O18_short_any_length",
+    "O17_seasonal_any_length",
 ]
 
 
