@@ -38,6 +38,14 @@ def test_no_task_holds_many_of_the_series(spark, suppliers, name):
     assert len(rows) == 16 and max(rows) < 0.12 * sum(rows)
 
 
+@pytest.mark.parametrize("name", ["O19_panel"])
+def test_tasks_grow_in_number_and_not_in_size(spark, suppliers, monkeypatch, name):
+    """Beyond the shuffle partitions too: a task keeps to about as many values, however many series there are."""
+    monkeypatch.setattr(synthetic, "TASK", 4096)
+    rows = [r["count"] for r in QUERIES[name](spark, suppliers).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(rows) > 16 and max(rows) < 3 * synthetic.TASK
+
+
 def _one(name, rng, n):
     """A series by itself, value after value."""
     if name == "lorenz63":
