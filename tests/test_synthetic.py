@@ -38,7 +38,7 @@ def test_no_task_holds_many_of_the_series(spark, suppliers, name):
     assert len(rows) == 16 and max(rows) < 0.12 * sum(rows)
 
 
-@pytest.mark.parametrize("name", ["O19_panel", "O14_sine_any_length", "O13_ar_any_length", "O16_spiky_any_length"])
+@pytest.mark.parametrize("name", ["O19_panel", "O14_sine_any_length", "O13_ar_any_length", "O16_spiky_any_length", "O18_short_any_length"])
 def test_tasks_grow_in_number_and_not_in_size(spark, suppliers, monkeypatch, name):
     """Beyond the shuffle partitions too: a task keeps to about as many values, however many series there are."""
     monkeypatch.setattr(synthetic, "TASK", 4096)
